@@ -166,7 +166,7 @@ def connector_names(raw: Column) -> Column:
     names = F.from_json(raw, "array<string>")
     looks_list = F.ltrim(raw).startswith("[")
     has_object = raw.rlike(r"^\s*\[\s*\{")
-    split_text = F.filter(F.transform(F.split(raw, r"[|,;]"), F.trim), lambda x: x != "")
+    split_text = F.filter(F.transform(F.split(raw, r"[|,;]"), lambda x: F.trim(x)), lambda x: x != "")
     return (
         F.when(raw.isNull(), F.array().cast("array<string>"))
         .when(has_object, F.transform(objects, lambda o: F.coalesce(o["name"], F.lit(""))))
@@ -269,23 +269,33 @@ def package_parts(path: Column) -> Column:
     at = lambda p, i: F.get(p, F.lit(i))
     rest = lambda p, start: F.slice(p, F.lit(start), F.greatest(F.size(p), F.lit(1)))
 
-    p0 = F.filter(F.split(path, "/"), lambda x: x != "")
-    counted = F.trim(F.regexp_replace(at(p0, 1), r"\s+\d+\s*$", ""))
-    p1 = F.when(
-        (F.size(p0) > 3) & (counted != at(p0, 1)) & is_class(counted), F.concat(F.array(counted), rest(p0, 3))
-    ).otherwise(p0)
-    p2 = F.when(
-        (F.size(p1) > 2) & ~is_class(at(p1, 0)) & (is_class(at(p1, 1)) | is_level(at(p1, 1))), rest(p1, 2)
-    ).otherwise(p1)
-    p3 = F.when(
-        (F.size(p2) > 2) & is_level(at(p2, 0)) & is_class(at(p2, 1)),
-        F.concat(F.array(at(p2, 1), at(p2, 0)), rest(p2, 3)),
-    ).otherwise(p2)
-    third = at(p3, 2)
-    capital = F.concat(F.upper(F.substring(third, 1, 1)), F.lower(F.substring(third, 2, 1_000_000)))
-    return F.when(
-        (F.size(p3) > 3) & (third == F.lower(third)), F.concat(F.slice(p3, 1, 2), F.array(capital), rest(p3, 4))
-    ).otherwise(p3)
+    def let(value: Column, rule) -> Column:
+        # Bind a value once, so the rules below do not repeat it.
+        return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+    def drop_group(p: Column) -> Column:
+        counted = F.trim(F.regexp_replace(at(p, 1), r"\s+\d+\s*$", ""))
+        grouped = (F.size(p) > 3) & (counted != at(p, 1)) & is_class(counted)
+        return F.when(grouped, F.concat(F.array(counted), rest(p, 3))).otherwise(p)
+
+    def drop_wrapper(p: Column) -> Column:
+        wrapped = (F.size(p) > 2) & ~is_class(at(p, 0)) & (is_class(at(p, 1)) | is_level(at(p, 1)))
+        return F.when(wrapped, rest(p, 2)).otherwise(p)
+
+    def class_first(p: Column) -> Column:
+        swapped = (F.size(p) > 2) & is_level(at(p, 0)) & is_class(at(p, 1))
+        return F.when(swapped, F.concat(F.array(at(p, 1), at(p, 0)), rest(p, 3))).otherwise(p)
+
+    def capital_domain(p: Column) -> Column:
+        third = at(p, 2)
+        capital = F.concat(F.upper(F.substring(third, 1, 1)), F.lower(F.substring(third, 2, 1_000_000)))
+        lowered = (F.size(p) > 3) & (third == F.lower(third))
+        return F.when(lowered, F.concat(F.slice(p, 1, 2), F.array(capital), rest(p, 4))).otherwise(p)
+
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    for rule in (drop_group, drop_wrapper, class_first, capital_domain):
+        parts = let(parts, rule)
+    return parts
 
 
 def package_class(head: Column, declared: Column, connector: Column) -> Column:

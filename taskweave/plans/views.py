@@ -77,7 +77,7 @@ select o_orderkey as pos, 'B-' || cast(o_orderkey as string) as id,
   case when o_orderkey % 3 = 0 then 'gs://bucket/tasks/' || case when o_orderkey % 2 = 0 then 'iteration_2' else 'iteration_1' end
     || '/' || {_name("o_orderkey", "o_custkey + 1")} || '/' || md5(cast(o_orderkey % 1000 as string)) || md5(cast(o_orderkey % 1000 + 1 as string)) || '.zip'
     when o_orderkey % 3 = 1 then 's3://other/' || cast(o_orderkey as string) end as source_uri,
-  case o_orderkey % 5 when 0 then 'Connector/Harder/' when 1 then 'wrapper/Non-Connector/Easier/legal/' when 2 then 'harder/non-connector/engineering/'
+  case o_orderkey % 5 when 0 then 'Connector/Harder/' when 1 then 'wrapper/Non-Connector/Easier/legal/' when 2 then 'zipped/harder/non-connector/engineering/'
     when 3 then 'Computer Bench (NC 39 RC 0 S 99)/Synthetic 99/Easier/' else 'Aster 180/' end || 'pkg_' || cast(o_orderkey as string) || '.zip' as package_path,
   md5(cast(o_orderkey as string)) || md5(cast(o_custkey as string)) as sha256,
   cast(o_orderkey % 900 + 1 as bigint) * 10000 as size_bytes,
