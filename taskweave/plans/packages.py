@@ -18,7 +18,7 @@ BENCH = """case when i like '%aster%' or i like '%f976065bf0ef919c5e259651c26696
   when i like '%company-bench-private%' or i like '%benchmark-base%' or i like '%data-obi-rl-gym%' then 'company bench zeta' when i like '%connectors-harness%' then 'computer bench synth' end"""
 FAMILY = "case bench when 'company bench aster' then 'real-aster' when 'company bench zeta' then 'real-zeta' when 'computer bench synth' then 'synthetic' when 'computer bench real' then 'real' end"
 COUNTS = """case len(list_distinct(list_transform(list_filter(connectors, lambda g: regexp_matches(lower(g), '-gym$|^(slack|linear|github|notion)$')), lambda g: regexp_replace(lower(g), '-gym$', ''))))
-  when 0 then null when 1 then 'single' else 'multi' end"""
+  when 0 then null when 1 then 'single' else case when connectors is not null then 'multi' end end"""
 SERVICE_COUNTS = COUNTS.replace("connectors", "services")
 CTYPE = """coalesce(connector, delivered_type, case when bench like '%non-connector%' then false when bench like '%company bench%' or bench like '%computer bench synth%' or bench like '%computer bench real%' then true end)"""
 SEGMENT = """case when side = 'company' then 'company' || coalesce('-' || harness, '') when conn then 'computer-connector' when not conn then 'computer-non-connector'

@@ -61,7 +61,7 @@ from part""",
     # One row per delivered package.
     "r3_deliveries": f"""
 select o_orderkey as pos, 'B-' || cast(o_orderkey as string) as id,
-  {_name("o_orderkey", "o_custkey")} || case when o_orderkey % 13 = 0 then '-v2' when o_orderkey % 17 = 0 then '-final' else '' end as task,
+  {_name("o_orderkey", "o_custkey")} || case when o_orderkey % 13 = 0 then '-v2' when o_orderkey % 17 = 0 then '-final' when o_orderkey % 11 = 0 then '-q' else '' end as task,
   case when o_orderkey % 4 = 0 then null else 'pkg-' || cast(o_orderkey as string) end as package_name,
   case when o_custkey % 9 = 0 then 'CompanyBench ' else 'Batch ' end || cast(year(o_orderdate) - 1990 as string) || '.1' as batch,
   case o_orderstatus when 'F' then 'Accepted' when 'P' then 'Rejected' else 'Pending' end as acceptance,
@@ -142,7 +142,7 @@ select cast(o_orderdate as date) as day, case when o_custkey % 2 = 0 then 'Compa
 from orders group by 1, 2""",
     # Published task rows.
     "r10_truth": f"""
-select event_id as pos, 'family:' || {_name("k", "user_id")} || '-' || substr(md5(cast(event_id as string)), 1, 8) as id,
+select event_id as pos, 'family:' || {_name("k", "user_id")} || case when event_id % 9 = 0 then '-q-' else '-' end || substr(md5(cast(event_id as string)), 1, 8) as id,
   case when event_id % 9 = 0 then 'harbor-single-task-' || cast(event_id % 700 as string)
     when event_id % 21 = 0 then 'Task2' else {_name("k", "user_id")} || case when event_id % 6 = 1 then '-v' || cast(event_id % 3 + 2 as string) else '' end end as name,
   case event_id % 8 when 0 then 'accepted' when 1 then 'legacy accepted' when 2 then 'rejected' when 3 then 'running' when 4 then 'queued'
@@ -221,6 +221,25 @@ from part""",
 select 'Batch ' || cast(c_custkey % 9 + 2 as string) || '.1' as batch, {_name("c_nationkey * 3 + c_custkey", "c_custkey")} as task,
   min(case when c_nationkey % 4 > 0 then 'c' || cast(c_custkey as string) || '@x.com' end) as trainer, 'in-house' as trainer_type, 'high' as confidence
 from customer group by 1, 2""",
+    # Delivery manifests, one row per package.
+    "r16_manifest": f"""
+select o_orderkey as pos, {_name("o_orderkey", "cast(floor(o_orderkey / 100) as bigint)")} || case when o_orderkey % 50 = 3 then '-v7' else '' end as name,
+  case when o_orderkey % 6 = 0 then 'harbor-single-task-' || cast(o_orderkey % 700 as string) end as task_id,
+  'Batch ' || cast(o_custkey % 9 + 2 as string) || '.1' as batch, md5(cast(o_orderkey as string)) || md5('x') as sha256,
+  case when o_orderkey % 4 = 0 then md5(cast(o_orderkey % 1000 as string)) || md5(cast(o_orderkey % 1000 + 1 as string)) when o_orderkey % 4 = 1 then md5(cast(o_orderkey as string)) || md5('y') end as object_hash,
+  cast(null as string) as source_version, case when o_orderkey % 5 = 1 then md5(cast(o_orderkey % 1500 as string)) || md5(cast(o_orderkey % 1500 + 1 as string)) || '.zip' end as original_filename,
+  'b-' || case when o_orderkey % 7 = 2 then substr(md5(cast(o_orderkey % 1000 as string)), 1, 12) else 'x' end as batch_id,
+  case o_orderkey % 4 when 0 then 'iteration_2' when 1 then 'iteration_1' when 2 then 'qc_accepted' else 'gate_only' end as prefix,
+  {_name("o_orderkey", "cast(floor(o_orderkey / 100) as bigint)")} as folder,
+  'gs://bucket/tasks/' || case o_orderkey % 4 when 0 then 'iteration_2' when 1 then 'iteration_1' when 2 then 'qc_accepted' else 'gate_only' end || '/'
+  || {_name("o_orderkey", "cast(floor(o_orderkey / 100) as bigint)")} || '/' || md5(cast(o_orderkey % 1000 as string)) || md5(cast(o_orderkey % 1000 + 1 as string)) || '.zip' as source_uri,
+  case o_custkey % 3 when 0 then true when 1 then false end as connector
+from orders""",
+    # A live listing of the accepted folders.
+    "r17_listing": f"""
+select 'gs://bucket/tasks/' || {_COHORT} || '/' || {_name("p_partkey", "cast(floor(p_partkey / 100) as bigint)")} || case when p_size % 5 = 0 then '-v' || cast(p_partkey as string) else '' end
+  || '/' || case when p_size % 4 = 0 then 'review_handoff/' else '' end || md5(cast(p_partkey % 1000 as string)) || md5(cast(p_partkey % 1000 + 1 as string)) || '.zip' as name
+from part""",
 }
 
 
