@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.functions.names import is_placeholder, name_key, norm_name, plain_key, stem
-from taskweave.operators.lookups import ranked_within, spellings
+from taskweave.operators.lookups import count_reached, ranked_within, spellings
+from taskweave.session import stored
 
 # Match methods, strongest first, and the shortest embedded name.
 BY_NAME = "name"
@@ -37,19 +38,16 @@ def segments(text: Column) -> Column:
     word = lambda x: x.rlike(r"^[\p{L}\p{N}]")
 
     def build(toks: Column) -> Column:
-        n = F.size(toks)
-        at = lambda i: F.get(toks, i)
+        last = F.size(toks) - 1
+        every = F.sequence(F.lit(0), last)
+        starts = F.filter(every, lambda i: (i == 0) | ~word(F.get(toks, i - 1)))
+        ends = F.filter(every, lambda j: (j == last) | ~word(F.get(toks, j + 1)))
 
         def from_start(i: Column) -> Column:
-            def to_end(j: Column) -> Column:
-                clean_end = (j == n - 1) | ~word(at(j + 1))
-                joined = F.array_join(F.slice(toks, i + 1, j - i + 1), "")
-                return F.when(clean_end & (F.length(joined) > SHORTEST_EMBEDDED), joined)
+            return F.transform(F.filter(ends, lambda j: j >= i), lambda j: F.array_join(F.slice(toks, i + 1, j - i + 1), ""))
 
-            clean_start = (i == 0) | ~word(at(i - 1))
-            return F.when(clean_start, F.transform(F.sequence(i, n - 1), to_end)).otherwise(F.array().cast("array<string>"))
-
-        return F.array_distinct(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_start))))
+        stretches = F.flatten(F.transform(starts, from_start))
+        return F.array_distinct(F.filter(stretches, lambda x: F.length(x) > SHORTEST_EMBEDDED))
 
     return F.when(F.size(tokens) > 0, F.get(F.transform(F.array(tokens), build), F.lit(0))).otherwise(
         F.array().cast("array<string>")
@@ -121,10 +119,14 @@ def join_delivered(audit: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataF
     Delivered rows: id, method, delivered_task. Audited tasks: pos, task,
     matched, method, claimed_by, reason.
     """
-    audits = audit_keys(audit, truth)
-    rows = row_keys(truth, audits.where(F.col("kind") == BY_ID))
+    # Both key tables are read several times below, so they are stored once.
+    audits = stored(audit_keys(audit, truth), "audit-keys")
+    rows = stored(row_keys(truth, audits.where(F.col("kind") == BY_ID)), "row-keys")
     names = audit.select("pos", "task")
-    claims = first_claimant(rows, audits).join(names.select(F.col("pos").alias("winner"), F.col("task").alias("delivered_task")), "winner")
+    claims = stored(
+        first_claimant(rows, audits).join(names.select(F.col("pos").alias("winner"), F.col("task").alias("delivered_task")), "winner"),
+        "claims",
+    )
     matched = claims.select(F.col("winner").alias("pos")).distinct()
 
     # The method is that of the last matched audited task reaching the row.
@@ -354,8 +356,6 @@ def cohort_fold(folders: DataFrame, truth: DataFrame, manifest: DataFrame) -> Da
     ``folders`` carries ``pos`` as its id. ``manifest`` is (folder, batch,
     connector), one row per folder. A verdict reaches a folder by any spelling.
     """
-    from taskweave.operators.lookups import count_reached
-
     best = F.struct(F.coalesce("decided", F.lit("0001-01-01").cast("date")), "runs", "id")
     per_key = (
         truth.select("id", "state", "decided", "owner", "runs", F.explode(verdict_spellings()).alias("key"))

@@ -19,7 +19,8 @@ _BASE = f"""with a as (select pos, task, lower(trim(task)) as k, {_S("lower(trim
 tr as (select id, name, lower(trim(name)) as k, {_S("lower(trim(name))")} as st, lower(id) || '/' || lower(source) as hay from r10_truth),
 amb as (select st from tr group by st having count(distinct k) > 1), named as (select k from tr union select st from tr),
 cand as (select distinct k from a where length(k) > 14 and st not in (select st from amb) and k not in (select k from named)),
-emb as (select tr.id, cand.k from tr join cand on contains(hay, cand.k) and regexp_matches(hay, '(^|[^0-9a-z])' || regexp_escape(cand.k) || '([^0-9a-z]|$)'))"""
+hp as (select id, hay, '|' || regexp_replace(hay, '[^0-9a-z]', '|', 'g') || '|' as pad from tr), cp as (select k, '|' || regexp_replace(k, '[^0-9a-z]', '|', 'g') || '|' as pad from cand),
+emb as (select hp.id, cp.k from hp join cp on contains(hp.hay, cp.k) and contains(hp.pad, cp.pad))"""
 _HITS = f"""{_BASE}, hits as (select a.pos, tr.id, 0 as m from a join tr on a.k = tr.k union all select a.pos, tr.id, 1 from a join tr on a.st = tr.st where a.st not in (select st from amb)
   union all select a.pos, emb.id, 2 from a join emb on a.k = emb.k),
 pairs as (select pos, id, min(m) as m from hits group by 1, 2), win as (select id, min(pos) as pos from pairs group by 1), matched as (select distinct pos from win),
@@ -147,8 +148,9 @@ def _(t):
 
 @query(
     "j09_suspect_embedded",
-    f"""with cand as (select distinct lower(trim(task)) as k from r3_deliveries where length(trim(task)) > 14), r as (select id, lower(id) as hay from r10_truth where {READY})
-select id, arg_max(k, length(k)) as audited from r join cand on contains(hay, k) and regexp_matches(hay, '(^|[^0-9a-z])' || regexp_escape(k) || '([^0-9a-z]|$)') group by id""",
+    f"""with cand as (select distinct lower(trim(task)) as k from r3_deliveries where length(trim(task)) > 14), cp as (select k, '|' || regexp_replace(k, '[^0-9a-z]', '|', 'g') || '|' as pad from cand),
+r as (select id, lower(id) as hay, '|' || regexp_replace(lower(id), '[^0-9a-z]', '|', 'g') || '|' as pad from r10_truth where {READY})
+select id, arg_max(k, length(k)) as audited from r join cp on contains(hay, k) and contains(r.pad, cp.pad) group by id""",
 )
 def _(t):
     return D.suspect_embedded(ready(t), audit(t))

@@ -64,10 +64,16 @@ def output_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the shared folder so later reads see the same rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    For a result that several later steps read: it is computed once, keeps its
+    columnar layout, and a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = output_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list, name: str = "position") -> DataFrame:
@@ -78,10 +84,11 @@ def numbered(df: DataFrame, order: list, name: str = "position") -> DataFrame:
     the offset window. ``order`` must end in a unique column.
     """
     laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = cut_lineage(
+    placed = stored(
         laid_out.withColumn("_part", F.spark_partition_id()).withColumn(
             "_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-        )
+        ),
+        "numbered",
     )
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
