@@ -59,18 +59,20 @@ def lookup_by_priority(rows: DataFrame, row_id: str, names: list[str], sources:
 
 
 def one_person(rows: DataFrame, row_id: str, keys: Column, people: DataFrame) -> DataFrame:
-    """Per row the single person its keys name.
+    """Per row that any key reaches: the single person named, and how many are.
 
-    ``people`` is (key, person). Returns (row_id, person, named): ``person`` is
-    NULL unless exactly one is named, ``named`` says whether any is.
+    ``people`` is (key, person), person NULL where an entry names nobody.
+    Returns (row_id, person, named) with ``named`` one of none, one, several.
+    Smallest and largest name per key are enough to tell one from several.
     """
-    per_key = people.groupBy("key").agg(F.min("person").alias("lo"), F.max("person").alias("hi"), F.count("*").alias("n"))
+    per_key = people.groupBy("key").agg(F.min("person").alias("lo"), F.max("person").alias("hi"))
+    named = F.when(F.col("lo").isNull(), "none").when(F.col("lo") == F.col("hi"), "one").otherwise("several")
     return (
         rows.select(row_id, F.explode(keys).alias("key"))
         .join(per_key, "key")
         .groupBy(row_id)
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .select(row_id, F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("person"), F.col("lo").isNotNull().alias("named"))
+        .select(row_id, F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("person"), named.alias("named"))
     )
 
 

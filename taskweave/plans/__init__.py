@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("core", "packages", "delivered")
+MODULES = ("core", "packages", "delivered", "people")
 
 
 def load() -> dict:
