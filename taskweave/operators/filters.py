@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskweave.functions.names import manifest_task_key, norm_name, plain_key, recorded, stem
+from taskweave.functions.names import manifest_task_key, plain_key, recorded, stem
 from taskweave.functions.packages import connector_type
 from taskweave.operators.lookups import spellings
 
@@ -243,7 +243,7 @@ def names_from_delivery(manifest: DataFrame) -> DataFrame:
 def exclude_previous(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Rows that no earlier manifest names, by task, folder or name in any spelling."""
     keys = names.select(exclusion_key(F.col("value")).alias("key")).distinct()
-    bare = lambda c: norm_name(F.regexp_replace(c, r"(?i)^(harbor|obi)/", ""))
+    bare = lambda c: stem(plain_key(F.regexp_replace(F.trim(c), r"(?i)^(harbor|obi)/", "")))
     own = spellings(
         manifest_task_key(F.col("package_task"), F.col("cohort_folder"), F.col("name")),
         F.concat(F.lit("folder:"), plain_key(F.col("cohort_folder"))),

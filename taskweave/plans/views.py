@@ -174,7 +174,7 @@ from {_EVENTS}""",
     # Scanned folders: one row per accepted folder.
     "r11_folders": f"""
 select p_partkey as pos, {_name("p_partkey", "cast(floor(p_partkey / 100) as bigint)")} || case when p_size % 5 = 0 then '-v' || cast(p_partkey as string) when p_partkey % 40 = 7 then '-copy' else '' end as folder,
-  case when p_size % 4 > 0 then {_name("p_partkey", "cast(floor(p_partkey / 100) as bigint)")} end as declared_short,
+  case when p_size % 4 > 0 then {_name("p_partkey", "cast(floor(p_partkey / 150) as bigint)")} end as declared_short,
   'harbor/' || {_name("p_partkey", "cast(floor(p_partkey / 100) as bigint) + 1")} as declared_name,
   {_COHORT} as cohort, case p_partkey % 4 when 0 then 'Iteration 2' when 1 then 'Iteration 1' when 2 then 'QC accepted' else 'Gate only' end as cohort_label,
   case p_partkey % 4 when 3 then 'rejected' else 'accepted' end as outcome,
