@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("core", "packages", "delivered", "people", "readmodel")
+MODULES = ("core", "packages", "delivered", "people", "readmodel", "files")
 
 
 def load() -> dict:
