@@ -17,6 +17,7 @@ PLACEHOLDERS = {
 NOT_A_PERSON = r"(?i)gserviceaccount\.com$|^companybench@|^dev@localhost$|harbor-operator"
 
 NOT_RECORDED = "(not recorded)"
+WHITESPACE = " \t\n\r\x0b\x0c"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -26,7 +27,7 @@ def blank_to_null(c: Column) -> Column:
 
 def plain_key(c: Column) -> Column:
     """Trimmed, lower-cased text."""
-    return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return F.lower(F.trim(c, F.lit(WHITESPACE)))
 
 
 def name_key(c: Column) -> Column:
@@ -95,7 +96,8 @@ def name_variants(c: Column) -> Column:
             F.regexp_extract(unhashed, r"^\d{6}-(.+)$", 1),
         )
 
-    every = F.flatten(F.transform(F.array(base, F.replace(base, F.lit("_"), F.lit("-"))), spellings))
+    both = F.array_distinct(F.array(base, F.replace(base, F.lit("_"), F.lit("-"))))
+    every = F.flatten(F.transform(both, spellings))
     kept = F.array_distinct(F.filter(every, lambda x: F.length(x) > 6))
     return F.when(c.isNull() | (plain_key(c) == "none"), F.array().cast("array<string>")).otherwise(kept)
 

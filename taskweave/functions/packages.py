@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.functions.names import blank_to_null, bench_key
@@ -212,25 +212,16 @@ def harness_of(candidates: list[Column], gyms: Column) -> Column:
 
 
 def package_family(
-    manifest_images: list[Column],
-    connector: Column,
-    klass: Column,
-    declared: Column,
-    package_image: Column,
-    gyms: Column,
+    recorded: Column, connector: Column, klass: Column, words: Column, own: Column, has_image: Column, zeta: Column, aster: Column
 ) -> Column:
-    """(family, familyFrom): recorded image, then declared words, then the package."""
-    recorded = [family_of_image(i) for i in manifest_images]
-    exact = F.coalesce(*[F.when(r != "real", r) for r in recorded])
-    partial_real = F.lit(False)
-    for r in recorded:
-        partial_real = partial_real | F.coalesce(r == "real", F.lit(False))
-    words = F.lower(F.concat_ws(" ", declared, klass))
-    says_real = words.rlike(r"real|company\s*bench")
-    real = partial_real | says_real
-    real_from = F.when(partial_real, F.lit("the image the manifest records")).otherwise(F.lit("the manifest"))
-    own = family_of_image(package_image)
-    has_image = F.coalesce(package_image != "", F.lit(False))
+    """(family, familyFrom): recorded image, then declared words, then the package.
+
+    ``recorded`` and ``own`` are the families of the image the manifest records
+    and of the package's own; ``zeta`` and ``aster`` say which gyms it mounts.
+    """
+    image_real = F.coalesce(recorded == "real", F.lit(False))
+    real = image_real | words.rlike(r"real|company\s*bench")
+    real_from = F.when(image_real, F.lit("the image the manifest records")).otherwise(F.lit("the manifest"))
     from_package = "the image in the package"
 
     def is_(family, how) -> Column:
@@ -238,11 +229,10 @@ def package_family(
         family = family if isinstance(family, Column) else F.lit(family)
         return F.struct(family.alias("family"), how.alias("familyFrom"))
 
-    non_connector = F.coalesce(connector == F.lit(False), F.lit(False)) | F.coalesce(
-        klass == "Non-Connector", F.lit(False)
-    )
+    non_connector = F.coalesce(connector == F.lit(False), F.lit(False)) | F.coalesce(klass == "Non-Connector", F.lit(False))
+    none = F.lit(None).cast("string")
     return (
-        F.when(exact.isNotNull(), is_(exact, "the image the manifest records"))
+        F.when(recorded != "real", is_(recorded, "the image the manifest records"))
         .when(non_connector, is_("non-connector", "the manifest"))
         .when(words.contains("zeta"), is_("real-zeta", "the manifest"))
         .when(words.contains("aster"), is_("real-aster", "the manifest"))
@@ -250,52 +240,53 @@ def package_family(
         .when(own.isin("real-aster", "real-zeta"), is_(own, from_package))
         .when((own == "synthetic") & ~real, is_("synthetic", from_package))
         .when(own == "synthetic", is_("real", f"the manifest says real, {from_package} is synthetic"))
-        .when(real & _mounts(gyms, ZETA_GYM), is_("real-zeta", "the connectors the manifest lists"))
-        .when(real & _mounts(gyms, ASTER_GYM), is_("real-aster", "the connectors the manifest lists"))
+        .when(real & zeta, is_("real-zeta", "the connectors the manifest lists"))
+        .when(real & aster, is_("real-aster", "the connectors the manifest lists"))
         .when(real, is_("real", real_from))
         .when(has_image & own.isNull(), is_("non-connector", "the image in the package (no connector harness)"))
-        .otherwise(
-            F.struct(F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("familyFrom"))
-        )
+        .otherwise(F.struct(none.alias("family"), none.alias("familyFrom")))
     )
 
 
+def with_package_family(
+    rows: DataFrame, images: list[Column], connector: Column, klass: Column, declared: Column, package_image: Column, gyms: Column
+) -> DataFrame:
+    """Rows with ``family`` and ``family_from``.
+
+    ``images`` are the images a manifest records, in order; the first that names
+    a family other than plain real decides. The inputs are bound to columns
+    first, so each is computed once.
+    """
+    read = rows.select("*", F.array(*[family_of_image(i) for i in images]).alias("_images"))
+    bound = read.select(
+        "*",
+        F.coalesce(F.get(F.filter("_images", lambda f: f != "real"), F.lit(0)), F.get(F.filter("_images", lambda f: f == "real"), F.lit(0))).alias("_recorded"),
+        connector.alias("_connector"), klass.alias("_klass"), F.lower(F.concat_ws(" ", declared, klass)).alias("_words"), family_of_image(package_image).alias("_own"),
+        F.coalesce(package_image != "", F.lit(False)).alias("_has_image"), _mounts(gyms, ZETA_GYM).alias("_zeta"), _mounts(gyms, ASTER_GYM).alias("_aster"),
+    )
+    names = ("_recorded", "_connector", "_klass", "_words", "_own", "_has_image", "_zeta", "_aster")
+    decided = bound.withColumn("_f", package_family(*[F.col(n) for n in names]))
+    return decided.select(*rows.columns, F.col("_f.family").alias("family"), F.col("_f.familyFrom").alias("family_from"))
+
+
 def package_parts(path: Column) -> Column:
     """A package path as class / difficulty / [domain /] file, whatever its layout."""
-    known = F.array(*[F.lit(k) for k in CLASSES])
-    levels = F.array(F.lit("easier"), F.lit("harder"))
-    is_class = lambda c: F.coalesce(F.array_contains(known, F.lower(c)), F.lit(False))
-    is_level = lambda c: F.coalesce(F.array_contains(levels, F.lower(c)), F.lit(False))
-    at = lambda p, i: F.get(p, F.lit(i))
-    rest = lambda p, start: F.slice(p, F.lit(start), F.greatest(F.size(p), F.lit(1)))
-
-    def let(value: Column, rule) -> Column:
-        # Bind a value once, so the rules below do not repeat it.
-        return F.get(F.transform(F.array(value), rule), F.lit(0))
-
-    def drop_group(p: Column) -> Column:
-        counted = F.trim(F.regexp_replace(at(p, 1), r"\s+\d+\s*$", ""))
-        grouped = (F.size(p) > 3) & (counted != at(p, 1)) & is_class(counted)
-        return F.when(grouped, F.concat(F.array(counted), rest(p, 3))).otherwise(p)
-
-    def drop_wrapper(p: Column) -> Column:
-        wrapped = (F.size(p) > 2) & ~is_class(at(p, 0)) & (is_class(at(p, 1)) | is_level(at(p, 1)))
-        return F.when(wrapped, rest(p, 2)).otherwise(p)
-
-    def class_first(p: Column) -> Column:
-        swapped = (F.size(p) > 2) & is_level(at(p, 0)) & is_class(at(p, 1))
-        return F.when(swapped, F.concat(F.array(at(p, 1), at(p, 0)), rest(p, 3))).otherwise(p)
-
-    def capital_domain(p: Column) -> Column:
-        third = at(p, 2)
+    classes, levels = "|".join(CLASSES), "easier|harder"
+    p = F.regexp_replace(F.regexp_replace(path, r"/+", "/"), r"^/|/$", "")
+    # A bench group above a counted class folder, or any other wrapper, goes.
+    p = F.regexp_replace(p, rf"(?i)^[^/]+/\s*({classes})\s+\d+\s*/([^/]+/.+)$", "$1/$2")
+    p = F.regexp_replace(p, rf"(?i)^(?!(?:{classes})/)[^/]+/((?:{classes}|{levels})/.+)$", "$1")
+    p = F.regexp_replace(p, rf"(?i)^({levels})/({classes})/(.+)$", "$2/$1/$3")
+
+    def capital_domain(parts: Column) -> Column:
+        third = F.get(parts, F.lit(2))
         capital = F.concat(F.upper(F.substring(third, 1, 1)), F.lower(F.substring(third, 2, 1_000_000)))
-        lowered = (F.size(p) > 3) & (third == F.lower(third))
-        return F.when(lowered, F.concat(F.slice(p, 1, 2), F.array(capital), rest(p, 4))).otherwise(p)
+        lowered = (F.size(parts) > 3) & (third == F.lower(third))
+        rest = F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0)))
+        return F.when(lowered, F.concat(F.slice(parts, 1, 2), F.array(capital), rest)).otherwise(parts)
 
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    for rule in (drop_group, drop_wrapper, class_first, capital_domain):
-        parts = let(parts, rule)
-    return parts
+    # One element, so that the split path is computed once and then bound.
+    return F.get(F.transform(F.array(F.split(p, "/")), capital_domain), F.lit(0))
 
 
 def package_class(head: Column, declared: Column, connector: Column) -> Column:

@@ -28,39 +28,39 @@ def method_rank(kind: Column) -> Column:
     return F.array_position(F.array(*[F.lit(m) for m in METHODS]), kind)
 
 
-def segments(text: Column) -> Column:
-    """Every stretch of a text that starts and ends at a separator.
+def _pieces(text: Column) -> Column:
+    """A text cut after every separator; each piece starts where no word is cut."""
+    return F.split(text, r"(?<=[^\p{L}\p{N}])")
 
-    Words are runs of letters and digits; every other character stands alone.
-    A stretch may start where no word is cut, and end where none is.
-    """
-    tokens = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}])"), F.lit(1))
-    word = lambda x: x.rlike(r"^[\p{L}\p{N}]")
-
-    def build(toks: Column) -> Column:
-        last = F.size(toks) - 1
-        every = F.sequence(F.lit(0), last)
-        starts = F.filter(every, lambda i: (i == 0) | ~word(F.get(toks, i - 1)))
-        ends = F.filter(every, lambda j: (j == last) | ~word(F.get(toks, j + 1)))
-
-        def from_start(i: Column) -> Column:
-            return F.transform(F.filter(ends, lambda j: j >= i), lambda j: F.array_join(F.slice(toks, i + 1, j - i + 1), ""))
 
-        stretches = F.flatten(F.transform(starts, from_start))
-        return F.array_distinct(F.filter(stretches, lambda x: F.length(x) > SHORTEST_EMBEDDED))
-
-    return F.when(F.size(tokens) > 0, F.get(F.transform(F.array(tokens), build), F.lit(0))).otherwise(
-        F.array().cast("array<string>")
-    )
+def embedded_in(rows: DataFrame, row_id: str, text: Column, names: DataFrame) -> DataFrame:
+    """(row_id, value): names (one ``value`` per row) spelled inside a text as whole segments.
 
+    A name longer than the shortest length is first probed by its opening
+    characters, from every clean start of the text. Only starts whose opening
+    some name has are spelled out to every clean end and compared in full.
+    """
+    width = SHORTEST_EMBEDDED + 1
+    wanted = names.select("value").where(F.length("value") >= width).distinct()
+    openings = wanted.select(F.substring("value", 1, width).alias("opening")).distinct()
+    from_starts = F.regexp_extract_all(text, F.lit(r"(?:^|(?<=[^\p{L}\p{N}]))(?=(.*))"), F.lit(1))
+    starts = rows.select(row_id, F.explode(from_starts).alias("rest")).where(F.length("rest") >= width)
+    alive = (
+        starts.withColumn("opening", F.substring("rest", 1, width))
+        .join(openings, "opening", "left_semi")
+        .select(row_id, _pieces(F.col("rest")).alias("p"))
+    )
+
+    def ends(j: Column) -> Column:
+        whole = F.array_join(F.slice(F.col("p"), 1, j), "")
+        after = F.get(F.col("p"), j)
+        open_end = after.isNull() | (after == "") | after.rlike(r"^[^\p{L}\p{N}]")
+        return F.array(
+            F.when(whole.rlike(r"[^\p{L}\p{N}]$"), F.substring(whole, F.lit(1), F.length(whole) - 1)), F.when(open_end, whole)
+        )
 
-def embedded_in(rows: DataFrame, row_id: str, text: Column, names: DataFrame) -> DataFrame:
-    """(row_id, value): names (one ``value`` per row) spelled inside a text as whole segments."""
-    return (
-        rows.select(row_id, F.explode(segments(text)).alias("value"))
-        .join(names.select("value").distinct(), "value", "left_semi")
-        .select(row_id, "value")
-    )
+    every_end = F.flatten(F.transform(F.sequence(F.lit(1), F.size("p")), ends))
+    return alive.select(row_id, F.explode(every_end).alias("value")).join(wanted, "value", "left_semi").distinct()
 
 
 def name_collisions(truth: DataFrame) -> DataFrame:
@@ -372,7 +372,7 @@ def cohort_fold(folders: DataFrame, truth: DataFrame, manifest: DataFrame) -> Da
         .groupBy("pos")
         .agg(F.max("v").alias("v"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("states")))).alias("states"))
     )
-    reached = count_reached(folders, "pos", folder_spellings(), truth, verdict_spellings())
+    reached = count_reached(folders, "pos", folder_spellings(), truth, "id", verdict_spellings())
     sent = manifest.select(name_key(F.col("folder")).alias("fk"), "batch", F.col("connector").alias("manifest_connector"), F.lit(True).alias("sent"))
     return (
         folders.withColumn("fk", name_key(F.col("folder")))

@@ -58,18 +58,18 @@ def lookup_by_priority(rows: DataFrame, row_id: str, names: list[str], sources:
     return rows.join(hit.select(row_id, F.coalesce(*[F.col(f"v{s}") for s in range(len(sources))]).alias(out)), row_id, "left")
 
 
-def one_person(rows: DataFrame, row_id: str, keys: Column, people: DataFrame) -> DataFrame:
+def one_person(keyed: DataFrame, row_id: str, people: DataFrame) -> DataFrame:
     """Per row that any key reaches: the single person named, and how many are.
 
-    ``people`` is (key, person), person NULL where an entry names nobody.
+    ``keyed`` is (row_id, key), any number of keys per row; ``people`` is
+    (key, person), person NULL where an entry names nobody.
     Returns (row_id, person, named) with ``named`` one of none, one, several.
     Smallest and largest name per key are enough to tell one from several.
     """
     per_key = people.groupBy("key").agg(F.min("person").alias("lo"), F.max("person").alias("hi"))
     named = F.when(F.col("lo").isNull(), "none").when(F.col("lo") == F.col("hi"), "one").otherwise("several")
     return (
-        rows.select(row_id, F.explode(keys).alias("key"))
-        .join(per_key, "key")
+        keyed.join(per_key, "key")
         .groupBy(row_id)
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .select(row_id, F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("person"), named.alias("named"))
@@ -96,16 +96,23 @@ def _subset_keys(spelled: Column) -> Column:
     return F.transform(masks, subset)
 
 
-def count_reached(left: DataFrame, left_id: str, left_keys: Column, right: DataFrame, right_keys: Column) -> DataFrame:
+def count_reached(
+    left: DataFrame, left_id: str, left_keys: Column, right: DataFrame, right_id: str, right_keys: Column
+) -> DataFrame:
     """How many distinct right rows share any spelling with each left row.
 
     A right row reached by several spellings counts once. Instead of joining
-    rows to rows, both sides list the subsets of their few spellings, the right
-    side is counted per subset, and the overlaps cancel by inclusion-exclusion.
+    rows to rows, both sides list the subsets of their few spellings (a row has
+    six at most), the right side is counted per subset, and the overlaps cancel
+    by inclusion-exclusion.
     """
-    counts = (
-        right.select(F.explode(_subset_keys(right_keys)).alias("k")).groupBy(F.col("k.key").alias("key")).agg(F.count("*").alias("n"))
+    wanted = left.select(F.explode(left_keys).alias("key")).distinct()
+    # Keep the right spellings that some left row has, then count equal sets.
+    shared = right.select(right_id, F.explode(right_keys).alias("key")).join(wanted, "key", "left_semi")
+    sets = (
+        shared.groupBy(right_id).agg(F.array_sort(F.collect_set("key")).alias("keys")).groupBy("keys").agg(F.count("*").alias("n"))
     )
+    counts = sets.select("n", F.explode(_subset_keys(F.col("keys"))).alias("k")).groupBy(F.col("k.key").alias("key")).agg(F.sum("n").alias("n"))
     probes = left.select(left_id, F.explode(_subset_keys(left_keys)).alias("k")).select(left_id, "k.*")
     signed = F.when(F.col("size") % 2 == 1, F.col("n")).otherwise(-F.col("n"))
     return probes.join(counts, "key").groupBy(left_id).agg(F.sum(signed).alias("reached"))

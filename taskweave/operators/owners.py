@@ -29,9 +29,9 @@ def owner_waterfall(rows: DataFrame, folders: DataFrame, records: DataFrame, ver
     trainer; several make the row contested.
     """
     by_object = folders.groupBy(F.col("sha256").alias("source_object")).agg(F.max_by(F.struct("owner", "owner_contested"), "pos").alias("f"))
-    keys = spellings(bench_key(F.col("task")), bench_key(F.col("package_name")))
-    by_record = one_person(rows, "id", keys, _people(records, "task", "trainer"))
-    by_verdict = one_person(rows, "id", keys, _people(verdicts, "name", "owner"))
+    keyed = rows.select("id", F.explode(spellings(bench_key(F.col("task")), bench_key(F.col("package_name")))).alias("key"))
+    by_record = one_person(keyed, "id", _people(records, "task", "trainer"))
+    by_verdict = one_person(keyed, "id", _people(verdicts, "name", "owner"))
     joined = (
         rows.select("id", "source_object")
         .join(by_object, "source_object", "left")
@@ -55,7 +55,7 @@ def _missing(trainer: Column) -> Column:
 def fill_owner_if_unique(audit: DataFrame, truth: DataFrame) -> DataFrame:
     """Missing or contested owners, filled when the tasks name exactly one person."""
     owners = truth.where("owner <> ''").select(plain_key(F.col("name")).alias("key"), F.col("owner").alias("person"))
-    found = one_person(audit, "id", F.array(plain_key(F.col("task"))), owners)
+    found = one_person(audit.select("id", plain_key(F.col("task")).alias("key")), "id", owners)
     wanted = _missing(F.col("trainer")) | F.col("ambiguous") | (F.col("source") == "Contested")
     outcome = (
         F.when(~wanted, "untouched").when(F.col("named").isNull(), "not in pipeline").when(F.col("named") == "one", "resolved").otherwise("still ambiguous")
@@ -74,23 +74,36 @@ def attribute_folders(scan: DataFrame, records: DataFrame) -> DataFrame:
         F.replace(plain_key(F.col("task")), F.lit("harbor/"), F.lit("")).alias("key"), F.col("trainer").alias("person")
     )
     key = plain_key(F.coalesce(F.nullif("declared_short", F.lit("")), "folder"))
-    found = one_person(scan, "pos", F.array(key), people)
+    found = one_person(scan.select("pos", key.alias("key")), "pos", people)
     basis = F.when(F.col("named") == "one", "name match").when(F.col("named") == "several", "contested").otherwise("unattributed")
     return scan.join(found, "pos", "left").select("pos", F.col("person").alias("owner"), (F.coalesce("named", F.lit("")) == "several").alias("owner_contested"), basis.alias("owner_basis"))
 
 
 # ------------------------------------------------------------ sheet and reviews
-def sheet_row_keys() -> Column:
-    """Every key a delivered row may be found under in the credit sheet."""
+def sheet_row_keys(rows: DataFrame) -> DataFrame:
+    """(id, key): every key a delivered row may be found under in the credit sheet."""
     parts = F.filter(F.split("source_uri", "/"), lambda p: p != "")
-    names = [
+    names = spellings(
         F.col("task"), F.col("package_name"), F.col("source_folder"), F.substring_index("package_path", "/", -1),
         F.get(parts, F.size(parts) - 1), F.get(parts, F.size(parts) - 2),
-    ]
-    none = F.array().cast("array<string>")
-    every = F.concat(*[F.coalesce(name_variants(n), none) for n in names])
-    tracked = F.array_compact(F.array(tracker_key(F.col("package_name")), tracker_key(F.col("source_folder"))))
-    return F.array_distinct(F.concat(every, tracked))
+    )
+    each = rows.select("id", F.explode(names).alias("n"))
+    tracked = rows.select("id", F.explode(F.array_compact(F.array(tracker_key(F.col("package_name")), tracker_key(F.col("source_folder"))))).alias("key"))
+    return variant_rows(each).unionByName(tracked)
+
+
+def variant_rows(names: DataFrame) -> DataFrame:
+    """(id, key): every spelling of each (id, n), each step bound to a column."""
+    bare = F.regexp_replace(bench_key(F.col("n")), r"\.zip$", "")
+    based = names.select("id", bare.alias("v")).where("v <> 'none'")
+    both = based.select("id", F.explode(F.array_distinct(F.array("v", F.replace("v", F.lit("_"), F.lit("-"))))).alias("x"))
+    steps = (
+        both.withColumn("y", F.regexp_replace("x", r"^task-", ""))
+        .withColumn("z", F.regexp_replace("y", r"-[0-9a-f]{6}-v\d+$", ""))
+        .withColumn("w", F.regexp_replace("z", r"(-v\d+|-fixed|-final)+$", ""))
+        .withColumn("t", F.regexp_extract("z", r"^\d{6}-(.+)$", 1))
+    )
+    return steps.select("id", F.explode(F.array_distinct(F.array("x", "y", "z", "w", "t"))).alias("key")).where(F.length("key") > 6)
 
 
 def sheet_entries(sheet: DataFrame) -> DataFrame:
@@ -101,7 +114,7 @@ def sheet_entries(sheet: DataFrame) -> DataFrame:
 
 def sheet_trainer(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """The sheet's trainer where it names one person: fills gaps, replaces for Company Bench."""
-    found = one_person(rows, "id", sheet_row_keys(), entries)
+    found = one_person(sheet_row_keys(rows), "id", entries)
     named = ~_missing(F.col("trainer"))
     takes = (F.col("named") == "one") & (~named | ((F.col("bench") == "company") & (F.lower("trainer") != F.col("person"))))
     takes = F.coalesce(takes, F.lit(False))
@@ -116,7 +129,7 @@ def sheet_trainer(rows: DataFrame, entries: DataFrame) -> DataFrame:
 
 def sheet_coverage(rows: DataFrame, entries: DataFrame, owners: DataFrame) -> DataFrame:
     """(bench, state, outcome, n): what the sheet settles. ``owners`` is (id, state, trainer)."""
-    found = one_person(rows, "id", sheet_row_keys(), entries)
+    found = one_person(sheet_row_keys(rows), "id", entries)
     joined = rows.select("id", "bench").join(owners.select("id", "state", F.col("trainer").alias("owner")), "id", "left").join(found, "id", "left")
     settled = F.col("state") == "attributed"
     open_outcome = (

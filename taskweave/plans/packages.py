@@ -100,7 +100,8 @@ select package_id, case when recorded <> 'real' then recorded when connector is
   when own is null then 'the image in the package (no connector harness)' end as family_from from d""",
 )
 def _(t):
-    family = K.package_family(
+    rows = K.with_package_family(
+        t.r7_package_text,
         [F.when(F.expr("size % 4 = 0"), c("image"))],
         F.when(F.expr("size % 3 = 0"), F.lit(False)),
         F.when(c("kind") == "PROMO", F.lit("Non-Connector")).otherwise(F.lit("Connector")),
@@ -108,7 +109,7 @@ def _(t):
         c("image"),
         F.when(F.expr("size % 2 = 0"), F.array(F.lit("github-gym"))).otherwise(F.array(F.lit("jira-gym"))),
     )
-    return t.r7_package_text.select("package_id", family["family"].alias("family"), family["familyFrom"].alias("family_from"))
+    return rows.select("package_id", "family", "family_from")
 
 
 @query(

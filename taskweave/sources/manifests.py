@@ -57,15 +57,16 @@ def normalise_manifest(tasks: DataFrame, bucket: str) -> DataFrame:
     placed = usable.withColumn("parts", K.package_parts(F.col("package_path"))).withColumn(
         "klass", K.package_class(F.get("parts", F.lit(0)), F.col("declared"), F.col("connector"))
     )
-    family = K.package_family([F.col("image")], F.col("connector"), F.col("klass"), F.col("declared"), F.col("package_image"), F.col("connectors"))
+    placed = K.with_package_family(
+        placed, [F.col("image")], F.col("connector"), F.col("klass"), F.col("declared"), F.col("package_image"), F.col("connectors")
+    )
     stem = F.regexp_replace(F.element_at("parts", -1), r"\.[^.]*$", "")
     base = (
-        placed.withColumn("_f", family)
-        .withColumn("package", F.coalesce(blank_to_null(F.col("task_id")), stem))
+        placed.withColumn("package", F.coalesce(blank_to_null(F.col("task_id")), stem))
         .withColumn("task", F.coalesce(name, "package"))
         .withColumn("ref", K.source_ref(F.col("source_uri"), F.lit(None).cast("string"), F.lit(None).cast("string"), bucket))
     )
-    fam = F.col("_f.family")
+    fam = F.col("family")
     non = fam == "non-connector"
     real = fam.isin("real-aster", "real-zeta", "real")
     bench = F.when(F.coalesce(real, F.lit(False)) & (F.col("klass") != "Real Connector"), "company").otherwise("computer")
@@ -78,7 +79,7 @@ def normalise_manifest(tasks: DataFrame, bucket: str) -> DataFrame:
     return base.select(
         F.concat(series, F.regexp_replace("batch", r"\D", ""), F.lit("-"), F.format_string("%03d", "index")).alias("id"),
         "task", F.when(F.col("package") != F.col("task"), F.col("package")).alias("package_name"), "batch",
-        category.alias("category"), F.col("klass").alias("class"), fam.alias("family"), F.col("_f.familyFrom").alias("family_from"), domain.alias("domain"),
+        category.alias("category"), F.col("klass").alias("class"), "family", "family_from", domain.alias("domain"),
         F.when(non, "Non-connector").otherwise("Connector").alias("type"), bench.alias("bench"),
         F.when(bench == "company", F.when(fam == "real-aster", "aster").when(fam == "real-zeta", "zeta")).alias("harness"),
         F.initcap(band).alias("difficulty"), F.col("successes").alias("glm"), K.score_bucket(F.lit(None).cast("string"), F.col("successes")).alias("score"),
