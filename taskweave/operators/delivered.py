@@ -60,7 +60,7 @@ def embedded_in(rows: DataFrame, row_id: str, text: Column, names: DataFrame) ->
         )
 
     every_end = F.flatten(F.transform(F.sequence(F.lit(1), F.size("p")), ends))
-    return alive.select(row_id, F.explode(every_end).alias("value")).join(wanted, "value", "left_semi").distinct()
+    return alive.select(row_id, F.explode(every_end).alias("value")).join(wanted, "value", "left_semi").select(row_id, "value").distinct()
 
 
 def name_collisions(truth: DataFrame) -> DataFrame:

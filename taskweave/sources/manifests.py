@@ -32,7 +32,7 @@ def read_batch_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest_problems(tasks: DataFrame) -> DataFrame:
     """(batch, reason): manifests whose layout is not usable, read from flat tasks."""
-    package = F.coalesce(blank_to_null(F.col("task_id")), F.regexp_extract("package_path", r"([^/]+?)(?:\.[^./]*)?$", 1))
+    package = F.coalesce(blank_to_null(F.col("task_id")), F.regexp_replace(F.substring_index("package_path", "/", -1), r"\.[^.]*$", ""))
     lacking = F.col("package_path").isNull() | (F.col("package_path") == "") | ~F.coalesce(F.col("sha256").rlike(K.SHA256), F.lit(False)) | F.col("size_bytes").isNull()
     per = tasks.groupBy("batch").agg(
         F.count("*").alias("n"), F.count_if(lacking).alias("lacking"), F.min(F.when(lacking, F.col("index"))).alias("first_bad"),
