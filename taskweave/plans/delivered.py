@@ -207,7 +207,7 @@ v as (select id, state, decided, runs, owner, unnest(list_distinct([{X.key("name
 p as (select distinct f.pos, v.id, v.state, v.decided, v.runs, v.owner from f join v using (key)),
 b as (select *, row_number() over (partition by pos order by decided desc nulls last, runs desc, id desc) as rn from p),
 g as (select pos, count(*) as verdicts, array_to_string(list_sort(list(distinct state)), ',') as states from p group by 1),
-s as (select folder, min(batch) as batch, bool_or(connector) as connector from r16_manifest where prefix = 'iteration_2' and batch = 'Batch 2.1' group by 1),
+s as (select folder, min(batch) as batch, bool_or(connector) as connector from r16_manifest where prefix = 'iteration_2' group by 1),
 folded as (select x.pos, x.folder, regexp_matches(x.folder, '^(task\\d*|tasks?|harbor-single-task-\\S*|autorun-\\S*|content-[0-9a-f]{{16,}}|code-c\\d+|g\\d+_\\S*)$') as placeholder_name,
   coalesce(x.is_connector, s.connector) as connector, case when x.is_connector is not null then 'the folder’s own package' when s.connector is not null then 'the delivery manifest that packaged it' end as connector_via,
   coalesce(verdicts, 0) as verdicts, b.state, b.decided, b.owner, coalesce(states, '') as states, s.folder is not null as delivered, s.batch
@@ -215,7 +215,7 @@ folded as (select x.pos, x.folder, regexp_matches(x.folder, '^(task\\d*|tasks?|h
 
 
 def folded(t):
-    sent = t.r16_manifest.where("prefix = 'iteration_2' and batch = 'Batch 2.1'").groupBy("folder").agg(F.min("batch").alias("batch"), F.bool_or("connector").alias("connector"))
+    sent = t.r16_manifest.where("prefix = 'iteration_2'").groupBy("folder").agg(F.min("batch").alias("batch"), F.bool_or("connector").alias("connector"))
     return D.cohort_fold(t.r11_folders, t.r10_truth, sent)
 
 
@@ -265,7 +265,7 @@ def _(t):
     return D.carry_duplicates(t.r10_truth, D.duplicate_folders(t.r11_folders))
 
 
-_DELIV = f"""dl as (select pos, task, package_name, batch, type, batch like 'CompanyBench%' as audited, case when source_uri like 'gs://bucket/%' then split_part(source_uri, '/', 5) end as source_prefix,
+_DELIV = f"""dl as (select pos, task, package_name, batch, type, difficulty, batch like 'CompanyBench%' as audited, case when source_uri like 'gs://bucket/%' then split_part(source_uri, '/', 5) end as source_prefix,
   case when source_uri like 'gs://bucket/%' then split_part(source_uri, '/', 6) end as source_folder, case when source_uri like 'gs://bucket/%' then 'pipeline' when source_uri is not null then 'elsewhere' end as source_kind from r3_deliveries),
 ex as (select pos, {X.key("source_folder")} as key from dl where source_prefix = 'iteration_2'), nm as (select pos, {X.key("task")} as key from dl union select pos, {X.key("package_name")} from dl where package_name is not null),
 fo as (select pos, folder, {X.key("folder")} as fk, {X.key("package_task")} as pk, pos % 10 = 0 as index_delivered from r11_folders)"""
@@ -274,7 +274,7 @@ fo as (select pos, folder, {X.key("folder")} as fk, {X.key("package_task")} as p
 def deliveries(t):
     ref = K.source_ref(c("source_uri"), F.lit(None).cast("string"), F.lit(None).cast("string"), "bucket")
     return t.r3_deliveries.withColumn("r", ref).select(
-        "pos", "task", "package_name", "batch", "type", c("batch").startswith("CompanyBench").alias("audited"),
+        "pos", "task", "package_name", "batch", "type", "difficulty", c("batch").startswith("CompanyBench").alias("audited"),
         c("r.prefix").alias("source_prefix"), c("r.folder").alias("source_folder"), c("r.kind").alias("source_kind"),
     )
 
@@ -284,7 +284,7 @@ def accepted_folders(t):
 
 
 def gone_packages(t):
-    return deliveries(t).where("audited and pos % 4 = 1").select("batch", N.name_key(c("task")).alias("key"))
+    return deliveries(t).where("audited and difficulty is null").select("batch", N.name_key(c("task")).alias("key"))
 
 
 _TRACE_FOLDERS = f"""with {_DELIV}, h as (select fo.pos, 0 as n, min(ex.pos) as d from fo join ex on ex.key = fo.fk group by 1 union all select fo.pos, 1, min(nm.pos) from fo join nm on nm.key = fo.fk group by 1
@@ -300,7 +300,7 @@ def _(t):
 
 
 _TRACE = f"""with {_DELIV}, r as (select ex.pos, fo.pos as f from ex join fo on fo.fk = ex.key union all select nm.pos, fo.pos from nm join fo on fo.fk = nm.key union all select nm.pos, fo.pos from nm join fo on fo.pk = nm.key),
-b as (select pos, min(f) as f from r group by 1), gone as (select distinct batch, {X.key("task")} as k from dl where audited and pos % 4 = 1),
+b as (select pos, min(f) as f from r group by 1), gone as (select distinct batch, {X.key("task")} as k from dl where audited and difficulty is null),
 x as (select dl.*, b.f, fo.folder, case when audited then (dl.batch, {X.key("task")}) not in (select (batch, k) from gone) else b.f is not null end as found from dl left join b on b.pos = dl.pos left join fo on fo.pos = b.f),
 traced as (select pos, batch, task, found, folder, case when found then null when audited then 'gone' when source_prefix = 'iteration_2' and {X.key("source_folder")} not in (select fk from fo) then 'gone'
   when source_kind = 'elsewhere' then 'elsewhere' else 'unnamed' end as reason from x)"""

@@ -488,7 +488,7 @@ def _(t):
     return D.half_change(D.last_n_days(t.orders.select(F.to_date("o_orderdate").alias("decided")), 30))
 
 
-_SELECT = f"""k as (select *, {MKEY} as key from r10_truth where {COLLECT} and not delivered), out as (select distinct id from k where pos % 17 = 3), x as (select key, bool_or(id in (select id from out)) as gone, count(*) as stands_for from k group by 1),
+_SELECT = f"""k as (select *, {MKEY} as key from r10_truth where {COLLECT} and not delivered), out as (select distinct id from k where maybe_delivered), x as (select key, bool_or(id in (select id from out)) as gone, count(*) as stands_for from k group by 1),
 rep as (select * from k qualify row_number() over (partition by key order by {PREFER}) = 1), ent as (select rep.key, rep.id, rep.name, rep.owner, rep.state, rep.decided, stands_for from rep join x using (key) where not gone)"""
 
 
@@ -497,7 +497,7 @@ def manifest_rows(t):
 
 
 def excluded(t):
-    return manifest_rows(t).where("pos % 17 = 3").select("id")
+    return manifest_rows(t).where("maybe_delivered").select("id")
 
 
 @query("w05_select_for_manifest", f"with {_SELECT} select key, id, name, owner, state, decided, stands_for, row_number() over (order by decided nulls first, key) as position from ent order by decided nulls first, key limit 100")

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from taskweave.functions import runs as R
 from taskweave.operators import canonical as C
 from taskweave.operators import provenance as P
+from taskweave.operators import quality as Q
 from taskweave.operators import state as S
+from taskweave.session import stored
+from taskweave.sinks.publish import publish_if_reconciled
+from taskweave.sources.listings import read_object_listing
 
 
 def derive_tasks(runs: DataFrame, member: DataFrame, now: str, cut: str, current: str, gate_only: str, eras=R.GATE_ERAS) -> DataFrame:
@@ -59,3 +63,17 @@ def publish(tasks: DataFrame) -> DataFrame:
         "duplicate_tier",
         "source",
     )
+
+
+def refresh_truth(runs: DataFrame, objects: DataFrame, root: str, now: str, cut: str, current: str, gate_only: str, eras=R.GATE_ERAS) -> bool:
+    """Derive, check and publish; the previous version stays when a check fails.
+
+    The derived tasks are stored once: the duplicate flags, the checks and the
+    published rows all read them.
+    """
+    member = S.membership(read_object_listing(objects))
+    tasks = stored(derive_tasks(runs, member, now, cut, current, gate_only, eras), "tasks")
+    rows = publish(tasks)
+    partition = P.reconciled_partition(tasks).select(F.lit("partition").alias("check"), F.when(F.col("reconciles"), 0).otherwise(1).cast("bigint").alias("failures"))
+    repeated = Q.check_unique(rows, ["id"]).agg(F.lit("one row per identity").alias("check"), F.count("*").alias("failures"))
+    return publish_if_reconciled(rows, Q.check_partition(rows).unionByName(partition).unionByName(repeated), root)

@@ -208,3 +208,29 @@ def test_filters_reach_the_scan(spark):
     t = Tables(spark, SMALL).events.where(S.date_range(F.to_date("ts"), "2024-01-03", "2024-01-09")).select("event_id")
     plan = t._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in plan
+
+
+def test_refresh_publishes_the_derived_rows(spark):
+    from taskweave.plans import fragments as X
+    from taskweave.plans.core import CURRENT, GATE_ONLY, tasks_of
+    from taskweave.plans.truth import publish, refresh_truth
+
+    t = Tables(spark, SMALL)
+    root = output_path(spark, "truth-test")
+    assert refresh_truth(t.r1_runs, t.r2_objects, root, X.NOW, X.CUT, CURRENT, GATE_ONLY, X.ERAS)
+    assert rows(P.read_published(spark, root).select("id", "state")) == rows(publish(tasks_of(t)).select("id", "state"))
+
+
+def test_without_a_listing_earlier_answers_stand(spark):
+    manifest = spark.createDataFrame([("a", "u", "f", "h"), ("b", "u", "f", "h")], "name string, source_uri string, folder string, object_hash string")
+    previous = spark.createDataFrame([("a", "moved", "2026-09-01")], "name string, state string, checked_on string")
+    got = D.live_check(manifest, None, previous, F.current_date()).select("name", "live_state", "live_checked_on")
+    assert rows(got) == [("a", "moved", "2026-09-01"), ("b", None, None)]
+
+
+def test_work_left_is_capped_and_resumes(spark):
+    wanted = spark.range(10).select(F.col("id").alias("key"))
+    known = spark.createDataFrame([(1,), (2,)], "key long")
+    misses = spark.createDataFrame([(3, "2026-09-01"), (4, "2026-09-30")], "key long, checked_on string").withColumn("checked_on", F.to_date("checked_on"))
+    todo = J.work_left(wanted, known, misses, F.lit("2026-10-01").cast("date"), 7, cap=3)
+    assert rows(todo) == [(0,), (3,), (5,)]
