@@ -10,6 +10,7 @@ from taskweave.functions.names import NOT_RECORDED, name_key, recorded, truth_ta
 from taskweave.functions.packages import connector_type
 from taskweave.functions.runs import UNDECIDED_STATES
 from taskweave.operators.filters import collectable
+from taskweave.operators.lookups import side_by_side
 from taskweave.operators.payouts import percent
 
 
@@ -74,7 +75,10 @@ def task_fold(folders: DataFrame) -> DataFrame:
 
 
 def truth_figures(rows: DataFrame, held: bool = True) -> DataFrame:
-    """All headline counts of a selection, in one pass, as (measure, value)."""
+    """All headline counts of a selection, as (measure, value).
+
+    Row counts take one aggregate; distinct counts go through one more, below.
+    """
     state = lambda *s: F.col("state").isin(*s)
     sent, bar, failed = _yes("delivered"), collectable(), _yes("glm53_failed")
     ready = bar & ~sent & ~failed if held else bar & ~sent
@@ -292,7 +296,7 @@ def command_snapshot(folders: DataFrame, evaluations: DataFrame) -> DataFrame:
         F.count("*").alias("folders"), F.count_distinct("name").alias("tasks"), F.count_if(F.col("trainer").isNull()).alias("unassigned")
     ).withColumn("duplicates", F.col("folders") - F.col("tasks"))
     current = evaluations.agg(F.count("*").alias("current"))
-    return counted.withColumn("_k", F.lit(1)).join(current.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return side_by_side(counted, current)
 
 
 def bench_cards(evaluations: DataFrame, folders: DataFrame) -> DataFrame:

@@ -19,9 +19,12 @@ def spellings(*cols: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*cols), lambda s: s.isNotNull() & (s != "")))
 
 
-def first_by(df: DataFrame, key: list[str], value: Column, order: Column, name: str) -> DataFrame:
-    """One ``value`` per key: the one that comes first in ``order``."""
-    return df.groupBy(*key).agg(F.min_by(value, order).alias(name))
+def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
+    """One row holding the columns of several one-row frames."""
+    stacked = one_row_frames[0]
+    for frame in one_row_frames[1:]:
+        stacked = stacked.unionByName(frame, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def agreed(pairs: DataFrame, key: str = "key", value: str = "value") -> DataFrame:

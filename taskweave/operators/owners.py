@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from taskweave.functions.names import bench_key, is_person, name_variants, plain_key, tracker_key
 from taskweave.operators.lookups import one_person, spellings
 
-# Labels of each route, and unattributed rows.
+# The label of each route and source.
 ROUTE_LABELS = {"object": "GCS package owner", "records": "GCS trainer records", "verdict": "GCS verdict owner"}
 UNATTRIBUTED = "unattributed"
+FROM_SHEET = "Trainer credit sheet"
+FROM_REVIEW = "Trainer review"
+FROM_VERDICTS = "GCS verdict owner"
+CONTESTED_OWNER = "Contested owner"
+FROM_CONSOLE = "Harbor Console submitter"
+NAME_ONLY = "Name match only"
+NO_RECORD = "No trainer record"
 
 
 def _people(df: DataFrame, name: str, who: str) -> DataFrame:
@@ -63,7 +70,7 @@ def fill_owner_if_unique(audit: DataFrame, truth: DataFrame) -> DataFrame:
     return audit.join(found, "id", "left").select(
         "id",
         F.when(outcome == "resolved", F.col("person")).otherwise(F.col("trainer")).alias("trainer"),
-        F.when(outcome == "resolved", F.lit("GCS verdict owner")).otherwise(F.col("source")).alias("source"),
+        F.when(outcome == "resolved", F.lit(FROM_VERDICTS)).otherwise(F.col("source")).alias("source"),
         outcome.alias("outcome"),
     )
 
@@ -121,7 +128,7 @@ def sheet_trainer(rows: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.join(found, "id", "left").select(
         "id",
         F.when(takes, F.col("person")).otherwise(F.when(named, F.col("trainer"))).alias("trainer"),
-        F.when(takes, F.lit("Trainer credit sheet")).otherwise(F.col("source")).alias("source"),
+        F.when(takes, F.lit(FROM_SHEET)).otherwise(F.col("source")).alias("source"),
         F.when(takes & named, F.col("trainer")).alias("bucket_trainer"),
         takes.alias("from_sheet"),
     )
@@ -161,7 +168,7 @@ def review_override(rows: DataFrame, reviews: DataFrame) -> DataFrame:
     return joined.select(
         "id",
         F.coalesce(review["trainer"], F.when(named, F.col("trainer"))).alias("trainer"),
-        F.when(review["trainer"].isNotNull(), F.lit("Trainer review")).otherwise(F.col("source")).alias("source"),
+        F.when(review["trainer"].isNotNull(), F.lit(FROM_REVIEW)).otherwise(F.col("source")).alias("source"),
         F.when(review.isNotNull() & review["trainer"].isNull(), F.coalesce(review["trainer_type"], F.lit("no trainer"))).alias("reviewed_no_trainer"),
         F.when(review["trainer"].isNotNull() & named & (F.lower("trainer") != review["trainer"]), F.col("trainer")).alias("bucket_trainer"),
     )
@@ -268,8 +275,8 @@ def finalisation_owner(folders: DataFrame, roster: DataFrame, owners: DataFrame)
         "pos",
         F.col("email").alias("owner"),
         F.when(contested, "conflict").when(linked, "linked").when(F.col("email").isNotNull(), "unlinked").otherwise("missing").alias("ownership"),
-        F.when(contested, F.lit("Contested owner")).when(F.col("from_console").isNotNull(), F.lit("Harbor Console submitter"))
-        .when(F.col("owner").isNotNull(), F.lit("Name match only")).otherwise(F.lit("No trainer record")).alias("attribution"),
+        F.when(contested, F.lit(CONTESTED_OWNER)).when(F.col("from_console").isNotNull(), F.lit(FROM_CONSOLE))
+        .when(F.col("owner").isNotNull(), F.lit(NAME_ONLY)).otherwise(F.lit(NO_RECORD)).alias("attribution"),
         bench_of_team(team).alias("bench"),
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taskweave.operators.lookups import side_by_side
+
 RATE = 300
 
 
@@ -169,8 +171,7 @@ def payout_summary(rows: DataFrame, requests: DataFrame) -> DataFrame:
         F.sum("accepted_tasks").alias("accepted_tasks"), F.sum("paid_tasks").alias("paid_tasks"), F.sum("paid_amount").alias("paid"), F.sum("pending_amount").alias("upcoming"),
         F.count_if((F.col("accepted_tasks") > 0) | (F.col("paid_tasks") > 0)).alias("people"),
     ).withColumn("settled", percent(F.col("paid"), F.col("paid") + F.col("upcoming")))
-    one = F.lit(1)
-    return money.withColumn("_k", one).join(days.withColumn("_k", one), "_k").drop("_k")
+    return side_by_side(money, days)
 
 
 def team_money(rows: DataFrame) -> DataFrame:

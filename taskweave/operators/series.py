@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from taskweave.functions.names import batch_order, manifest_task_key, readable_name
 from taskweave.operators.figures import preferred_order
 
+from taskweave.operators.lookups import side_by_side
 from taskweave.session import numbered
 
 
@@ -101,7 +102,7 @@ def selection_arithmetic(rows: DataFrame, excluded: DataFrame | None, entries: D
     tasks = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bool_or(flag).alias("out"))
     whole = tasks.agg(F.sum("n").alias("rows_considered"), F.count("*").alias("distinct_tasks"), F.count_if("out").alias("excluded"))
     taken = entries.agg(F.count("*").alias("taken"), F.sum("stands_for").alias("rows_represented"))
-    both = whole.withColumn("_k", F.lit(1)).join(taken.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    both = side_by_side(whole, taken)
     available = F.col("distinct_tasks") - F.col("excluded")
     wanted = available if size is None else F.lit(size)
     return both.select("*", available.alias("available"), F.greatest(wanted - F.col("taken"), F.lit(0)).cast("bigint").alias("short_by"))

@@ -14,6 +14,7 @@ from taskweave.plans import fragments as X
 from taskweave.plans.registry import query
 from taskweave.plans.truth import derive_tasks, publish
 from taskweave.plans.views import Tables
+from taskweave.session import stored
 from taskweave.sources import listings as L
 
 CURRENT, GATE_ONLY = "iteration_2", "gate_only"
@@ -35,7 +36,8 @@ from tasks t left join dup d on lower(trim(task_name)) = dn and coalesce(owner,
 )
 def _(t):
     cols = ["id", "state", "why", "decided", "runs", "carried_over", "at_current_bar", "gate_era", "possible_duplicate", "duplicate_tier", "source"]
-    return publish(tasks_of(t)).select(*cols)
+    # The flags and the rows both read the tasks, so they are stored once.
+    return publish(stored(tasks_of(t), "tasks")).select(*cols)
 
 
 # ---------------------------------------------------------- scalar run rules

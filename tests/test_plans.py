@@ -1,0 +1,15 @@
+"""No registered query plans a cross product, a nested loop or Python per row."""
+
+import __spark_entry__ as entry
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow")
+
+
+def test_plans(spark):
+    broken = {}
+    for name, run in entry.queries().items():
+        plan = run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        found = [word for word in FORBIDDEN if word in plan]
+        if found:
+            broken[name] = found
+    assert not broken

@@ -95,8 +95,8 @@ def test_package_parts(spark, path, expected):
 @pytest.mark.parametrize(
     "image, bench",
     [
-        ("reg/ASTER:1", "company bench aster"), ("real-data-v4", "company bench aster"), ("x/real-data:2", "computer bench real"), ("connectors-rl-gym/obi-benchmark", "computer bench synth"),
-        ("connectors-rl-gym/obi-benchmark@sha256:" + K.ZETA_DIGESTS[0], "company bench zeta"), ("company-bench-private@" + K.SYNTHETIC_DIGESTS[0], "computer bench synth"),
+        ("reg/ASTER:1", "company bench aster"), ("real-data-v4", "company bench aster"), ("x/real-data:2", "computer bench real"), ("connectors-rl-gym/base-image", "computer bench synth"),
+        ("connectors-rl-gym/base-image@sha256:" + K.ZETA_DIGESTS[0], "company bench zeta"), ("company-bench-private@" + K.SYNTHETIC_DIGESTS[0], "computer bench synth"),
         ("company-bench-private:1", "company bench zeta"), ("connectors-harness", "computer bench synth"), ("python:3", None), ("", None), (None, None),
     ],
 )
