@@ -143,6 +143,7 @@ def connector_facts(text: Column) -> Column:
             F.lit(basis).alias("basis"),
         )
 
+    # How each reading was made.
     return (
         F.when(has_table, fact(True, in_tables, "a [[mcp_servers]] table with entries"))
         .when(has_inline & (F.trim(inline) != ""), fact(True, in_list, "a non-empty mcp_servers list"))
@@ -231,6 +232,7 @@ def package_family(
 
     non_connector = F.coalesce(connector == F.lit(False), F.lit(False)) | F.coalesce(klass == "Non-Connector", F.lit(False))
     none = F.lit(None).cast("string")
+    # Family names and how each was decided.
     return (
         F.when(recorded != "real", is_(recorded, "the image the manifest records"))
         .when(non_connector, is_("non-connector", "the manifest"))
@@ -373,6 +375,7 @@ def score_bucket(bucket: Column, passes: Column) -> Column:
 
 
 def row_flags(owner_contested: Column, ambiguous: Column, unverified: Column, version_dependent: Column) -> Column:
+    """What a reader must know about a row. The wording is fixed."""
     return F.array_compact(
         F.array(
             F.when(owner_contested, F.lit("owner still contested")),

@@ -148,6 +148,7 @@ def join_delivered(audit: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataF
         .join(collided, "stem", "left")
         .withColumn("matched", F.coalesce("matched", F.lit(False)))
     )
+    # Why an audited task found no row of its own.
     reason = (
         F.when(F.col("matched"), F.lit(None).cast("string"))
         .when(F.col("holder").isNotNull(), F.concat(F.lit("its only pipeline rows are already claimed by "), "holder"))

@@ -37,7 +37,7 @@ def provenance_chain(rows: DataFrame, figures: dict[str, list[tuple[str, Column,
 
 
 def headline_figures(cut: str) -> dict[str, list[tuple[str, Column, str]]]:
-    """The published figures over derived tasks."""
+    """The published figures over derived tasks. Labels are fixed values."""
     scope = (f"decision on or after {cut}", F.col("inScope"), "step 5")
     state = lambda *names: F.col("finalState").isin(*names)
     # The predicate tests whether any run was accepted; the label says so.

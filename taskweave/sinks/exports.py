@@ -33,7 +33,7 @@ def write_csv(cells: DataFrame, path: str) -> None:
 
 
 def truth_cells(rows: DataFrame) -> DataFrame:
-    """The 28 columns of the task export, as text."""
+    """The 28 columns of the task export, as text. Names and wording are fixed."""
     c = F.col
     sure = lambda name: yes_no(F.coalesce(c(name), F.lit(False)))
     identity = F.when(c("unmerged"), "unmerged: keyed on the submission id").otherwise("keyed by the pipeline family id")
@@ -52,7 +52,7 @@ def truth_cells(rows: DataFrame) -> DataFrame:
 
 
 def audit_cells(rows: DataFrame) -> DataFrame:
-    """The 16 columns of the delivery export, as text."""
+    """The 16 columns of the delivery export, as text. Names are fixed."""
     plain = ["task", "batch", "category", "type", "score", "difficulty", "priority", "acceptance", "trainer", "source", "sha", "size_mb", "versions"]
     names = {"score": "glm"}
     return rows.select(
