@@ -234,3 +234,23 @@ def test_work_left_is_capped_and_resumes(spark):
     misses = spark.createDataFrame([(3, "2026-09-01"), (4, "2026-09-30")], "key long, checked_on string").withColumn("checked_on", F.to_date("checked_on"))
     todo = J.work_left(wanted, known, misses, F.lit("2026-10-01").cast("date"), 7, cap=3)
     assert rows(todo) == [(0,), (3,), (5,)]
+
+
+def test_a_hot_name_on_both_sides_stays_linear(spark):
+    """A name that holds most rows and most audited tasks: no pairs, all rows kept."""
+    n = 20000
+    hot = F.when(F.col("id") % 3 > 0, F.lit("one-name-for-most-of-the-work"))
+    truth = spark.range(n).select(
+        F.concat(F.lit("family:"), F.col("id").cast("string")).alias("id"), F.coalesce(hot, F.concat(F.lit("task-"), F.col("id").cast("string"))).alias("name"), F.lit("v").alias("source")
+    )
+    audit = spark.range(n).select(F.col("id").alias("pos"), F.coalesce(hot, F.concat(F.lit("other-"), F.col("id").cast("string"))).alias("task"))
+    delivered, audited = D.join_delivered(audit, truth)
+    assert rows(delivered.groupBy("method", "delivered_task").agg(F.count("*"))) == [(D.BY_NAME, "one-name-for-most-of-the-work", n - len(range(0, n, 3)))]
+    assert [r["pos"] for r in audited.where("matched").collect()] == [1]
+
+
+def test_one_person_with_a_hot_key(spark):
+    keyed = spark.range(30000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("key"))
+    people = spark.range(30000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("key"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("p"), F.col("id") % 2)).otherwise("only").alias("person"))
+    got = J.one_person(keyed, "id", people).groupBy("named", "person").agg(F.count("*"))
+    assert rows(got) == [("one", "only", 10000), ("several", None, 20000)]
