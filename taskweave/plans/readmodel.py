@@ -535,7 +535,7 @@ def _(t):
 
 @query("w09_manifest_position", "select id, row_number() over (order by case when batch like 'Batch%' then 0 else 1 end, cast(split_part(batch, ' ', 2) as double), batch, pos) as position from r3_deliveries")
 def _(t):
-    return D.manifest_position(t.r3_deliveries).select("id", "position")
+    return D.manifest_position(t.r3_deliveries.select("id", "batch", "pos")).select("id", "position")
 
 
 # --------------------------------------------------------------- orders and sets
