@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taskweave.llm import bpe
+from taskweave.llm import bpe, mixing
 from taskweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -14,3 +14,30 @@ __all__ = ["ORACLES", "QUERIES"]
 @query("op6_bpe")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(
+    "op9_mixing",
+    """with d as (select doc_id, source, md5('mix:' || coalesce(doc_id::varchar, '')) as key, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
+by_source as (select source, sum(size)::bigint as source_size from d group by source),
+placed as (select *, row_number() over (order by source asc nulls last) - 1 as place from by_source),
+weighted as (select *, [5, 2, 1][(place % 3 + 1)::int]::bigint as weight, source_size * 3 as ceiling from placed),
+open as (select *, sum(source_size) over () - coalesce(sum(ceiling) over (order by ceiling / weight, place rows between unbounded preceding and 1 preceding), 0) as rest,
+  sum(weight) over () - coalesce(sum(weight) over (order by ceiling / weight, place rows between unbounded preceding and 1 preceding), 0) as still from weighted),
+first_open as (select rest as level_rest, still as level_still from open where ceiling * still > rest * weight order by ceiling / weight, place limit 1),
+targeted as (select source, place, source_size, case when ceiling * still <= rest * weight then ceiling::double else level_rest::double * weight / level_still end as target from open left join first_open on true),
+total as (select sum(source_size)::bigint as words from by_source),
+edges as (select place, ceil(sum(target) over (order by place rows unbounded preceding) * 65536 / sum(target) over () - 1e-6)::bigint as upper from targeted),
+ranges as (select place, upper, coalesce(lag(upper) over (order by place), 0) as lower from edges),
+slots as (select place, row_number() over (partition by place order by slot) - 1 as rank from (select range as slot, (range * 40503) % 65536 as point from range(65536)) join ranges on point >= lower and point < upper),
+lines as (select d.*, place, source_size, target, coalesce(sum(size) over (partition by place order by key, d.doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from d join targeted t on d.source is not distinct from t.source),
+rounds as (select *, start + source_size * round as line from lines, (select unnest([0, 1, 2]) as round) where size > 0),
+pieces as (select *, unnest(range(((line + 1) * 65536 - 1) // words, ((line + size) * 65536 - 1) // words + 1)) as rank from rounds, total),
+taken as (select place, start, doc_id, size, sum(least(line + size, ((rank + 1) * words) // 65536) - greatest(line, (rank * words) // 65536))::bigint as taken
+  from pieces join slots using (place, rank) group by 1, 2, 3, 4)
+select lines.doc_id, lines.size, source_size, target, coalesce(taken, 0)::bigint as taken from lines left join taken t
+  on lines.place = t.place and lines.start = t.start and lines.doc_id is not distinct from t.doc_id and lines.size = t.size""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
