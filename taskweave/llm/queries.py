@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taskweave.llm import bpe, mixing
+from taskweave.llm import bpe, mixing, warc
 from taskweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -41,3 +41,17 @@ select lines.doc_id, lines.size, source_size, target, coalesce(taken, 0)::bigint
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op8_warc",
+    """with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+firsts as (select hex, min(page_id) as first from p group by hex)
+select page_id, octet_length(encode(html))::bigint as payload_bytes,
+  array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, (1 + 5 * i)::int, 5))::bigint >> s) & 31)::int, 1)), '')), '') as payload_digest,
+  case when page_id > first then 'revisit' else 'response' end as record_type, case when page_id > first then first end as refers_to
+from p join firsts using (hex)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
