@@ -30,7 +30,7 @@ SLOTS = 1 << 16
 # An odd number next to SLOTS / golden ratio: t * GOLDEN mod SLOTS runs through all slots.
 GOLDEN = 40503
 MOST = 3
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 WORD = r"[^\x20\x09-\x0D]++"
 
 

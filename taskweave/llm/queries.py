@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taskweave.llm import bitslice, bpe, mixing, warc
+from taskweave.llm import bitslice, bpe, mixing, nndescent, warc
 from taskweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -69,3 +69,10 @@ select query_id, rank, vec_id, score from ranked where rank <= 5""",
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return bitslice.top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
+# No oracle: the search is approximate. Its recall is measured against brute force in the tests.
+@query("op2_nndescent")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nndescent.nearest(rows, rows.where("vec_id % 50 = 0"))
