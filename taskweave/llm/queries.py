@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from taskweave.llm import bitslice, bpe, mixing, nndescent, warc
+from taskweave.llm import bitslice, bpe, langid, mixing, nndescent, warc
 from taskweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -76,3 +77,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return nndescent.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
+@query("op7_langid")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = langid.learn(docs, ~held_out)
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.language_of(F.col("text"), model).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.ambiguous")
