@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskweave.llm import bitslice, bpe, langid, mixing, nndescent, warc
+from taskweave.llm import bitslice, bpe, langid, mixing, nndescent, quality, warc
 from taskweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -86,3 +86,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(docs, ~held_out)
     found = docs.select("doc_id", held_out.alias("held_out"), langid.language_of(F.col("text"), model).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.ambiguous")
+
+
+@query("op10_quality")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = docs.select("doc_id", held_out.alias("held_out"), quality.score_of(F.col("text"), model, [F.col("n_chars")]).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
