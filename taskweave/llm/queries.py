@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskweave.llm import bitslice, bpe, langid, mixing, nndescent, quality, warc
+from taskweave.llm import bitslice, bpe, langid, minhash, mixing, nndescent, quality, warc
 from taskweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -95,3 +95,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
     found = docs.select("doc_id", held_out.alias("held_out"), quality.score_of(F.col("text"), model, [F.col("n_chars")]).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query(
+    "op5_minhash",
+    """with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words from documents),
+sets as (select doc_id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+  else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) end as s from w),
+sized as (select doc_id, s, len(s)::bigint as n from sets),
+classes as (select min(doc_id) as node, list_sort(s) as s, any_value(n) as n from sized where n > 0 group by list_sort(s)),
+tokens as (select node, n, unnest(s) as t from classes),
+common as (select a.node as x, b.node as y, a.n as xn, b.n as yn, count(*) as inter from tokens a join tokens b on a.t = b.t and a.node < b.node and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) group by all),
+links as (select x, y from common where 100 * inter >= 75 * (xn + yn - inter)),
+edges as (select x, y from links union select y, x from links),
+r(node, other) as (select x, y from edges union select r.node, edges.y from r join edges on r.other = edges.x),
+reach as (select node, min(other) as low from r group by node),
+named as (select c.node, list_sort(c.s) as s, least(c.node, coalesce(low, c.node)) as component from classes c left join reach using (node))
+select doc_id, sized.n as n_shingles, coalesce(component, doc_id) as component_id, doc_id = coalesce(component, doc_id) as kept from sized left join named on list_sort(sized.s) = named.s and sized.n > 0""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
