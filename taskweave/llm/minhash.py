@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.llm.arrays import U, mix, prefix_sums, span_hashes, texts_of, word_hashes
+from taskweave.llm.candidates import wanted_texts
 from taskweave.session import stored
 
 SHINGLE = 5
@@ -135,7 +136,7 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (a, b) of stored ``pairs`` that are linked on the full sets of their texts (id, text)."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-wanted")
-    few = stored(texts.join(wanted, "id", "left_semi"), "near-texts")
+    few = stored(wanted_texts(texts, wanted), "near-texts")
 
     def run(batches):
         last: tuple[str | None, np.ndarray] = (None, np.zeros(0, U))

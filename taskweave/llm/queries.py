@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskweave.llm import bitslice, bpe, langid, minhash, mixing, nndescent, quality, warc
+from taskweave.llm import bitslice, bpe, langid, minhash, mixing, nndescent, quality, substring, warc
 from taskweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -115,3 +115,18 @@ select doc_id, sized.n as n_shingles, coalesce(component, doc_id) as component_i
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op3_substring",
+    """with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+windows as (select doc_id, unnest(range(1, len(words) - 48)) as s, unnest(list_transform(range(1, len(words) - 48), lambda i: md5(array_to_string(words[i:i + 49], ' ')))) as h from w where len(words) >= 50),
+firsts as (select h, min(doc_id) as first from windows group by h),
+hits as (select distinct doc_id, unnest(range(s, s + 50)) as i from windows join firsts using (h) where first < doc_id),
+gone as (select doc_id, list(i) as gone from hits group by doc_id)
+select w.doc_id, len(words)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+  sha256(case when gone is null then array_to_string(words, ' ') else coalesce(array_to_string(list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda p: not list_contains(gone, p[2])), lambda p: p[1]), ' '), '') end) as kept_sha256
+from w left join gone using (doc_id)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents")).drop("spans")
