@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskweave.llm import bitslice, bpe, langid, minhash, mixing, nndescent, quality, substring, warc
+from taskweave.llm import bitslice, bpe, langid, minhash, mixing, nndescent, pii, quality, substring, warc
 from taskweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -130,3 +130,12 @@ from w left join gone using (doc_id)""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents")).drop("spans")
+
+
+# No oracle: the added spans are learned. The base spans are tested against plain regular expressions.
+@query("op1_pii")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.learn(docs))
+    counts = [pii.count(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
