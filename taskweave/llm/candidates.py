@@ -17,8 +17,8 @@ def place(ids: Column) -> Column:
     return F.pmod(F.xxhash64(ids), F.lit(BITS))
 
 
-def wanted_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows (id, text) of ``texts`` whose id is among the ``id`` of ``wanted``."""
+def maybe_wanted(ids: Column, wanted: DataFrame) -> Column:
+    """Whether an id may be among the ``id`` of ``wanted``: true for all that are, and for few others. Null: false."""
     bits = wanted.select(place(F.col("id")).alias("p")).groupBy((F.col("p") / PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("p") % PAGE).alias("bits"))
     filled = np.zeros(BITS // 8, np.uint8)
     for page, raw in bits.toLocalIterator():
@@ -28,5 +28,9 @@ def wanted_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         p = places.to_numpy(zero_copy_only=False)
         return pa.array((filled[p >> 3] >> (p & 7)) & 1 == 1, pa.bool_())
 
-    maybe = F.arrow_udf(run, "boolean")(place(F.col("id")))
-    return texts.where(F.col("id").isNotNull()).where(maybe).join(wanted.select("id"), "id", "left_semi")
+    return F.arrow_udf(run, "boolean")(place(ids)) & ids.isNotNull()
+
+
+def wanted_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (id, text) of ``texts`` whose id is among the ``id`` of ``wanted``."""
+    return texts.where(maybe_wanted(F.col("id"), wanted)).join(wanted.select("id"), "id", "left_semi")

@@ -31,10 +31,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taskweave.llm.arrays import U, mix, prefix_sums, span_hashes, texts_of, word_hashes
-from taskweave.llm.candidates import wanted_texts
+from taskweave.llm.candidates import maybe_wanted, wanted_texts
 from taskweave.session import stored
 
 SHINGLE = 5
@@ -101,7 +102,7 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(id, n, print, keys, signature) of every (id, text); rows without words have only n = 0."""
+    """(id, tag, n, print, keys, signature) of every (id, text); rows without words have only n = 0."""
 
     def run(batches):
         for batch in batches:
@@ -118,9 +119,9 @@ def sketches(texts: DataFrame) -> DataFrame:
                     for column in (prints, keys, signatures):
                         column.append(None)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, longs), pa.array(signatures, longs)], names=["id", "n", "print", "keys", "signature"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["tag"], pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, longs), pa.array(signatures, longs)], names=["id", "tag", "n", "print", "keys", "signature"])
 
-    return texts.mapInArrow(run, "id long, n long, print binary, keys array<long>, signature array<long>")
+    return texts.withColumn("tag", F.xxhash64("text")).mapInArrow(run, "id long, tag long, n long, print binary, keys array<long>, signature array<long>")
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -184,6 +185,33 @@ def components(links: DataFrame, name: str = "near-components") -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; ``kept`` is true for one id of each component."""
     texts = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
+    found = _judged(texts)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that are kept, repeated rows (same id and text) once; rows without an id all stay.
+
+    Rows that are certainly kept are not shuffled.
+    """
+    own = F.struct(*[df[c] for c in df.columns]).alias("row")
+    rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"), own)
+    # The text's hash tells rows of one id apart.
+    hashed = rows.withColumn("tag", F.xxhash64("text"))
+    found = _judged(rows.select("id", "text"), tagged=True)
+    doubtful = found.where("id is not null").groupBy("id", "tag").agg(F.max("kept").alias("kept"), F.count("*").alias("times")).where("not kept or times > 1")
+    doubtful = stored(doubtful.select("id", "tag", "kept"), "near-doubtful")
+    maybe = maybe_wanted(F.col("id"), doubtful)
+    sure = hashed.where(~maybe)
+    judged = hashed.where(maybe).join(doubtful, ["id", "tag"], "left")
+    # Of repeated rows one stays.
+    place = F.row_number().over(W.partitionBy("id", "tag").orderBy(F.to_json("row")))
+    once = judged.where(F.coalesce("kept", F.lit(True))).withColumn("place", place).where("place = 1")
+    return sure.select("row.*").union(once.select("row.*"))
+
+
+def _judged(texts: DataFrame, tagged: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every (id, text), with the text's hash if ``tagged``."""
     rows = stored(sketches(texts), "near-sketches")
     # Equal prints mean equal sets, so any row's columns stand for the class.
     classes = rows.where("id is not null and n > 0").groupBy("print").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("n", "keys", "signature")])
@@ -231,6 +259,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not more.isEmpty():
             links = links.union(more)
             tied = components(links)
-    found = rows.select("id", "n", "print").join(named.select("print", "node"), "print", "left").join(tied, "node", "left")
+    found = rows.select("id", "n", "print", "tag").join(named.select("print", "node"), "print", "left").join(tied, "node", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "node", "id")).cast("long")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
+    extra = ["tag"] if tagged else []
+    return found.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"), *extra)
