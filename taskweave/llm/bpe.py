@@ -26,6 +26,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from taskweave.llm.arrays import BASE, U, chunks, mix, prefix_sums, ragged, span_hashes, texts_of
 
@@ -289,7 +290,7 @@ def single_pieces(c: Codec, text: str) -> list[str]:
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every row."""
     pairs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    out = pairs.select("id").schema.add("ids", "array<int>")
+    out = pairs.select("id").schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         for batch in batches:

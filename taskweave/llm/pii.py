@@ -48,6 +48,8 @@ HINTS = {"email": "mail|contact", "phone": "phone|tel|call|fax|mobile", "card":
 PRECISION = 0.98
 LEAST = 0.9
 ROUNDS, DEPTH, RATE = 30, 3, 0.3
+# Least number of candidates on either side of a test: rare formats are judged by what they share with others.
+LEAF = 20
 SPAN = "struct<kind:int,start:int,end:int>"
 
 
@@ -141,7 +143,7 @@ def described(text: Column, g: int):
 class Tree:
     """One regression tree over tests "feature = value"."""
 
-    def __init__(self, cells: np.ndarray, pull: np.ndarray, curve: np.ndarray, depth: int) -> None:
+    def __init__(self, cells: np.ndarray, total: np.ndarray, pull: np.ndarray, curve: np.ndarray, depth: int) -> None:
         self.test, self.value = None, float(pull.sum() / (curve.sum() + 1.0))
         if depth == 0 or len(cells) < 2:
             return
@@ -149,14 +151,14 @@ class Tree:
         for j, size in enumerate(FEATURES.values()):
             for v in range(size):
                 yes = cells[:, j] == v
-                if yes.all() or not yes.any():
+                if min(total[yes].sum(), total[~yes].sum()) < LEAF:
                     continue
                 gain = sum(pull[s].sum() ** 2 / (curve[s].sum() + 1.0) for s in (yes, ~yes)) - whole
                 if gain > best:
                     best, self.test = gain, (j, v)
         if self.test:
             yes = cells[:, self.test[0]] == self.test[1]
-            self.yes, self.no = (Tree(cells[s], pull[s], curve[s], depth - 1) for s in (yes, ~yes))
+            self.yes, self.no = (Tree(cells[s], total[s], pull[s], curve[s], depth - 1) for s in (yes, ~yes))
 
     def predict(self, cells: np.ndarray) -> np.ndarray:
         if not self.test:
@@ -180,7 +182,7 @@ class Model:
         raw = np.full(len(cells), self.bias)
         for _ in range(ROUNDS if len(cells) else 0):
             p = 1 / (1 + np.exp(-raw))
-            tree = Tree(cells, base - p * total, np.maximum(p * (1 - p) * total, 1e-9), DEPTH)
+            tree = Tree(cells, total, base - p * total, np.maximum(p * (1 - p) * total, 1e-9), DEPTH)
             self.trees.append(tree)
             raw += RATE * tree.predict(cells)
         score = 1 / (1 + np.exp(-raw))

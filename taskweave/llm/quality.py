@@ -83,7 +83,7 @@ def binned(numbers: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     for j, cut in enumerate(edges):
         place = np.where(np.isnan(numbers[:, j]), BINS, np.searchsorted(cut, numbers[:, j], "right"))
         out[np.arange(len(numbers)), j, place] = 1
-    return out.reshape(len(numbers), -1) / np.float32(np.sqrt(max(1, len(edges))))
+    return out.reshape(len(numbers), len(edges) * (BINS + 1)) / np.float32(np.sqrt(max(1, len(edges))))
 
 
 def logits(model: Model, x: np.ndarray) -> np.ndarray:
@@ -162,7 +162,7 @@ def learn(df: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     got = drawn.mapInArrow(run, "draw long, key string, y int, words binary, numbers array<double>").toArrow()
     draws, keys = got["draw"].to_pylist(), got["key"].to_pylist()
     order = sorted(range(len(draws)), key=lambda i: (draws[i], keys[i]))[:max_train]
-    got = got.take(order)
+    got = got.take(pa.array(order, pa.int64()))
     words = np.frombuffer(b"".join(got["words"].to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
     numbers = np.array(got["numbers"].to_pylist(), np.float64).reshape(len(order), len(STATISTICS) + len(meta_cols))
     return fit(words, numbers, got["y"].to_numpy().astype(np.float64))
