@@ -124,7 +124,7 @@ def connector_facts(text: Column) -> Column:
     inline = F.regexp_extract(text, SERVER_INLINE, 1)
     has_inline = text.rlike(SERVER_INLINE)
     # Names inside each server table: the text up to the next bracket.
-    blocks = F.slice(F.split(text, SERVER_TABLE), 2, 1_000_000)
+    blocks = F.filter(F.split(text, SERVER_TABLE), lambda _, i: i > 0)
     in_tables = F.flatten(
         F.transform(
             blocks,
@@ -282,7 +282,7 @@ def package_parts(path: Column) -> Column:
 
     def capital_domain(parts: Column) -> Column:
         third = F.get(parts, F.lit(2))
-        capital = F.concat(F.upper(F.substring(third, 1, 1)), F.lower(F.substring(third, 2, 1_000_000)))
+        capital = F.concat(F.upper(F.substring(third, 1, 1)), F.lower(third.substr(F.lit(2), F.length(third))))
         lowered = (F.size(parts) > 3) & (third == F.lower(third))
         rest = F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0)))
         return F.when(lowered, F.concat(F.slice(parts, 1, 2), F.array(capital), rest)).otherwise(parts)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskweave.functions.names import is_placeholder, name_key, norm_name, plain_key, stem
+from taskweave.functions.names import NOT_RECORDED, is_placeholder, name_key, norm_name, plain_key, stem
 from taskweave.operators.lookups import count_reached, ranked_within, spellings
 from taskweave.session import stored
 
@@ -335,8 +335,10 @@ def manifest_counts(checked: DataFrame) -> DataFrame:
             is_("bucket_state", "absent").alias("absent"),
             is_("live_state", "object", "moved").alias("live_confirmed"),
             is_("live_state", "absent", "repackaged").alias("live_missing"),
+            F.grouping_id().alias("g"),
         )
-        .withColumn("batch", F.coalesce("batch", F.lit("All")))
+        .withColumn("batch", F.when(F.col("g") == 1, F.lit("All")).otherwise(F.coalesce("batch", F.lit(NOT_RECORDED))))
+        .drop("g")
     )
 
 

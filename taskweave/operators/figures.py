@@ -202,15 +202,15 @@ def carried_runs(rows: DataFrame) -> DataFrame:
     return rows.where("carried_over").groupBy(bucket.alias("bucket"), "state").agg(F.count("*").alias("n"))
 
 
-def carried_owners(rows: DataFrame, k: int = 10) -> DataFrame:
-    """The owners with the most carried-over tasks, with how many are settled."""
-    return (
+def carried_owners(rows: DataFrame, k: int | None = None) -> DataFrame:
+    """Owners by carried-over tasks, with how many are settled; the first ``k`` if a page asks for so many."""
+    owners = (
         rows.where("carried_over and owner is not null")
         .groupBy("owner")
         .agg(F.count("*").alias("n"), F.count_if(F.col("state").isin(*SETTLED)).alias("settled"))
         .orderBy(F.col("n").desc(), F.col("settled").desc(), "owner")
-        .limit(k)
     )
+    return owners if k is None else owners.limit(k)
 
 
 def carried_reasons(rows: DataFrame) -> DataFrame:

@@ -209,11 +209,12 @@ def filter_people(rows: DataFrame, payment: str | None = None, search: str | Non
     return rows.where(all_of(tests)).orderBy(F.col("pending_amount").desc(), F.col("accepted_tasks").desc(), "email")
 
 
-def find_folders(folders: DataFrame, term: str, limit: int) -> DataFrame:
-    """Folder paths that contain a term of three characters or more, first ``limit``."""
+def find_folders(folders: DataFrame, term: str, limit: int | None = None) -> DataFrame:
+    """Folder paths that contain a term of three characters or more; the first ``limit`` if a page asks for so many."""
     needle = term.strip().lower()
     hit = F.lower("path").contains(needle) if len(needle) >= 3 else F.lit(False)
-    return folders.where(hit).orderBy("path").limit(limit)
+    found = folders.where(hit).orderBy("path")
+    return found if limit is None else found.limit(limit)
 
 
 # ------------------------------------------------------- earlier manifests' work

@@ -258,14 +258,10 @@ def package_images(readings: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------- incremental snapshots
-def work_left(wanted: DataFrame, known: DataFrame, misses: DataFrame, today: Column, recheck_days: int, cap: int | None = None) -> DataFrame:
-    """Keys still to read: not known, and not missed within the last days.
-
-    ``cap`` bounds the new work of one run; the rest is left for the next.
-    """
+def work_left(wanted: DataFrame, known: DataFrame, misses: DataFrame, today: Column, recheck_days: int) -> DataFrame:
+    """Keys still to read: not known, and not missed within the last days."""
     fresh = misses.where(F.date_diff(today, "checked_on") < recheck_days).select("key")
-    todo = wanted.join(known.select("key"), "key", "left_anti").join(fresh, "key", "left_anti")
-    return todo if cap is None else todo.orderBy("key").limit(cap)
+    return wanted.join(known.select("key"), "key", "left_anti").join(fresh, "key", "left_anti")
 
 
 def merge_snapshot(previous: DataFrame, new: DataFrame, version: str) -> DataFrame:

@@ -29,9 +29,9 @@ def folder_order(rows: DataFrame) -> DataFrame:
 
 
 def sample_groups(rows: DataFrame, key: Column, seed: int, n: int) -> DataFrame:
-    """A repeatable sample of n duplicate groups: the smallest seeded hashes."""
+    """A repeatable sample of n duplicate groups: the smallest digests of key and seed."""
     groups = rows.groupBy(key.alias("key")).agg(F.count("*").alias("submissions")).where("submissions > 1")
-    return groups.withColumn("_h", F.xxhash64("key", F.lit(seed))).orderBy("_h", "key").limit(n).drop("_h")
+    return groups.withColumn("_h", F.md5(F.concat("key", F.lit(f":{seed}")))).orderBy("_h", "key").limit(n).drop("_h")
 
 
 def not_found_listing(traced: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskweave.functions.names import bench_key, is_person, name_variants, plain_key, tracker_key
+from taskweave.functions.names import NOT_RECORDED, bench_key, is_person, name_variants, plain_key, tracker_key
 from taskweave.operators.lookups import one_person, spellings
 
 # The label of each route and source.
@@ -290,7 +290,7 @@ CONSOLE_STATUS = {
 
 def console_status(state: Column) -> Column:
     named = F.coalesce(*[F.when(state == s, F.lit(v)) for s, v in CONSOLE_STATUS.items()])
-    return F.coalesce(named, F.nullif(F.concat(F.upper(F.substring(state, 1, 1)), F.substring(state, 2, 1000)), F.lit("")), F.lit("Unknown"))
+    return F.coalesce(named, F.nullif(F.concat(F.upper(F.substring(state, 1, 1)), state.substr(F.lit(2), F.length(state))), F.lit("")), F.lit("Unknown"))
 
 
 def console_evidence(console: DataFrame, cycles: DataFrame, folders: DataFrame, roster: DataFrame, legacy_before: str) -> DataFrame:
@@ -360,13 +360,13 @@ def unique_runs(cycles: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
 
 
 def cohort_totals(folders: DataFrame) -> DataFrame:
-    """Tasks per cohort by outcome, with the graded total."""
+    """Tasks per cohort by outcome, and over all; a cohort that is not recorded is one of its own."""
     outcome = lambda o: F.count_if(F.col("outcome") == o)
     return folders.rollup("cohort").agg(
         F.count("*").alias("tasks"), outcome("accepted").alias("accepted"), outcome("rejected").alias("rejected"),
         outcome("unsubmitted").alias("unsubmitted"), outcome("promoted").alias("promoted"),
-        F.count_if(F.col("outcome").isin("accepted", "rejected")).alias("graded"), F.sum("archives").alias("archives"),
-    ).withColumn("cohort", F.coalesce("cohort", F.lit("All")))
+        F.count_if(F.col("outcome").isin("accepted", "rejected")).alias("graded"), F.sum("archives").alias("archives"), F.grouping_id().alias("g"),
+    ).withColumn("cohort", F.when(F.col("g") == 1, F.lit("All")).otherwise(F.coalesce("cohort", F.lit(NOT_RECORDED)))).drop("g")
 
 
 def finalisation_duplicates(folders: DataFrame) -> DataFrame:

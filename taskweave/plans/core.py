@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taskweave.functions import names as N
@@ -465,5 +466,7 @@ def _(t):
 def _(t):
     d = t.r3_deliveries
     built = d.where("bench = 'company'").groupBy(F.col("type").alias("index")).agg(F.max("delivered_on").alias("built_for"))
-    newest = d.agg(F.collect_set("type").alias("kinds"), F.max("delivered_on").alias("current"))
-    return Q.stale_index(built, newest.select(F.explode("kinds").alias("index"), "current"))
+    # A row per type, so the newest day over all is found among these.
+    newest = d.where("type is not null").groupBy(F.col("type").alias("index")).agg(F.max("delivered_on").alias("day"))
+    current = F.max("day").over(W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return Q.stale_index(built, newest.select("index", current.alias("current")))

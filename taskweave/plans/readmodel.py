@@ -81,21 +81,21 @@ def _(t):
 
 @query(
     "f02_filter_delivery",
-    f"with {DEL} select id, batch, trainer, score from del where category is null and type = 'Connector' and difficulty is not null and not is_flagged and (task || coalesce(package_name, '')) ilike '%code%'",
+    f"with {DEL} select id, batch, trainer, score from del where category is null and type = 'Connector' and not is_flagged and (task || coalesce(package_name, '')) ilike '%code%'",
 )
 def _(t):
     f = {"category": "(not recorded)", "type": "Connector", "flagged": "no", "search": "Code"}
-    return S.filter_delivery(delivery_rows(t), f).where("difficulty is not null").select("id", "batch", "trainer", "score")
+    return S.filter_delivery(delivery_rows(t), f).select("id", "batch", "trainer", "score")
 
 
 @query(
     "f03_filter_finalisation",
-    f"{_FINDUP} select pos from x join g using (name) where outcome = 'accepted' and group_size > 1 and updated between date '2024-01-10' and date '2024-02-05' and cohort <> 'qc_accepted'",
+    f"{_FINDUP} select pos from x join g using (name) where outcome = 'accepted' and group_size > 1 and updated between date '2024-01-10' and date '2024-02-05'",
 )
 def _(t):
     rows = t.r11_folders.join(W.finalisation_duplicates(t.r11_folders), "pos")
     f = {"outcome": "accepted", "duplicates": "groups", "start": "2024-01-10", "end": "2024-02-05"}
-    return S.filter_finalisation(rows, f).where("cohort <> 'qc_accepted'").select("pos")
+    return S.filter_finalisation(rows, f).select("pos")
 
 
 @query("f05_filter_ledger", f"with {_PEOPLE} select task_key, email from st where payment_state = 'Not itemised' and type is null and valid and bench = 'computer' and task ilike '%code%'")
@@ -153,10 +153,10 @@ def _(t):
     return S.filter_people(payout_rows(t), "pending", "Computer A").select("email", "pending_amount")
 
 
-@query("f12_find_folders", "select distinct regexp_replace(name, '/[^/]*$', '') as path from r2_objects where regexp_replace(name, '/[^/]*$', '') ilike '%task-1%' order by 1 limit 50")
+@query("f12_find_folders", "select distinct regexp_replace(name, '/[^/]*$', '') as path from r2_objects where regexp_replace(name, '/[^/]*$', '') ilike '%task-1%' order by 1")
 def _(t):
     paths = t.r2_objects.select(F.regexp_replace("name", "/[^/]*$", "").alias("path")).distinct()
-    return S.find_folders(paths, "TASK-1", 50)
+    return S.find_folders(paths, "TASK-1")
 
 
 # --------------------------------------------------------------------- figures
@@ -303,7 +303,7 @@ def _(t):
     return G.carried_runs(t.r10_truth)
 
 
-@query("a39_carried_owners", "select owner, count(*) as n, count(*) filter (where state in ('accepted', 'legacy accepted')) as settled from r10_truth where carried_over and owner is not null group by 1 order by 2 desc, 3 desc, 1 limit 10")
+@query("a39_carried_owners", "select owner, count(*) as n, count(*) filter (where state in ('accepted', 'legacy accepted')) as settled from r10_truth where carried_over and owner is not null group by 1 order by 2 desc, 3 desc, 1")
 def _(t):
     return G.carried_owners(t.r10_truth)
 
@@ -559,7 +559,10 @@ def _(t):
     return O.folder_order(t.r10_truth.select("id", "decided", "name"))
 
 
-@query("o05_sample_groups")
+@query(
+    "o05_sample_groups",
+    f"select key, submissions from (select {X.key('name')} as key, count(*) as submissions from r13_console group by 1 having count(*) > 1) order by md5(key || ':42'), key limit 100",
+)
 def _(t):
     return O.sample_groups(t.r13_console, N.name_key(c("name")), 42, 100)
 

@@ -228,12 +228,12 @@ def test_without_a_listing_earlier_answers_stand(spark):
     assert rows(got) == [("a", "moved", "2026-09-01"), ("b", None, None)]
 
 
-def test_work_left_is_capped_and_resumes(spark):
+def test_work_left_is_all_that_is_open(spark):
     wanted = spark.range(10).select(F.col("id").alias("key"))
     known = spark.createDataFrame([(1,), (2,)], "key long")
     misses = spark.createDataFrame([(3, "2026-09-01"), (4, "2026-09-30")], "key long, checked_on string").withColumn("checked_on", F.to_date("checked_on"))
-    todo = J.work_left(wanted, known, misses, F.lit("2026-10-01").cast("date"), 7, cap=3)
-    assert rows(todo) == [(0,), (3,), (5,)]
+    todo = J.work_left(wanted, known, misses, F.lit("2026-10-01").cast("date"), 7)
+    assert rows(todo) == [(0,), (3,), (5,), (6,), (7,), (8,), (9,)]
 
 
 def test_a_hot_name_on_both_sides_stays_linear(spark):

@@ -163,3 +163,15 @@ def test_gate_eras_are_as_of(spark):
 
     for when, label in [("2026-09-01 00:00:00", "Opus gate"), ("2026-09-15 03:40:49", "KESTREL on"), ("2026-09-16 05:06:53", "KESTREL on"), ("2026-10-01 00:00:00", "KESTREL full")]:
         assert value(spark, gate_era(F.lit(when).cast("timestamp"), R.GATE_ERAS)) == label
+
+
+def test_texts_beyond_former_bounds(spark):
+    """No text or list is cut at a length."""
+    from taskweave.functions.packages import connector_facts, package_parts
+    from taskweave.operators.owners import console_status
+
+    long = "x" * 1500
+    rows = spark.createDataFrame([(long, "Real/easier/" + "y" * 1_100_000 + "/a.zip")], "state string, path string")
+    got = rows.select(F.length(console_status(F.col("state"))).alias("n"), F.length(package_parts(F.col("path"))[2]).alias("m")).first()
+    assert (got["n"], got["m"]) == (1500, 1_100_000)
+    assert connector_facts(F.lit("")) is not None
