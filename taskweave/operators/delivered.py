@@ -28,39 +28,30 @@ def method_rank(kind: Column) -> Column:
     return F.array_position(F.array(*[F.lit(m) for m in METHODS]), kind)
 
 
-def _pieces(text: Column) -> Column:
-    """A text cut after every separator; each piece starts where no word is cut."""
-    return F.split(text, r"(?<=[^\p{L}\p{N}])")
+def _clean_starts(text: Column) -> Column:
+    """1-based positions of a text where no word is cut: its start and those behind a separator."""
+    pieces = F.split(text, r"(?<=[^\p{L}\p{N}])")
+    return F.aggregate(pieces, F.array(F.lit(1)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
 
 
 def embedded_in(rows: DataFrame, row_id: str, text: Column, names: DataFrame) -> DataFrame:
     """(row_id, value): names (one ``value`` per row) spelled inside a text as whole segments.
 
-    A name longer than the shortest length is first probed by its opening
-    characters, from every clean start of the text. Only starts whose opening
-    some name has are spelled out to every clean end and compared in full.
+    A name longer than the shortest length is found by its opening characters: from every
+    clean start of a text there is one candidate per length that names of that opening have.
+    A candidate must end where no word is cut, and is then compared in full.
     """
     width = SHORTEST_EMBEDDED + 1
     wanted = names.select("value").where(F.length("value") >= width).distinct()
-    openings = wanted.select(F.substring("value", 1, width).alias("opening")).distinct()
-    from_starts = F.regexp_extract_all(text, F.lit(r"(?:^|(?<=[^\p{L}\p{N}]))(?=(.*))"), F.lit(1))
-    starts = rows.select(row_id, F.explode(from_starts).alias("rest")).where(F.length("rest") >= width)
-    alive = (
-        starts.withColumn("opening", F.substring("rest", 1, width))
-        .join(openings, "opening", "left_semi")
-        .select(row_id, _pieces(F.col("rest")).alias("p"))
-    )
-
-    def ends(j: Column) -> Column:
-        whole = F.array_join(F.slice(F.col("p"), 1, j), "")
-        after = F.get(F.col("p"), j)
-        open_end = after.isNull() | (after == "") | after.rlike(r"^[^\p{L}\p{N}]")
-        return F.array(
-            F.when(whole.rlike(r"[^\p{L}\p{N}]$"), F.substring(whole, F.lit(1), F.length(whole) - 1)), F.when(open_end, whole)
-        )
-
-    every_end = F.flatten(F.transform(F.sequence(F.lit(1), F.size("p")), ends))
-    return alive.select(row_id, F.explode(every_end).alias("value")).join(wanted, "value", "left_semi").select(row_id, "value").distinct()
+    lengths = wanted.select(F.substring("value", 1, width).alias("opening"), F.length("value").alias("size")).distinct()
+    texts = rows.select(row_id, text.alias("_text"))
+    starts = texts.select(row_id, "_text", F.explode(_clean_starts(F.col("_text"))).alias("start"))
+    opened = starts.select(row_id, "start", F.col("_text").substr(F.col("start"), F.lit(width)).alias("opening")).where(F.length("opening") == width)
+    # Only starts whose opening some name has meet their text again.
+    alive = opened.join(lengths, "opening").select(row_id, "start", "size").join(texts, row_id)
+    after = F.col("_text").substr(F.col("start") + F.col("size"), F.lit(1))
+    candidates = alive.where((after == "") | after.rlike(r"^[^\p{L}\p{N}]")).select(row_id, F.col("_text").substr(F.col("start"), F.col("size")).alias("value"))
+    return candidates.join(wanted, "value", "left_semi").select(row_id, "value").distinct()
 
 
 def name_collisions(truth: DataFrame) -> DataFrame:
@@ -74,10 +65,10 @@ def name_collisions(truth: DataFrame) -> DataFrame:
     )
 
 
-def audit_keys(audit: DataFrame, truth: DataFrame) -> DataFrame:
+def audit_keys(audit: DataFrame, truth: DataFrame, collisions: DataFrame | None = None) -> DataFrame:
     """(pos, kind, value): the keys each audited task may be found by."""
     base = audit.select("pos", plain_key(F.col("task")).alias("key")).withColumn("stem", stem(F.col("key")))
-    clear = base.join(name_collisions(truth), "stem", "left_anti")
+    clear = base.join(name_collisions(truth) if collisions is None else collisions, "stem", "left_anti")
     k = plain_key(F.col("name"))
     named = truth.select(F.explode(F.array(k, stem(k))).alias("key")).distinct()
     long_enough = clear.where(F.length("key") > SHORTEST_EMBEDDED).join(named, "key", "left_anti")
@@ -119,8 +110,9 @@ def join_delivered(audit: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataF
     Delivered rows: id, method, delivered_task. Audited tasks: pos, task,
     matched, method, claimed_by, reason.
     """
-    # Both key tables are read several times below, so they are stored once.
-    audits = stored(audit_keys(audit, truth), "audit-keys")
+    # The collisions and both key tables are read several times below, so they are stored once.
+    collisions = stored(name_collisions(truth).select("stem"), "collisions")
+    audits = stored(audit_keys(audit, truth, collisions), "audit-keys")
     rows = stored(row_keys(truth, audits.where(F.col("kind") == BY_ID)), "row-keys")
     names = audit.select("pos", "task")
     claims = stored(
@@ -140,7 +132,7 @@ def join_delivered(audit: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataF
     reached = audits.join(held_by, ["kind", "value"]).groupBy("pos").agg(
         F.min_by("kind", method_rank(F.col("kind"))).alias("method"), F.min("holder").alias("holder")
     )
-    collided = name_collisions(truth).select("stem", F.lit(True).alias("collided"))
+    collided = collisions.withColumn("collided", F.lit(True))
     outcome = (
         audit.withColumn("stem", stem(plain_key(F.col("task"))))
         .join(reached, "pos", "left")

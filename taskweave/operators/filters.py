@@ -115,21 +115,61 @@ def filter_truth(rows: DataFrame, f: Mapping[str, str]) -> DataFrame:
     return rows.where(all_of(list(truth_facets(f).values())))
 
 
-def facet_counts(rows: DataFrame, f: Mapping[str, str], columns: list[str]) -> DataFrame:
+NO_VALUE = "(none)"
+# Values that stay on offer at zero.
+OFFERED = {
+    "state": ("accepted", "rejected", "error", "running", "legacy accepted"),
+    "delivered": ("yes", "ready", "no"),
+    "delivery": ("current", "gateOnly", "none"),
+}
+
+
+def facet_values(f: Mapping[str, str]) -> dict[str, Column]:
+    """The values of each facet that a row counts under, as an array; filtering by one of them keeps the row."""
+    plain = lambda name: F.array(F.coalesce(F.col(name).cast("string"), F.lit(NO_VALUE)))
+    listed = lambda name: F.when(F.size(name) > 0, F.array_distinct(name)).otherwise(F.array(F.lit(NO_VALUE)))
+    held = lambda pairs: F.array_compact(F.array(*[F.when(test, F.lit(value)) for value, test in pairs]))
+    sent, at_bar, flagged = (_true(F.col(n)) for n in ("delivered", "at_current_bar", "possible_duplicate"))
+    kind = connector_type(F.col("connector"), F.col("delivered_type"), F.col("bench"))
+    ready = ready_for_delivery(held=f.get("gate_era") != FAILED_GATE)
+    passes = F.col("glm_passes")
+    return {
+        **{name: plain(name) for name in ("state", "domain", "owner", "confidence", "gate_era")},
+        "finding": listed("findings"),
+        "cohort": listed("cohorts"),
+        "delivered": held([("yes", sent), ("ready", ready), ("no", ~sent)]),
+        "delivery": held([("current", at_bar), ("gateOnly", _true(F.col("gate_only"))), ("none", ~at_bar & (F.coalesce(F.size("cohorts"), F.lit(0)) < 1))]),
+        "carried_over": F.array(F.when(_true(F.col("carried_over")), "yes").otherwise("no")),
+        "duplicate": held([("yes", flagged), ("no", ~flagged), ("likely", _true(F.col("duplicate_tier") == "likely"))]),
+        "connector": F.array(F.when(kind, "yes").when(~kind, "no").otherwise("unknown")),
+        "bench": F.array_compact(F.array(F.coalesce("bench", F.lit("none")), F.when(F.col("bench").isNotNull(), F.col("bench_side")))),
+        "glm": F.array_compact(F.array(F.coalesce(passes.cast("string"), F.lit("none")), F.when(_true((passes > 0) & (passes < F.col("glm_trials"))), F.lit("band")))),
+    }
+
+
+def facet_counts(rows: DataFrame, f: Mapping[str, str], facets: list[str]) -> DataFrame:
     """(facet, value, n): counts per value with that facet's own filter removed.
 
-    One pass: each row carries a flag per facet saying whether all the other
-    facets hold, and only passing (facet, value) pairs are exploded.
+    One pass: a row that passes all other facets is exploded into its values of a facet;
+    list facets count it under each of theirs. Offered values stay at zero. The failed gate
+    stands among the gate eras and is counted with itself as the filter, as filtering would.
     """
-    tests = truth_facets(f)
-    pairs = [
-        F.when(
-            all_of([p for facet, p in tests.items() if facet != column]),
-            F.struct(F.lit(column).alias("facet"), F.coalesce(F.col(column).cast("string"), F.lit("(none)")).alias("value")),
-        )
-        for column in columns
-    ]
-    return rows.select(F.inline(F.array_compact(F.array(*pairs)))).groupBy("facet", "value").agg(F.count("*").alias("n"))
+    tests, values = truth_facets(f), facet_values(f)
+    others = lambda of, facet: all_of([p for name, p in of.items() if name != facet])
+    nothing = F.array().cast("array<struct<facet: string, value: string, n: int>>")
+    parts = [F.when(others(tests, facet), _entries(facet, values[facet])).otherwise(nothing) for facet in facets]
+    if "gate_era" in facets:
+        failed = truth_facets({**f, "gate_era": FAILED_GATE})
+        parts.append(F.when(all_of(list(failed.values())), _entries("gate_era", F.array(F.lit(FAILED_GATE)))).otherwise(nothing))
+    counted = rows.select(F.inline(F.concat(*parts)))
+    offered = [(facet, value, 0) for facet in facets for value in OFFERED.get(facet, ())]
+    if offered:
+        counted = counted.union(rows.sparkSession.createDataFrame(offered, "facet string, value string, n int"))
+    return counted.groupBy("facet", "value").agg(F.sum("n").alias("n"))
+
+
+def _entries(facet: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value"), F.lit(1).alias("n")))
 
 
 def filter_delivery(rows: DataFrame, f: Mapping[str, str]) -> DataFrame:

@@ -88,15 +88,19 @@ def ranked_within(df: DataFrame, group: str, order: str, name: str) -> DataFrame
 
 def _subset_keys(spelled: Column) -> Column:
     """Each non-empty subset of a short array of spellings, as (key, size)."""
-    ordered = F.array_sort(spelled)
-    full = (F.pow(F.lit(2), F.size(ordered)) - 1).cast("int")
-    masks = F.when(full > 0, F.sequence(F.lit(1), full)).otherwise(F.array().cast("array<int>"))
 
-    def subset(mask: Column) -> Column:
-        kept = F.filter(ordered, lambda s, i: F.getbit(mask, i) == 1)
-        return F.struct(F.array_join(kept, "\u0001").alias("key"), F.size(kept).alias("size"))
+    def subsets(ordered: Column) -> Column:
+        full = (F.pow(F.lit(2), F.size(ordered)) - 1).cast("int")
+        masks = F.when(full > 0, F.sequence(F.lit(1), full)).otherwise(F.array().cast("array<int>"))
 
-    return F.transform(masks, subset)
+        def subset(mask: Column) -> Column:
+            kept = F.filter(ordered, lambda s, i: F.getbit(mask, i) == 1)
+            return F.struct(F.array_join(kept, "\u0001").alias("key"), F.bit_count(mask).alias("size"))
+
+        return F.transform(masks, subset)
+
+    # One element, so that the spellings are computed once and then bound.
+    return F.get(F.transform(F.array(F.array_sort(spelled)), subsets), F.lit(0))
 
 
 def count_reached(

@@ -58,10 +58,14 @@ def first_last(rows: DataFrame, group: str, at: Column, who: str) -> DataFrame:
 
 
 def manifest_position(rows: DataFrame) -> DataFrame:
-    """Position of every package: batch order, then manifest order."""
+    """Position of every package: batch order, then manifest order. ``pos`` is unique.
+
+    Only the columns that the order needs are sorted and stored.
+    """
     series, number, text = batch_order(F.col("batch"))
-    keyed = rows.withColumn("_s", series).withColumn("_n", number)
-    return numbered(keyed, [F.col("_s"), F.col("_n"), F.col("batch"), F.col("pos")]).drop("_s", "_n")
+    keyed = rows.select("pos", "batch", series.alias("_s"), number.alias("_n"))
+    placed = numbered(keyed, [F.col("_s"), F.col("_n"), F.col("batch"), F.col("pos")])
+    return rows.join(placed.select("pos", "position"), "pos")
 
 
 def select_for_manifest(rows: DataFrame, excluded: DataFrame | None, size: int | None) -> DataFrame:
@@ -82,7 +86,8 @@ def select_for_manifest(rows: DataFrame, excluded: DataFrame | None, size: int |
     entries = entries.select("*", F.col("rn.name").alias("readable_name"), F.col("rn.source").alias("name_source")).drop("rn", "runs")
     order = [F.col("decided").asc_nulls_first(), F.col("key")]
     chosen = entries if size is None else entries.orderBy(*order).limit(size)
-    return numbered(chosen, order)
+    # Only the order's columns are sorted and stored.
+    return chosen.join(numbered(chosen.select("decided", "key"), order).select("key", "position"), "key")
 
 
 def stands_for(rows: DataFrame, entries: DataFrame) -> DataFrame:

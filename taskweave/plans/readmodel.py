@@ -133,19 +133,37 @@ def _(t):
     return S.exclude_previous(t.r10_truth, S.names_from_delivery(m)).select("id")
 
 
-_FACET = {"state": "state = 'accepted'", "gate_era": "gate_era = 'KESTREL on'", "domain": "domain = 'Legal'"}
+# Each facet's filter here, and the values a row counts under, as SQL.
+_FACET = {
+    "finding": "list_contains(findings, 'HARBOR-CHECK')", "cohort": "list_contains(cohorts, 'qc_accepted')",
+    "delivered": "not delivered", "carried_over": "not carried_over",
+}
+_FACET_FILTER = {"finding": "HARBOR-CHECK", "cohort": "qc_accepted", "delivered": "no", "carried_over": "no"}
+_FACET_VALUES = {
+    **{name: f"[coalesce({name}, '(none)')]" for name in ("state", "gate_era", "domain", "owner")},
+    "finding": "case when len(findings) > 0 then list_distinct(findings) else ['(none)'] end",
+    "cohort": "case when len(cohorts) > 0 then list_distinct(cohorts) else ['(none)'] end",
+    "delivered": f"[case when delivered then 'yes' end, case when {COLLECT} and not delivered and not glm53_failed then 'ready' end, case when not delivered then 'no' end]",
+    "delivery": "[case when at_current_bar then 'current' end, case when gate_only then 'gateOnly' end, case when not at_current_bar and cohorts is null then 'none' end]",
+    "carried_over": "[case when carried_over then 'yes' else 'no' end]",
+    "duplicate": "[case when possible_duplicate then 'yes' end, case when not possible_duplicate then 'no' end, case when duplicate_tier = 'likely' then 'likely' end]",
+    "connector": f"[case when {CTYPE} then 'yes' when not {CTYPE} then 'no' else 'unknown' end]",
+    "bench": "[coalesce(bench, 'none'), case when bench is not null then bench_side end]",
+    "glm": "[coalesce(cast(glm_passes as string), 'none'), case when glm_passes > 0 and glm_passes < glm_trials then 'band' end]",
+}
 
 
-@query(
-    "f10_facet_counts",
-    " union all ".join(
-        f"select '{col}' as facet, coalesce({col}, '(none)') as value, count(*) as n from r10_truth where {' and '.join(w for k, w in _FACET.items() if k != col)} group by 2"
-        for col in ("state", "gate_era", "domain", "owner")
-    ),
-)
+def _facet_sql(asked: dict) -> str:
+    others = lambda facet: " and ".join(["true", *[w for k, w in asked.items() if k != facet]])
+    parts = [f"select '{facet}' as facet, value, 1 as n from (select unnest({values}) as value from r10_truth where {others(facet)}) where value is not null" for facet, values in _FACET_VALUES.items()]
+    parts.append(f"select 'gate_era', 'GLM-5.3 failed', 1 from r10_truth where glm53_failed and {others('gate_era')}")
+    parts += [f"select '{facet}', '{value}', 0" for facet, values in S.OFFERED.items() for value in values]
+    return f"select facet, value, cast(sum(n) as bigint) as n from ({' union all '.join(parts)}) group by 1, 2"
+
+
+@query("f10_facet_counts", _facet_sql(_FACET))
 def _(t):
-    f = {"state": "accepted", "gate_era": "KESTREL on", "domain": "Legal"}
-    return S.facet_counts(t.r10_truth, f, ["state", "gate_era", "domain", "owner"])
+    return S.facet_counts(t.r10_truth, _FACET_FILTER, list(_FACET_VALUES))
 
 
 @query("f11_filter_people", f"with {_ROWS} select email, pending_amount from pr where pending_tasks > 0 and (name || email || team || manager) ilike '%computer a%'")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,25 +45,35 @@ def local_session(cpus: str = "8", app: str = "taskweave") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return folder.rstrip("/")
+
+
+_WORK: ContextVar[str] = ContextVar("work", default="")
 
-    A temporary folder stands in only for a local master; on a cluster a
-    missing ``spark.checkpoint.dir`` is an error.
+
+@contextmanager
+def work_folder(spark: SparkSession) -> Iterator[str]:
+    """Whatever is stored inside goes to a folder of its own, which is dropped at the end.
+
+    A result that reads stored rows must be written or collected before.
     """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
+    path = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+    token = _WORK.set(path)
+    try:
+        yield path
+    finally:
+        _WORK.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def output_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below the work folder in use."""
+    return f"{_WORK.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:

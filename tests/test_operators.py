@@ -40,13 +40,13 @@ def test_embedded_names_equal_a_scan(spark):
     make = lambda n: "".join(rng.choice(words) + rng.choice(["-", "_", "/", "--", ""]) for _ in range(n))
     hays = [(i, "family:" + make(rng.randint(3, 9))) for i in range(120)]
     names = sorted({make(rng.randint(2, 5)) for _ in range(150)} | {"code-c24-cloud-tag-audit"})
-    hays += [(900, "family:code-c24-cloud-tag-audit-2026"), (901, "precode-c24-cloud-tag-audit"), (902, "family:code-c24-cloud-tag-auditor")]
+    hays += [(800, "first line\n/code-c24-cloud-tag-audit\nlast"), (801, "x/" * 20_000 + "code-c24-cloud-tag-audit"), (900, "family:code-c24-cloud-tag-audit-2026"), (901, "precode-c24-cloud-tag-audit"), (902, "family:code-c24-cloud-tag-auditor")]
     expected = sorted((i, n) for i, h in hays for n in names if len(n) > 14 and spelled_whole(h, n))
     got = D.embedded_in(
         spark.createDataFrame(hays, "id int, hay string"), "id", F.col("hay"), spark.createDataFrame([(n,) for n in names], "value string")
     )
     assert rows(got) == sorted(expected, key=str)
-    assert (900, "code-c24-cloud-tag-audit") in expected and not any(i in (901, 902) for i, _n in expected)
+    assert {(i, "code-c24-cloud-tag-audit") for i in (800, 801, 900)} <= set(expected) and not any(i in (901, 902) for i, _n in expected)
 
 
 def walk_the_audit(audits, reach):
@@ -156,15 +156,18 @@ def test_chain_in_one_pass_equals_filters(spark):
     assert got == expected
 
 
-def test_facet_counts_equal_one_filter_per_facet(spark):
-    t = Tables(spark, SMALL).r10_truth
-    f = {"state": "accepted", "domain": "Legal", "gate_era": "KESTREL on"}
-    got = rows(S.facet_counts(t, f, ["state", "domain"]))
-    expected = []
-    for facet in ("state", "domain"):
-        rest = {k: v for k, v in f.items() if k != facet}
-        expected += [(facet, r[facet], r["n"]) for r in S.filter_truth(t, rest).groupBy(facet).agg(F.count("*").alias("n")).collect()]
-    assert got == sorted(expected, key=str)
+def test_facet_counts_equal_one_filter_per_value(spark):
+    """Each count is that of filtering by the value instead of the facet's own filter, also for lists and derived facets."""
+    t = Tables(spark, SMALL).r10_truth.cache()
+    f = {"domain": "Legal", "finding": "HARBOR-CHECK", "delivered": "no"}
+    facets = ["finding", "cohort", "delivered", "delivery", "gate_era", "connector", "glm"]
+    got = S.facet_counts(t, f, facets).collect()
+    for r in got:
+        if r["value"] != S.NO_VALUE:
+            asked = {k: v for k, v in f.items() if k != r["facet"]} | {r["facet"]: r["value"]}
+            assert S.filter_truth(t, asked).count() == r["n"], (r["facet"], r["value"])
+    assert {"ready", "yes", "no"} <= {r["value"] for r in got if r["facet"] == "delivered"}
+    assert S.facet_counts(t, {"domain": "no such"}, ["state"]).agg(F.sum("n"), F.count("*")).first() == (0, 5)
 
 
 def test_inverted_range_is_empty(spark):
