@@ -70,13 +70,13 @@ def one_person(keyed: DataFrame, row_id: str, people: DataFrame) -> DataFrame:
     Smallest and largest name per key are enough to tell one from several.
     """
     per_key = people.groupBy("key").agg(F.min("person").alias("lo"), F.max("person").alias("hi"))
+    return person_of(keyed.join(per_key, "key").groupBy(row_id).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), row_id)
+
+
+def person_of(bounds: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, person, named) from the smallest and largest person, ``lo`` and ``hi``, of each row."""
     named = F.when(F.col("lo").isNull(), "none").when(F.col("lo") == F.col("hi"), "one").otherwise("several")
-    return (
-        keyed.join(per_key, "key")
-        .groupBy(row_id)
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .select(row_id, F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("person"), named.alias("named"))
-    )
+    return bounds.select(row_id, F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("person"), named.alias("named"))
 
 
 def ranked_within(df: DataFrame, group: str, order: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.functions.names import NOT_RECORDED, bench_key, is_person, name_variants, plain_key, tracker_key
-from taskweave.operators.lookups import one_person, spellings
+from taskweave.operators.lookups import one_person, person_of, spellings
 
 # The label of each route and source.
 ROUTE_LABELS = {"object": "GCS package owner", "records": "GCS trainer records", "verdict": "GCS verdict owner"}
@@ -87,16 +87,25 @@ def attribute_folders(scan: DataFrame, records: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ sheet and reviews
-def sheet_row_keys(rows: DataFrame) -> DataFrame:
-    """(id, key): every key a delivered row may be found under in the credit sheet."""
+def sheet_people(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id, person, named) of each delivered row that the credit sheet knows under any of its names.
+
+    Spellings are made once per distinct name and folded to its smallest and largest person;
+    rows then meet names, six at most, and not all spellings.
+    """
     parts = F.filter(F.split("source_uri", "/"), lambda p: p != "")
     names = spellings(
         F.col("task"), F.col("package_name"), F.col("source_folder"), F.substring_index("package_path", "/", -1),
         F.get(parts, F.size(parts) - 1), F.get(parts, F.size(parts) - 2),
     )
+    tracked = F.array_compact(F.array(tracker_key(F.col("package_name")), tracker_key(F.col("source_folder"))))
+    per_key = entries.groupBy("key").agg(F.min("person").alias("lo"), F.max("person").alias("hi"))
     each = rows.select("id", F.explode(names).alias("n"))
-    tracked = rows.select("id", F.explode(F.array_compact(F.array(tracker_key(F.col("package_name")), tracker_key(F.col("source_folder"))))).alias("key"))
-    return variant_rows(each).unionByName(tracked)
+    distinct = each.select(F.col("n").alias("id"), "n").distinct()
+    by_name = variant_rows(distinct).join(per_key, "key").groupBy(F.col("id").alias("n")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    by_key = rows.select("id", F.explode(tracked).alias("key")).join(per_key, "key")
+    met = each.join(by_name, "n").select("id", "lo", "hi").unionByName(by_key.select("id", "lo", "hi"))
+    return person_of(met.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "id")
 
 
 def variant_rows(names: DataFrame) -> DataFrame:
@@ -121,7 +130,9 @@ def sheet_entries(sheet: DataFrame) -> DataFrame:
 
 def sheet_trainer(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """The sheet's trainer where it names one person: fills gaps, replaces for Company Bench."""
-    found = one_person(sheet_row_keys(rows), "id", entries)
+    # A named row of another bench keeps its trainer whatever the sheet says.
+    open_rows = rows.where(_missing(F.col("trainer")) | F.coalesce(F.col("bench") == "company", F.lit(False)))
+    found = sheet_people(open_rows, entries)
     named = ~_missing(F.col("trainer"))
     takes = (F.col("named") == "one") & (~named | ((F.col("bench") == "company") & (F.lower("trainer") != F.col("person"))))
     takes = F.coalesce(takes, F.lit(False))
@@ -136,7 +147,7 @@ def sheet_trainer(rows: DataFrame, entries: DataFrame) -> DataFrame:
 
 def sheet_coverage(rows: DataFrame, entries: DataFrame, owners: DataFrame) -> DataFrame:
     """(bench, state, outcome, n): what the sheet settles. ``owners`` is (id, state, trainer)."""
-    found = one_person(sheet_row_keys(rows), "id", entries)
+    found = sheet_people(rows, entries)
     joined = rows.select("id", "bench").join(owners.select("id", "state", F.col("trainer").alias("owner")), "id", "left").join(found, "id", "left")
     settled = F.col("state") == "attributed"
     open_outcome = (

@@ -69,20 +69,25 @@ def normalise_manifest(tasks: DataFrame, bucket: str) -> DataFrame:
     fam = F.col("family")
     non = fam == "non-connector"
     real = fam.isin("real-aster", "real-zeta", "real")
-    bench = F.when(F.coalesce(real, F.lit(False)) & (F.col("klass") != "Real Connector"), "company").otherwise("computer")
+    bench = F.col("bench")
     filed = F.when((F.col("klass") == "Non-Connector") & (F.size("parts") > 3), F.get("parts", F.lit(2)))
-    domain = F.when(non, F.coalesce(filed, domain_of_package(F.col("task"))))
     labels = F.coalesce(*[F.when(fam == f, F.lit(v)) for f, v in K.DELIVERED_KIND.items()], F.lit("Connector · not classified"))
-    category = F.when(non, F.concat_ws(" · ", F.lit("Non-Connector"), domain)).when(bench == "company", F.lit("CompanyBench")).otherwise(labels)
+    category = F.when(non, F.concat_ws(" · ", F.lit("Non-Connector"), F.col("domain"))).when(bench == "company", F.lit("CompanyBench")).otherwise(labels)
     band = F.coalesce(blank_to_null(F.col("difficulty")), F.when(F.size("parts") > 2, F.get("parts", F.lit(1))))
     series = F.when(F.col("batch").startswith("CompanyBench"), F.lit("CB")).otherwise(F.lit("B"))
-    return base.select(
+    # What several columns read is bound first, a step at a time, so that no expression holds another twice.
+    bound = (
+        base.withColumn("bench", F.when(F.coalesce(real, F.lit(False)) & (F.col("klass") != "Real Connector"), "company").otherwise("computer"))
+        .withColumn("domain", F.when(non, F.coalesce(filed, domain_of_package(F.col("task")))))
+        .withColumn("category", category)
+        .withColumn("harness", F.when(bench == "company", F.when(fam == "real-aster", "aster").when(fam == "real-zeta", "zeta")))
+        .withColumn("band", F.initcap(band))
+    )
+    return bound.select(
         F.concat(series, F.regexp_replace("batch", r"\D", ""), F.lit("-"), F.format_string("%03d", "index")).alias("id"),
         "task", F.when(F.col("package") != F.col("task"), F.col("package")).alias("package_name"), "batch",
-        category.alias("category"), F.col("klass").alias("class"), "family", "family_from", domain.alias("domain"),
-        F.when(non, "Non-connector").otherwise("Connector").alias("type"), bench.alias("bench"),
-        F.when(bench == "company", F.when(fam == "real-aster", "aster").when(fam == "real-zeta", "zeta")).alias("harness"),
-        F.initcap(band).alias("difficulty"), F.col("successes").alias("glm"), K.score_bucket(F.lit(None).cast("string"), F.col("successes")).alias("score"),
+        "category", F.col("klass").alias("class"), "family", "family_from", "domain",
+        F.when(non, "Non-connector").otherwise("Connector").alias("type"), "bench", "harness", F.col("band").alias("difficulty"), F.col("successes").alias("glm"), K.score_bucket(F.lit(None).cast("string"), F.col("successes")).alias("score"),
         F.substring("sha256", 1, 16).alias("sha"), F.round(F.col("size_bytes") / 1e6, 2).alias("size_mb"), "connectors",
         F.col("ref.object").alias("source_object"), F.col("ref.prefix").alias("source_prefix"), F.col("ref.folder").alias("source_folder"), F.col("ref.kind").alias("source_kind"),
     )
