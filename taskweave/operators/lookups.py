@@ -261,6 +261,52 @@ def package_images(readings: DataFrame) -> DataFrame:
     )
 
 
+# How a package's image was read, first choice first.
+FROM_DELIVERED = "the image in the package (delivered zip on Drive)"
+FROM_ARCHIVE = "the image in the package (the archive the manifest names)"
+FROM_NAME = "the image in the package"
+FROM_EARLIER = "the image in the package (earlier copy on Drive)"
+DISAGREE = "package versions disagree"
+DELIVERED_ZIP = "delivered zip"
+
+
+def image_of_packages(packages: DataFrame, names: list[str], copies: DataFrame, archives: DataFrame, readings: DataFrame) -> DataFrame:
+    """(pos, image, read_from): the image each package runs, by the first reading that settles it.
+
+    The delivered copy; the archive the manifest names; the readings under any of its names,
+    if all are of one family; an earlier copy. Where only readings of several families are
+    left there is no image, and ``read_from`` says so. ``packages`` is (pos, batch, zip,
+    archive, names...), ``copies`` (batch, zip, image, read_from), ``archives`` (archive,
+    image), ``readings`` (key, image, family) with no family for a plain image.
+    """
+    copy = copies.groupBy("batch", F.lower("zip").alias("zip_key")).agg(
+        F.min(F.when(F.col("read_from") == DELIVERED_ZIP, F.col("image"))).alias("delivered"),
+        F.min(F.when(F.col("read_from") != DELIVERED_ZIP, F.col("image"))).alias("earlier"),
+    )
+    named = archives.groupBy("archive").agg(F.min("image").alias("archived"))
+    family = F.coalesce("family", F.lit("(plain)"))
+    per_key = readings.groupBy("key").agg(F.min("image").alias("image"), F.min(family).alias("lo"), F.max(family).alias("hi"))
+    keys = packages.select("pos", F.explode(spellings(*[bench_key(F.col(n)) for n in names])).alias("key"))
+    scanned = keys.join(per_key, "key").groupBy("pos").agg(F.min("image").alias("scanned"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    joined = (
+        packages.select("pos", "batch", "archive", F.lower("zip").alias("zip_key"))
+        .join(copy, ["batch", "zip_key"], "left")
+        .join(named, "archive", "left")
+        .join(scanned, "pos", "left")
+    )
+    choices = [
+        (F.col("delivered").isNotNull(), F.col("delivered"), FROM_DELIVERED),
+        (F.col("archived").isNotNull(), F.col("archived"), FROM_ARCHIVE),
+        (F.col("lo") == F.col("hi"), F.col("scanned"), FROM_NAME),
+        (F.col("earlier").isNotNull(), F.col("earlier"), FROM_EARLIER),
+        (F.col("scanned").isNotNull(), F.lit(None).cast("string"), DISAGREE),
+    ]
+    image, how = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for holds, value, label in reversed(choices):
+        image, how = F.when(holds, value).otherwise(image), F.when(holds, F.lit(label)).otherwise(how)
+    return joined.select("pos", image.alias("image"), how.alias("read_from"))
+
+
 # ------------------------------------------------------- incremental snapshots
 def work_left(wanted: DataFrame, known: DataFrame, misses: DataFrame, today: Column, recheck_days: int) -> DataFrame:
     """Keys still to read: not known, and not missed within the last days."""
