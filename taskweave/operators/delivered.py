@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.functions.names import NOT_RECORDED, is_placeholder, name_key, norm_name, plain_key, stem
-from taskweave.operators.lookups import count_reached, ranked_within, spellings
+from taskweave.operators.lookups import count_reached, dealt, ranked_within, spellings
 from taskweave.session import stored
 
 # Match methods, strongest first, and the shortest embedded name.
@@ -100,7 +100,7 @@ def first_claimant(rows: DataFrame, audits: DataFrame) -> DataFrame:
     them, and a task with none claims nothing that was free. So the claimant of
     a row is simply the smallest position that reaches it.
     """
-    first = audits.groupBy("kind", "value").agg(F.min("pos").alias("pos"))
+    first = dealt(audits.groupBy("kind", "value").agg(F.min("pos").alias("pos")), "value")
     return rows.join(first, ["kind", "value"]).groupBy("id").agg(F.min("pos").alias("winner"))
 
 
@@ -123,7 +123,7 @@ def join_delivered(audit: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataF
 
     # The method is that of the last matched audited task reaching the row.
     last = audits.join(matched, "pos", "left_semi").groupBy("kind", "value").agg(F.max("pos").alias("pos"))
-    method = rows.join(last, ["kind", "value"]).groupBy("id").agg(
+    method = rows.join(dealt(last, "value"), ["kind", "value"]).groupBy("id").agg(
         F.max_by("kind", F.struct("pos", -method_rank(F.col("kind")))).alias("method")
     )
     delivered = claims.join(method, "id").select("id", "method", "delivered_task")

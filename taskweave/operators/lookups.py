@@ -19,6 +19,16 @@ def spellings(*cols: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*cols), lambda s: s.isNotNull() & (s != "")))
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """One row per key, dealt out by an exchange of its own.
+
+    AQE splits a hot key only where both sides of a join come straight from an exchange; the
+    sides of a look-up that were just reduced by the same key would not. The key is made
+    anew, so the join deals it again; these rows are few, the other side's are many.
+    """
+    return df.withColumn(key, F.concat(F.col(key), F.lit("")))
+
+
 def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
     """One row holding the columns of several one-row frames."""
     stacked = one_row_frames[0]
@@ -70,7 +80,7 @@ def one_person(keyed: DataFrame, row_id: str, people: DataFrame) -> DataFrame:
     Smallest and largest name per key are enough to tell one from several.
     """
     per_key = people.groupBy("key").agg(F.min("person").alias("lo"), F.max("person").alias("hi"))
-    return person_of(keyed.join(per_key, "key").groupBy(row_id).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), row_id)
+    return person_of(keyed.join(dealt(per_key, "key"), "key").groupBy(row_id).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), row_id)
 
 
 def person_of(bounds: DataFrame, row_id: str) -> DataFrame:

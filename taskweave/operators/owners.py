@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.functions.names import NOT_RECORDED, bench_key, is_person, name_variants, plain_key, tracker_key
-from taskweave.operators.lookups import one_person, person_of, spellings
+from taskweave.operators.lookups import dealt, one_person, person_of, spellings
 
 # The label of each route and source.
 ROUTE_LABELS = {"object": "GCS package owner", "records": "GCS trainer records", "verdict": "GCS verdict owner"}
@@ -102,9 +102,9 @@ def sheet_people(rows: DataFrame, entries: DataFrame) -> DataFrame:
     per_key = entries.groupBy("key").agg(F.min("person").alias("lo"), F.max("person").alias("hi"))
     each = rows.select("id", F.explode(names).alias("n"))
     distinct = each.select(F.col("n").alias("id"), "n").distinct()
-    by_name = variant_rows(distinct).join(per_key, "key").groupBy(F.col("id").alias("n")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    by_name = variant_rows(distinct).join(dealt(per_key, "key"), "key").groupBy(F.col("id").alias("n")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     by_key = rows.select("id", F.explode(tracked).alias("key")).join(per_key, "key")
-    met = each.join(by_name, "n").select("id", "lo", "hi").unionByName(by_key.select("id", "lo", "hi"))
+    met = each.join(dealt(by_name, "n"), "n").select("id", "lo", "hi").unionByName(by_key.select("id", "lo", "hi"))
     return person_of(met.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "id")
 
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from taskweave.functions.register import register_rules
 from taskweave.operators import quality as Q
-from taskweave.operators import series as D
 from taskweave.plans import fragments as X
 from taskweave.plans.packages import BENCH
 from taskweave.plans.readmodel import _SELECT, delivery_rows, excluded, manifest_rows
 from taskweave.plans.registry import query
 from taskweave.session import output_path
 from taskweave.sinks import exports as E
+from taskweave.sinks import handover as H
 from taskweave.sinks import publish as P
 from taskweave.sources import listings as L
 from taskweave.sources import manifests as M
@@ -371,17 +371,30 @@ def _(t):
     return back.select("task", "batch", "category", "glm", "acceptance", "trainer", "connectors", "flags", "sha")
 
 
+def handed_over(t, part: str):
+    """One part of a hand-over, read back from its published version."""
+    root = output_path(t.spark, "hand-over")
+    H.publish_hand_over(manifest_rows(t), excluded(t), None, root)
+    return P.read_published(t.spark, root, part)
+
+
 @query("k03_ready_manifest", f"with {_SELECT} select key, id, stands_for, row_number() over (order by decided nulls first, key) as position from ent")
 def _(t):
-    path = output_path(t.spark, "manifest")
-    entries = D.select_for_manifest(manifest_rows(t), excluded(t), None)
-    E.write_json(entries, path)
-    return t.spark.read.schema(entries.schema).json(path).select("key", "id", "stands_for", "position")
+    return handed_over(t, "entries").select("key", "id", "stands_for", "position")
 
 
 @query("k03_stands_for", f"with {_SELECT} select key, id from k where key in (select key from ent)")
 def _(t):
-    return D.stands_for(manifest_rows(t), D.select_for_manifest(manifest_rows(t), excluded(t), None))
+    return handed_over(t, "stands_for")
+
+
+@query(
+    "k03_arithmetic",
+    f"""with {_SELECT} select (select count(*) from k) as rows_considered, (select count(*) from x) as distinct_tasks, (select count(*) from x where gone) as excluded, (select count(*) from ent) as taken,
+  (select cast(sum(stands_for) as bigint) from ent) as rows_represented, (select count(*) from x where not gone) as available, cast(0 as bigint) as short_by""",
+)
+def _(t):
+    return handed_over(t, "arithmetic")
 
 
 _ORDER = "case when batch like 'Batch%' then 0 else 1 end, cast(split_part(batch, ' ', 2) as double), batch, pos"

@@ -1,32 +1,57 @@
-"""Publish a table only when its invariants hold; else the previous one stays."""
+"""Publish tables only when their invariants hold; else the previous ones stay."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskweave.operators.quality import holds
 
+POINTER = "version string, number long"
 
-def publish_if_reconciled(df: DataFrame, checks: DataFrame, root: str) -> bool:
+
+def latest(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """Number and name of the latest published version."""
+    try:
+        row = spark.read.schema(POINTER).parquet(f"{root}/pointers").agg(F.max(F.struct("number", "version")).alias("p")).first()["p"]
+    except AnalysisException:
+        return None
+    return (row["number"], row["version"]) if row else None
+
+
+def publish_if_reconciled(tables: DataFrame | dict[str, DataFrame], checks: DataFrame, root: str) -> bool:
     """Write a new version beside the old, then point to it, if every check holds.
 
-    A version is readable only after its pointer row is committed, so a reader
-    never sees half a table, and a failed or lost job leaves the previous one.
+    Several tables of one version become readable together. A version is readable only
+    after its pointer is committed, so a reader never sees half a table, and a failed or lost
+    job leaves the previous one. Versions are numbered, each one above the latest it found;
+    a publisher that finds its number taken takes the next.
     """
     if not holds(checks):
         return False
-    spark = df.sparkSession
+    parts = tables if isinstance(tables, dict) else {"rows": tables}
+    spark = next(iter(parts.values())).sparkSession
     name = uuid.uuid4().hex
-    df.write.parquet(f"{root}/versions/{name}")
-    pointer = spark.range(1).select(F.lit(name).alias("version"), F.current_timestamp().alias("published_at"))
-    pointer.coalesce(1).write.mode("append").parquet(f"{root}/pointers")
-    return True
-
-
-def read_published(spark: SparkSession, root: str) -> DataFrame:
-    """The latest published version."""
-    latest = spark.read.parquet(f"{root}/pointers").agg(F.max_by("version", "published_at").alias("v")).first()["v"]
-    return spark.read.parquet(f"{root}/versions/{latest}")
+    for part, df in parts.items():
+        df.write.parquet(f"{root}/versions/{name}/{part}")
+    pointer = spark.range(1).select(F.lit(name).alias("version")).coalesce(1)
+    while True:
+        found = latest(spark, root)
+        number = found[0] + 1 if found else 1
+        try:
+            pointer.write.mode("error").parquet(f"{root}/pointers/number={number}")
+            return True
+        except AnalysisException as taken:
+            if taken.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+
+
+def read_published(spark: SparkSession, root: str, part: str = "rows") -> DataFrame:
+    """One table of the latest published version."""
+    found = latest(spark, root)
+    if found is None:
+        raise ValueError(f"nothing is published below {root}")
+    return spark.read.parquet(f"{root}/versions/{found[1]}/{part}")

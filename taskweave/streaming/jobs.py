@@ -32,20 +32,56 @@ def stream_canonical(runs: DataFrame) -> DataFrame:
     )
 
 
+KEPT_VERSIONS = 2
+
+
 def write_updates(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write each batch's changed rows to its own folder; a replay overwrites it."""
+    """Fold each batch's changed rows into a current table, a version per batch.
+
+    A batch reads the version before it, writes its own and then a pointer, so a replay gives
+    the same version and a reader never sees half of one. Versions but the last two are dropped.
+    """
+    schema = df.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark = batch.sparkSession
+        known = [v for v in _versions(spark, out) if v < batch_id]
+        rows = batch
+        if known:
+            rows = batch.unionByName(spark.read.schema(schema).parquet(f"{out}/current/v={max(known)}"))
+        folded = rows.groupBy("identity").agg(F.max_by(F.struct(*[c for c in schema.names if c != "identity"]), "rank").alias("w"))
+        folded.select("identity", "w.*").write.mode("overwrite").parquet(f"{out}/current/v={batch_id}")
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{out}/pointers/v={batch_id}")
+        for old in sorted(known)[: 1 - KEPT_VERSIONS or None]:
+            _drop(spark, f"{out}/pointers/v={old}")
+            _drop(spark, f"{out}/current/v={old}")
 
     return df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    place, files = _files(spark, path)
+    files.delete(place, True)
+
+
+def _versions(spark: SparkSession, out: str) -> list[int]:
+    """Versions whose pointer is written; a few at most."""
+    place, files = _files(spark, f"{out}/pointers")
+    if not files.exists(place):
+        return []
+    names = [s.getPath() for s in files.listStatus(place)]
+    return [int(p.getName().removeprefix("v=")) for p in names if files.exists(_files(spark, f"{p.toString()}/_SUCCESS")[0])]
+
+
 def latest_updates(spark: SparkSession, out: str) -> DataFrame:
-    """The current row per identity of a folder of updates."""
-    rows = spark.read.parquet(out)
-    kept = [c for c in rows.columns if c not in ("identity", "batch", "rank")]
-    return rows.groupBy("identity").agg(F.max_by(F.struct(*kept), F.struct("rank", "batch")).alias("w")).select("identity", "w.*")
+    """The current row per identity."""
+    current = spark.read.parquet(f"{out}/current/v={max(_versions(spark, out))}")
+    return current.drop("rank")
 
 
 def write_appends(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -192,6 +192,61 @@ def test_failed_check_keeps_the_previous_version(spark):
     assert rows(P.read_published(spark, root)) == [("accepted",)]
 
 
+def test_versions_are_numbered(spark):
+    root = output_path(spark, "numbered-versions")
+    for state in ("accepted", "rejected", "running"):
+        one = spark.createDataFrame([(state,)], "state string")
+        assert P.publish_if_reconciled({"rows": one, "more": one}, Q.check_partition(one), root)
+        assert rows(P.read_published(spark, root, "more")) == [(state,)]
+    assert P.latest(spark, root)[0] == 3
+
+
+def test_work_folder_is_dropped(spark):
+    from taskweave.session import stored, work_folder
+
+    with work_folder(spark) as path:
+        assert stored(spark.range(5)).count() == 5
+        assert spark.read.parquet(f"{path}/*").count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{path}/*")
+
+
+def test_documents_one_per_file(spark):
+    """The reader of one document per file gives the rows of the one-per-line export."""
+    from taskweave.plans.files import verdict_files
+    from taskweave.sources import records as R
+
+    lines = R.read_envelopes(spark, verdict_files(Tables(spark, SMALL))).limit(30).cache()
+    folder = output_path(spark, "one-per-file")
+    lines.select("body").coalesce(1).write.option("maxRecordsPerFile", 1).text(folder)
+    docs = R.read_documents(spark, folder)
+    assert docs.count() == 30 == docs.select("name").distinct().count()
+    # The submission is read from the file name, which differs.
+    kept = ["task_pos", "state", "owner", "task_name", "decision"]
+    assert rows(R.verdict_rows(docs).select(*kept)) == rows(R.verdict_rows(lines).select(*kept))
+
+
+def test_adaptive_execution_splits_a_hot_name(spark):
+    """With thresholds at this size, the executed plan splits the hot key's partition."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        key = F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("key")
+        keyed = spark.range(200_000, numPartitions=8).select("id", key)
+        people = spark.range(3000).select(key, F.lit("only").alias("person"))
+        got = J.one_person(keyed, "id", people)
+        got.collect()
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_missing_family_is_an_error(spark):
     from taskweave.operators.owners import latest_per_family
 

@@ -30,6 +30,21 @@ def test_canonical_over_batches_equals_batch(spark):
     assert got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty()
 
 
+def test_current_table_of_many_batches_is_a_few_files(spark):
+    """However many batches came, the current rows are one version and old ones are gone."""
+    path, events = split_events(spark, 9)
+    J.read_stream(spark, path, events.schema, files_per_batch=1).createOrReplaceTempView("events_parts")
+    runs = spark.sql(VIEWS["r1_runs"].replace("from events)", "from events_parts)"))
+    out = output_path(spark, "many-batches")
+    query = J.write_updates(J.stream_canonical(runs), f"{out}/rows", f"{out}/checkpoint")
+    query.awaitTermination()
+    assert len(query.recentProgress) >= 9
+    assert len(J._versions(spark, f"{out}/rows")) <= J.KEPT_VERSIONS
+    assert len({f.rsplit("/", 2)[-2] for f in spark.read.parquet(f"{out}/rows/current").inputFiles()}) <= J.KEPT_VERSIONS
+    got = J.latest_updates(spark, f"{out}/rows")
+    assert got.count() == C.canonical_run(C.with_identity(Tables(spark, SMALL).r1_runs)).count()
+
+
 def test_restart_writes_nothing_twice(spark):
     path, events = split_events(spark, 2)
     out = output_path(spark, "daily")
