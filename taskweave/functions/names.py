@@ -153,9 +153,9 @@ def batch_order(batch: Column) -> list[Column]:
     return [series, F.coalesce(digits.try_cast("double"), F.lit(0.0)), batch]
 
 
-def is_person(email: Column) -> Column:
-    """A person's address, not a service account or a shared login."""
-    return F.coalesce(email.contains("@") & ~email.rlike(NOT_A_PERSON), F.lit(False))
+def is_person(email: Column, others: str = NOT_A_PERSON) -> Column:
+    """A person's address, not a service account or a shared login, which ``others`` matches."""
+    return F.coalesce(email.contains("@") & ~email.rlike(others), F.lit(False))
 
 
 def runs_bucket(n: Column) -> Column:

@@ -315,6 +315,6 @@ def status_mix(evaluations: DataFrame) -> DataFrame:
 
 
 def rank_medals(cards: DataFrame, by: list[str], tie: str) -> DataFrame:
-    """Rank of each card; a card list has one row per bench or team."""
+    """Rank of each card. For lists of benches or teams only: the ranking is one task."""
     order = [F.col(c).desc() for c in by] + [F.col(tie)]
     return cards.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("bigint"))

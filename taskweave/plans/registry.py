@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from taskweave.plans.views import Tables, inline
-from taskweave.session import configure
+from taskweave.session import require_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +18,7 @@ def query(name: str, oracle: str | None = None):
 
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            configure(spark)
+            require_utc(spark)
             return fn(Tables(spark, sf_dir))
 
         if name in QUERIES:

@@ -183,7 +183,7 @@ select p_partkey as pos, {_name("p_partkey", "cast(floor(p_partkey / 100) as big
   case p_partkey % 5 when 0 then 'code' when 1 then 'finance' when 2 then 'law' end as domain,
   md5(cast(p_partkey % 1000 as string)) || md5(cast(p_partkey % 1000 + 1 as string)) as sha256,
   date '2024-01-01' + cast(p_size as int) as updated, cast(p_size % 4 + 1 as bigint) as archives,
-  case when p_size % 6 > 0 then 'c' || cast(p_partkey % 200 as string) || case when p_size % 12 = 5 then '@harbor-operator.com' else '@x.com' end end as owner,
+  case when p_size % 6 > 0 then 'c' || cast(p_partkey % 200 as string) || case when p_size % 12 = 5 then '@bots.gserviceaccount.com' else '@x.com' end end as owner,
   p_size % 11 = 0 as owner_contested,
   case when p_partkey % 3 > 0 then {_name("p_partkey", "cast(floor(p_partkey / 200) as bigint)")} end as package_task
 from part""",

@@ -23,7 +23,7 @@ RUNTIME_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on."""
+    """Apply the runtime settings the operators rely on, once, to a session of one's own."""
     for name, value in RUNTIME_SETTINGS.items():
         spark.conf.set(name, value)
     return spark
@@ -44,6 +44,13 @@ def local_session(cpus: str = "8", app: str = "taskweave") -> SparkSession:
     return configure(spark)
 
 
+def require_utc(spark: SparkSession) -> None:
+    """An error unless the session shows instants in UTC; the session itself is left as it is."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone.upper().removeprefix("ETC/") not in ("UTC", "UCT", "GMT", "Z", "ZULU", "+00:00"):
+        raise RuntimeError(f"the session's time zone is {zone}; set spark.sql.session.timeZone to UTC")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
