@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.functions.names import NOT_RECORDED, is_placeholder, name_key, norm_name, plain_key, stem
+from taskweave.operators.figures import preferred_order
+from taskweave.operators.filters import collectable
 from taskweave.operators.lookups import count_reached, dealt, ranked_within, spellings
 from taskweave.session import stored
 
@@ -187,7 +189,7 @@ def whereabouts(unmatched: DataFrame, scan: DataFrame) -> DataFrame:
 
 
 def _collectable(df: DataFrame) -> DataFrame:
-    return df.where(F.col("at_current_bar") & F.col("state").isin("accepted", "legacy accepted"))
+    return df.where(collectable())
 
 
 def manifest_claims(truth: DataFrame, manifest: DataFrame, delivered: DataFrame) -> DataFrame:
@@ -411,12 +413,6 @@ def cohort_counts(folded: DataFrame) -> DataFrame:
     )
 
 
-def _preferred() -> Column:
-    """Latest decided, then most runs, then the smallest id, as a struct to minimise."""
-    day = F.coalesce(F.date_diff(F.col("decided"), F.lit("0001-01-01").cast("date")), F.lit(-1))
-    return F.struct((-day).alias("d"), (-F.col("runs")).alias("r"), F.col("id").alias("i"))
-
-
 def cohort_rows(folders: DataFrame, truth: DataFrame) -> DataFrame:
     """Each folder with the verdict row that best describes it, or none.
 
@@ -425,7 +421,7 @@ def cohort_rows(folders: DataFrame, truth: DataFrame) -> DataFrame:
     best = (
         truth.select("*", F.explode(spellings(name_key(F.col("name")), norm_name(F.col("name")))).alias("key"))
         .groupBy("key")
-        .agg(F.min_by(F.struct("id", "name", "owner", "decided", "runs"), _preferred()).alias("m"))
+        .agg(F.min_by(F.struct("id", "name", "owner", "decided", "runs"), preferred_order()).alias("m"))
     )
     exact = best.select(F.col("key").alias("k1"), F.col("m").alias("m1"))
     loose = best.select(F.col("key").alias("k2"), F.col("m").alias("m2"))

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.operators.lookups import side_by_side
-
-RATE = 300
+from taskweave.sources.tables import RATE
 
 
 def collapse_ledger(records: DataFrame) -> DataFrame:

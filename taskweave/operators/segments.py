@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from taskweave.functions import packages as K
 from taskweave.functions.names import bench_key, name_key
 from taskweave.operators.lookups import agreed, lookup_by_priority, name_pairs
+from taskweave.sources.tables import RATE
 
 # Leaf segments.
 LEAVES = ("company-aster", "company-zeta", "computer-connector", "computer-non-connector")
-RATE = 300
 
 
 def side_of_image(bench: Column, gyms: Column) -> Column:
