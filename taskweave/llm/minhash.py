@@ -8,12 +8,12 @@ chance. Two sets of similarity 0.75 share a band with probability 1 - 1e-8.
 
 Candidates are not all pairs of a bucket. First each member meets the bucket's smallest
 class only; pairs whose estimate is far below the threshold (over six standard errors) go,
-the others are confirmed on the full sets, and confirmed links make components. Then members
-of one bucket that are in different components meet, but of all their pairs only the one of
-the highest estimate per two components; after these are confirmed and joined, whatever
-pairs between different components are left are confirmed too. A group of many near copies
-is joined by links that grow with its size, and no link between different texts is lost:
-a pair that is never looked at lies inside one component.
+the others are confirmed on the full sets, and confirmed links make components. Most groups
+are one component then and done. In the others, members outside the smallest class's
+component are compared with each other and with those inside, a pair of bounded blocks in a
+task, and only links that join components leave it. So rows grow with a group's size, and
+a pair that is never looked at lies inside one component; what is compared grows with the
+product of the members inside and outside.
 
 Only the texts of candidates travel, and their sets are made anew where they meet: sorted
 64-bit hashes of shingles. Components come from repeated joins to the smallest neighbour, written to the shared folder per round.
@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taskweave.llm.arrays import U, mix, prefix_sums, span_hashes, texts_of, word_hashes
-from taskweave.llm.candidates import maybe_wanted, wanted_texts
+from taskweave.llm.candidates import dealt, maybe_wanted, wanted_texts
 from taskweave.session import stored
 
 SHINGLE = 5
@@ -46,6 +46,9 @@ HASHES = ROWS * BANDS
 BITS = 2
 # An estimate errs by at most this but once in 1e9: over six standard errors of HASHES slots.
 MARGIN = 0.25
+# A block of a group: so many rows and shingles at most, as expected by hash.
+BLOCK_ROWS = 1000
+BLOCK_SHINGLES = 500_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEEDS = mix(np.arange(1, HASHES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 MASKS = (SEEDS >> U(32)).astype(np.uint32)
@@ -168,11 +171,11 @@ def components(links: DataFrame, name: str = "near-components") -> DataFrame:
         # Larger neighbours of a node are tied to its smallest neighbour ...
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(dealt(low, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, name)
         # ... and the smaller neighbours and the node itself to the smallest.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = large.join(dealt(least, "u"), "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         small = stored(small.distinct(), name)
         # Done when no node is both tied and tied to.
@@ -182,6 +185,140 @@ def components(links: DataFrame, name: str = "near-components") -> DataFrame:
         edges = small
 
 
+def rejoined(tied: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``tied`` after further links: only components meet, not their nodes."""
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = tied.union(nodes.join(tied, "node", "left_anti").select("node", F.col("node").alias("component")))
+    known = stored(known, "near-known")
+    first, second = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    between = components(links.join(first, "a").join(second, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    moved = between.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return stored(known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "near-joined")
+
+
+class Found:
+    """Links between different components, as few as join what is joined."""
+
+    def __init__(self) -> None:
+        self.low: dict[int, int] = {}
+
+    def root(self, c: int) -> int:
+        while (up := self.low.get(c, c)) != c:
+            c = up
+        return c
+
+    def join(self, c: int, d: int) -> bool:
+        c, d = sorted((self.root(c), self.root(d)))
+        self.low[d] = c
+        return c != d
+
+
+def estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimated similarity of every row of x with every row of y, from packed signatures."""
+    words, out = HASHES // 64, np.empty((len(x), len(y)), np.float32)
+    for lo in range(0, len(x), 32):
+        differ = (x[lo : lo + 32, None, :] ^ y[None]).reshape(-1, len(y), BITS, words)
+        unequal = np.bitwise_count(np.bitwise_or.reduce(differ, axis=2)).sum(axis=2)
+        out[lo : lo + 32] = ((HASHES - unequal) / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
+    return out
+
+
+def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of x with every set of y."""
+    every = np.concatenate([*x, *y])
+    kinds, place, times = np.unique(every, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    # A shingle of one set alone is in no intersection.
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[place]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, (lo, lo + 2048))
+        held = np.zeros((len(x) + len(y), 2048), np.float32)
+        held[owner[a:b], column[a:b] - lo] = 1
+        out += held[: len(x)] @ held[len(x) :].T
+    return out
+
+
+def compared(kind: int, rows: dict[str, list]) -> list[tuple[int, int]]:
+    """Links between different components in one pair of blocks, confirmed on the full sets.
+
+    Kind 0 compares all rows, kind 1 those outside the first's component with those inside.
+    """
+    outside = np.array(rows["outside"], bool)
+    x = np.arange(len(outside)) if kind == 0 else np.flatnonzero(outside)
+    y = x if kind == 0 else np.flatnonzero(~outside)
+    component = np.array(rows["component"], np.int64)
+    packed = np.array(rows["signature"], np.int64).reshape(len(outside), -1)
+    maybe = (estimates(packed[x], packed[y]) >= NUMERATOR / DENOMINATOR - MARGIN) & (component[x][:, None] != component[y])
+    if kind == 0:
+        maybe = np.triu(maybe, 1)
+    if not maybe.any():
+        return []
+    some_x, some_y = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+    sets = {int(i): shingles(rows["text"][i] or "") for i in np.union1d(x[some_x], y[some_y])}
+    left, right = [sets[int(i)] for i in x[some_x]], [sets[int(i)] for i in y[some_y]]
+    both = common(left, right)
+    total = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])
+    hit = maybe[np.ix_(some_x, some_y)] & (both * DENOMINATOR >= (total - both) * NUMERATOR)
+    found, out = Found(), []
+    for i, j in zip(*np.nonzero(hit)):
+        p, q = int(x[some_x[i]]), int(y[some_y[j]])
+        if found.join(int(component[p]), int(component[q])):
+            out.append((rows["node"][p], rows["node"][q]))
+    return out
+
+
+def across(texts: DataFrame, met: DataFrame, tied: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b): links between different components of ``tied``, among nodes that share a bucket.
+
+    All nodes of buckets with one smallest node form a group. Those outside that node's
+    component are compared with each other and with those inside, in blocks of bounded size:
+    a task holds a pair of blocks, compares the signatures and then the full sets of what may
+    be similar, and returns no more links than join the components.
+    """
+    place = met.select("first", "node").distinct().join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = place.where("node = first").select("first", F.col("component").alias("head"))
+    sides = place.join(dealt(heads, "first"), "first").withColumn("outside", F.col("component") != F.col("head")).join(signed, "node")
+    sides = stored(sides.select("first", "node", "component", "outside", "n", "signature"), "near-sides")
+    blocks = lambda own: F.greatest(F.ceil(F.count_if(own) / BLOCK_ROWS), F.ceil(F.sum(F.when(own, F.col("n"))) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    open_ = sides.groupBy("first").agg(F.count_if("outside").alias("others"), blocks(F.col("outside")).alias("out"), blocks(~F.col("outside")).alias("inn")).where("others > 0")
+    rows = sides.join(dealt(open_.select("first", "out", "inn"), "first"), "first")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("out")).otherwise(F.col("inn"))).cast("int")
+    tag = lambda kind, p, q: F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"))
+    outer, inner = F.sequence(F.lit(0), F.col("out") - 1), F.sequence(F.lit(0), F.col("inn") - 1)
+    outside = F.concat(F.transform(outer, lambda j: tag(0, F.least("own", j), F.greatest("own", j))), F.transform(inner, lambda j: tag(1, F.col("own"), j)))
+    inside = F.transform(outer, lambda j: tag(1, j, F.col("own")))
+    dealt_out = rows.withColumn("own", own).select("first", "node", "component", "outside", "signature", F.inline(F.when(F.col("outside"), outside).otherwise(inside)))
+    dealt_out = stored(dealt_out, "near-blocks")
+    few = stored(wanted_texts(texts, dealt_out.select(F.col("node").alias("id")).distinct()), "near-texts")
+    columns = ["first", "kind", "p", "q"]
+    sorted_ = dealt_out.join(few.select(F.col("id").alias("node"), "text"), "node").repartition(*columns).sortWithinPartitions(*columns)
+
+    def run(batches):
+        key, rows = None, {}
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for row in batch.to_pylist():
+                if (own := tuple(row[c] for c in columns)) != key:
+                    out += compared(key[1], rows) if key else []
+                    key, rows = own, {c: [] for c in ("node", "component", "outside", "signature", "text")}
+                for c, values in rows.items():
+                    values.append(row[c])
+            yield _links(out)
+        if key:
+            yield _links(compared(key[1], rows))
+
+    return sorted_.mapInArrow(run, "a long, b long").distinct()
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; ``kept`` is true for one id of each component."""
     texts = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
@@ -220,7 +357,7 @@ def _judged(texts: DataFrame, tagged: bool = False) -> DataFrame:
     entries = classes.select("node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first")
     # Entries of buckets of two members or more: all that follows reads these.
-    met = stored(entries.join(shared, "key").select("key", "node", "first"), "near-buckets")
+    met = stored(entries.join(dealt(shared, "key"), "key").select("key", "node", "first"), "near-buckets")
 
     def close(pairs: DataFrame) -> DataFrame:
         """Pairs that sizes and estimates do not rule out, with the estimate."""
@@ -231,34 +368,9 @@ def _judged(texts: DataFrame, tagged: bool = False) -> DataFrame:
 
     star = stored(close(met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()), "near-star")
     links = stored(confirmed(texts, star), "near-links")
-    tested = star.select("a", "b")
     tied = components(links)
-    for last in (False, True):
-        place = met.select("key", "node").join(tied.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = place.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_ = place.join(mixed, "key", "left_semi").join(signed, "node")
-        a = open_.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("an"), F.col("signature").alias("asig"))
-        b = open_.select(F.col("key").alias("same"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("bn"), F.col("signature").alias("bsig"))
-        size = F.expr(f"least(an, bn) * {DENOMINATOR} >= greatest(an, bn) * {NUMERATOR}")
-        likely = estimate(F.col("asig"), F.col("bsig"))
-        pairs = a.join(b, F.expr("key = same and ca < cb") & size & (likely >= NUMERATOR / DENOMINATOR - MARGIN))
-        pairs = pairs.select("ca", "cb", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likely.alias("estimate"))
-        if last:
-            chosen = pairs.select("a", "b").distinct()
-        else:
-            best = pairs.groupBy("ca", "cb").agg(F.max(F.struct("estimate", "a", "b")).alias("p"))
-            chosen = best.select("p.a", "p.b")
-        chosen = stored(chosen.join(tested, ["a", "b"], "left_anti"), "near-more")
-        if chosen.isEmpty():
-            # The best pair of two components may be a tested one while others are left.
-            if last:
-                break
-            continue
-        more = stored(confirmed(texts, chosen), "near-links")
-        tested = tested.union(chosen.select("a", "b"))
-        if not more.isEmpty():
-            links = links.union(more)
-            tied = components(links)
+    rest = stored(across(texts, met, tied, signed), "near-links")
+    tied = rejoined(tied, rest)
     found = rows.select("id", "n", "print", "tag").join(named.select("print", "node"), "print", "left").join(tied, "node", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "node", "id")).cast("long")
     extra = ["tag"] if tagged else []
