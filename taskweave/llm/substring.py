@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.llm.arrays import U, prefix_sums, span_hashes, texts_of, word_hashes
-from taskweave.llm.candidates import wanted_texts
+from taskweave.llm.candidates import dealt, wanted_texts
 from taskweave.session import stored
 
 WINDOW = 50
@@ -105,7 +105,10 @@ def paths_of(texts: DataFrame) -> DataFrame:
 
 
 def edges_of(texts: DataFrame, branching: DataFrame) -> DataFrame:
-    """(bucket, edge, id, tag, first): the single windows of branching paths, hashed from the texts again."""
+    """(bucket, edge, id, tag, first, windows): the single windows of branching paths, hashed from the texts again.
+
+    Neighbouring windows that are equal (one word over and over) are one row.
+    """
     listed = branching.groupBy("id", "tag").agg(F.collect_list(F.struct("bucket", "first", "windows")).alias("paths"))
     listed = stored(listed, "span-branching")
     joined = wanted_texts(texts, listed.select("id").distinct()).join(listed, "id").select("id", "tag", "text", "paths")
@@ -123,10 +126,12 @@ def edges_of(texts: DataFrame, branching: DataFrame) -> DataFrame:
                 windows = np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)
                 edge = words.hashes(windows, windows + WINDOW).astype(np.int64)
                 bucket = np.repeat(paths.field("bucket").to_numpy(), counts)
-                same = [pa.array(np.full(len(windows), x, np.int64)) for x in (batch["id"][i].as_py(), tag)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(edge), *same, pa.array(windows.astype(np.int32))], names=["bucket", "edge", "id", "tag", "first"])
+                new = np.flatnonzero(np.concatenate([[True], (edge[1:] != edge[:-1]) | (windows[1:] != windows[:-1] + 1)]))
+                size = np.diff(np.append(new, len(edge)))
+                same = [pa.array(np.full(len(new), x, np.int64)) for x in (batch["id"][i].as_py(), tag)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[new]), pa.array(edge[new]), *same, pa.array(windows[new].astype(np.int32)), pa.array(size.astype(np.int32))], names=["bucket", "edge", "id", "tag", "first", "windows"])
 
-    return joined.mapInArrow(run, "bucket long, edge long, id long, tag long, first int")
+    return joined.mapInArrow(run, "bucket long, edge long, id long, tag long, first int, windows int")
 
 
 SPANS = "id long, tag long, start int, words int, source long, source_tag long, source_start int"
@@ -134,14 +139,19 @@ SPANS = "id long, tag long, start int, words int, source long, source_tag long,
 
 def long_spans(found: DataFrame) -> DataFrame:
     """Neighbouring or overlapping windows along one source joined to long spans, a document at a time."""
-    listed = found.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "windows", "source", "source_tag", "source_first")).alias("found"))
+    listed = found.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "windows", "source", "source_tag", "source_first", "step")).alias("found"))
 
     def run(batches):
         for batch in batches:
             rows = []
             for doc, tag, parts in zip(batch["id"].to_pylist(), batch["tag"].to_pylist(), batch["found"]):
-                fields = [parts.values.field(k).to_numpy() for k in range(5)]
-                first, windows, source, source_tag, source_first = (f.astype(np.int64) for f in fields)
+                fields = [parts.values.field(k).to_numpy() for k in range(6)]
+                first, windows, source, source_tag, source_first, step = (f.astype(np.int64) for f in fields)
+                # Equal neighbours are so many windows at one place of the source.
+                times = np.where(step == 0, windows, 1)
+                at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                first, source, source_tag, source_first = (np.repeat(x, times) for x in (first, source, source_tag, source_first))
+                first, windows = first + at, np.repeat(np.where(step == 0, 1, windows), times)
                 shift = source_first - first
                 order = np.lexsort((first, shift, source_tag, source))
                 first, windows, source, source_tag, shift = (x[order] for x in (first, windows, source, source_tag, shift))
@@ -186,18 +196,19 @@ def repeated(texts: DataFrame, paths: DataFrame) -> DataFrame:
     each = paths.where("id is not null").select("id", "tag", F.inline("paths"))
     buckets = each.groupBy("bucket").agg(F.min("id").alias("source"), F.max("id").alias("last"), F.min("print").alias("a"), F.max("print").alias("b"))
     shared = buckets.where("source < last").select("bucket", "source", (F.col("a") != F.col("b")).alias("branches"))
-    met = stored(each.join(shared, "bucket").select("bucket", "id", "tag", "first", "windows", "source", "branches"), "span-paths")
+    met = stored(each.join(dealt(shared, "bucket"), "bucket").select("bucket", "id", "tag", "first", "windows", "source", "branches"), "span-paths")
 
-    def with_source(rows: DataFrame, keys: list[str]) -> DataFrame:
-        """The rows of larger ids, with the first position in the source document."""
+    def with_source(rows: DataFrame, keys: list[str], step: int) -> DataFrame:
+        """The rows of larger ids, with the first position in the source document; a row's next window is ``step`` on there."""
         place = rows.where("id = source").groupBy(*keys).agg(F.min(F.struct("tag", "first")).alias("at"))
-        return rows.where("id > source").join(place, keys).select("id", "tag", "first", "windows", "source", F.col("at.tag").alias("source_tag"), F.col("at.first").alias("source_first"))
+        found = rows.where("id > source").join(dealt(place, *keys), keys)
+        return found.select("id", "tag", "first", "windows", "source", F.col("at.tag").alias("source_tag"), F.col("at.first").alias("source_first"), F.lit(step).alias("step"))
 
     edges = stored(edges_of(texts, met.where("branches")), "span-edges")
     keys = ["bucket", "edge"]
     twice = edges.groupBy(*keys).agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").select(*keys, "source")
-    single = stored(edges.join(twice, keys).withColumn("windows", F.lit(1)), "span-twice")
-    found = with_source(met.where("not branches"), ["bucket"]).union(with_source(single, keys))
+    single = stored(edges.join(dealt(twice, *keys), keys), "span-twice")
+    found = with_source(met.where("not branches"), ["bucket"], 1).union(with_source(single, keys, 0))
     return stored(long_spans(found), "spans")
 
 
