@@ -32,6 +32,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taskweave.llm.candidates import dealt
 from taskweave.session import output_path, stored
 
 MAGIC = b"\x1f\x8b\x08"
@@ -78,7 +79,7 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     digests = stored(rows.where(F.octet_length("html") >= min_bytes).select("id", "sha1"), "warc-digests")
     # The page that the others with the same payload refer to: a row per payload, combined before the shuffle.
     firsts = digests.groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    again = digests.join(firsts, "sha1").where("id is null or id > first").select(F.col("id").alias("again"), F.col("sha1").alias("digest"), "first").distinct()
+    again = digests.join(dealt(firsts, "sha1"), "sha1").where("id is null or id > first").select(F.col("id").alias("again"), F.col("sha1").alias("digest"), "first").distinct()
     marked = rows.join(again, F.expr("id <=> again and sha1 = digest"), "left").select("id", "url", "html", "sha1", "first")
     place_of(folder)[0].create_dir(place_of(folder)[1], recursive=True)
 
