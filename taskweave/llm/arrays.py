@@ -11,7 +11,7 @@ U = np.uint64
 # Odd multipliers; a sequence hash is sum(x[i] * BASE**i) mod 2**64, mixed.
 BASE = 0x9E3779B97F4A7C15
 # Characters (code points) that a task holds as arrays at once, about 40 bytes each.
-CHUNK = 1_000_000
+CHUNK = 400_000
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -87,6 +87,13 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, span_hashes(prefix_sums(BYTES[data]), starts, ends)
 
 
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Slices of record batches, so that few rows at a time become Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Texts of a column, null as empty."""
     return [t or "" for t in column.to_pylist()]

@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from taskweave.llm.arrays import BASE, U, chunks, mix, prefix_sums, ragged, span_hashes, texts_of
+from taskweave.llm.arrays import BASE, U, chunks, mix, parts, prefix_sums, ragged, span_hashes, texts_of
 
-# Pre-tokens and pairs kept per task; when full, the table starts again.
-CACHE = 400_000
+# Pre-tokens in each of two generations, and pairs, kept per task.
+CACHE = 150_000
+PAIRS = 400_000
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 
 
@@ -91,6 +92,7 @@ class Codec:
         self.shorter = {i: self._prefix(self.token[i]) for i in reached}
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         lengths = np.array([len(t) if t else 0 for t in self.token], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.joined = np.frombuffer(b"".join(t or b"" for t in self.token), np.uint8)
@@ -118,7 +120,7 @@ class Codec:
         pair = left << 32 | right
         known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) >= 2 * CACHE:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             known = self.pairs[pair] = self.merged(self.token[left] + self.token[right]) == [left, right]
         return known
@@ -151,9 +153,12 @@ class Codec:
         """Ids of a pre-token as 32-bit integers."""
         known = self.pieces.get(piece)
         if known is None:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            known = self.pieces[piece] = array("i", self.encode_piece(piece)).tobytes()
+            known = self.older.get(piece)
+            if known is None:
+                known = array("i", self.encode_piece(piece)).tobytes()
+            if len(self.pieces) >= CACHE:  # what was not asked for in a generation goes
+                self.older, self.pieces = self.pieces, {}
+            self.pieces[piece] = known
         return known
 
     def cuts(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -199,19 +204,19 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each text."""
-        parts: list[str] = []
+        pieces: list[str] = []
         owner: list[int] = []
         fixed: list[int] = []  # id of a special token, or -1
         for i, text in enumerate(texts):
             for part, special in self._parts(text):
-                parts.append(part)
+                pieces.append(part)
                 owner.append(i)
                 fixed.append(special)
-        if not parts:
+        if not pieces:
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        joined = "".join(parts)
+        joined = "".join(pieces)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        sizes = np.array([len(p) for p in parts], np.int64)
+        sizes = np.array([len(p) for p in pieces], np.int64)
         first = np.cumsum(sizes) - sizes
         starts = self.cuts(points, first)
         ends = np.append(starts[1:], len(points))
@@ -293,7 +298,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     out = pairs.select("id").schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             ids = [own.astype(np.int32) for own in encoded(path, texts_of(batch["text"]))]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
@@ -321,7 +326,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in parts(batches):
             n, listed, decoded = [], [], []
             for ids in encoded(path, texts_of(batch["text"])):
                 n.append(len(ids))

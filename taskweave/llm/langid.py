@@ -186,7 +186,7 @@ def language_of(text: Column, model: Model) -> Column:
     """struct<lang_pred, score, ambiguous> of a text."""
 
     def run(column: pa.Array) -> pa.Array:
-        found = predict_texts(model, column.to_pylist())
+        found = [x for lo in range(0, len(column), 500) for x in predict_texts(model, column.slice(lo, 500).to_pylist())]
         kinds = (pa.string(), pa.float64(), pa.bool_())
         return pa.StructArray.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)], names=["lang_pred", "score", "ambiguous"])
 

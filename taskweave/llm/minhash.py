@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from taskweave.llm.arrays import U, mix, prefix_sums, span_hashes, texts_of, word_hashes
+from taskweave.llm.arrays import U, mix, parts, prefix_sums, span_hashes, texts_of, word_hashes
 from taskweave.llm.candidates import dealt, maybe_wanted, wanted_texts
 from taskweave.session import stored
 
@@ -108,7 +108,7 @@ def sketches(texts: DataFrame) -> DataFrame:
     """(id, tag, n, print, keys, signature) of every (id, text); rows without words have only n = 0."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             n, prints, keys, signatures = [], [], [], []
             for text in texts_of(batch["text"]):
                 own = shingles(text)
@@ -144,7 +144,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         last: tuple[str | None, np.ndarray] = (None, np.zeros(0, U))
-        for batch in batches:
+        for batch in parts(batches):
             keep = []
             for x, y in zip(batch["x"], batch["y"]):
                 # Neighbouring rows have the same first text, which is read once.
@@ -299,7 +299,7 @@ def across(texts: DataFrame, met: DataFrame, tied: DataFrame, signed: DataFrame)
 
     def run(batches):
         key, rows = None, {}
-        for batch in batches:
+        for batch in parts(batches):
             out: list[tuple[int, int]] = []
             for row in batch.to_pylist():
                 if (own := tuple(row[c] for c in columns)) != key:

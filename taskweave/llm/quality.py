@@ -172,6 +172,7 @@ def score_of(text: Column, model: Model, meta: list[Column]) -> Column:
     """Score of a text, 0 to 1: how likely its label is 1."""
 
     def run(column: pa.Array, *columns: pa.Array) -> pa.Array:
-        return pa.array(scores(model, texts_of(column), meta_of(list(columns), len(column))), pa.float64())
+        meta = meta_of(list(columns), len(column))
+        return pa.array([s for lo in range(0, len(column), 500) for s in scores(model, texts_of(column.slice(lo, 500)), meta[lo : lo + 500])], pa.float64())
 
     return F.arrow_udf(run, "double")(text, *[m.cast("double") for m in meta])
