@@ -6,19 +6,24 @@ Base spans of each kind come from its pattern, leftmost and non-overlapping, and
 Generators with high recall propose further, overlapping spans: spelled-out addresses,
 runs of digits with any separators, dotted numbers. A candidate's format (generator, digits,
 separators, checks it passes) and context (neighbouring characters, a telling word before
-it) are its features, all with few values. Counts of candidates per combination of values,
-and of those that are base spans, are gathered over the whole corpus; boosted trees are
-fitted on this small table, and a threshold per kind is the least score at which the
-selected combinations consist of base spans by PRECISION. The trees become CASE expressions.
-What they select is added unless it overlaps a base span; of overlapping additions the first
-by score, then start, then end, stays.
+it) are its features, all with few values. Its label doesn't ask whether the base pattern
+knows the notation: a candidate counts as good if it passes its kind's own check (host form,
+parts, Luhn sum, number of digits; spelled-out marks are read as the marks they stand for)
+and either has the kind's plain shape or a telling word of its kind before it. The
+combinations of values that occur in the whole corpus, and the share of good candidates in
+each, make a small table; boosted trees are fitted on it, and a threshold per kind is the
+least score at which the selected combinations are good by PRECISION. A combination weighs
+the same however often it occurs, and the good and the other ones of a kind weigh the same
+together, so one copy of a notation and thousands get the same result. The trees become CASE
+expressions. What they select is added unless it overlaps a base span; of overlapping
+additions the first by score, then start, then end, stays.
 
 Main path: built-in DataFrame functions only. Positions are code points, from the lengths of
 the matches and of what lies between them.
 
 Defined cases: a null text counts as empty and has no spans; rows are independent, so
-repeated rows get equal results and other columns are not read; without base spans in the
-corpus nothing is added.
+repeated rows get equal results and other columns are not read; without good candidates of a
+kind in the corpus nothing of it is added.
 """
 
 from __future__ import annotations
@@ -48,8 +53,10 @@ HINTS = {"email": "mail|contact", "phone": "phone|tel|call|fax|mobile", "card":
 PRECISION = 0.98
 LEAST = 0.9
 ROUNDS, DEPTH, RATE = 30, 3, 0.3
-# Least number of candidates on either side of a test: rare formats are judged by what they share with others.
-LEAF = 20
+# Least share of the table's weight on either side of a test.
+LEAF = 1e-4
+# Weight of the good, and of the other, combinations of a kind.
+WEIGHT = 100.0
 SPAN = "struct<kind:int,start:int,end:int>"
 
 
@@ -101,7 +108,7 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 # Features and the number of their values; a candidate's features are whole numbers from 0.
-FEATURES = {"generator": 3, "count": 9, "plus": 2, "separators": 5, "luhn": 2, "parts": 3, "spelled": 2, "before": 4, "after": 4, "hint": 5}
+FEATURES = {"generator": 3, "count": 9, "plus": 2, "separators": 5, "luhn": 2, "parts": 3, "spelled": 2, "before": 4, "after": 4, "hint": 5, "sound": 2, "shape": 2}
 
 
 def side(c: Column) -> Column:
@@ -109,6 +116,26 @@ def side(c: Column) -> Column:
     return F.when(c.rlike(r"^\s?$"), 0).when(c.rlike(r"^\p{L}"), 1).when(c.rlike("^[0-9]"), 2).otherwise(3)
 
 
+def sound(kind: int, found: Column) -> Column:
+    """The kind's own check of a candidate, whatever its separators or spelled-out marks."""
+    if kind == 0:
+        name = F.regexp_replace(F.regexp_replace(F.lower(found), r"\x20?(?:@|[(\[]at[)\]])\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
+        return name.rlike("^[a-z0-9_%+-]") & name.rlike("[a-z0-9_%+-]@[a-z0-9]") & name.rlike(r"\.[a-z]{2,}$") & ~name.contains("..")
+    if kind == 1:
+        return found.rlike(r"^[0-9]+(?:\.[0-9]+){3}$") & small_parts(found)
+    return holds(KINDS[kind], found)
+
+
+def plain(kind: int, found: Column) -> Column:
+    """The shape that needs no telling word: no blank at a bare @, one separator throughout a card, a phone's plus."""
+    return {0: ~found.rlike(r"\x20@|@\x20"), 1: F.lit(True), 2: found.rlike(r"^[0-9]++(?:([\x20./-])[0-9]++(?:\1[0-9]++)*+)?$"), 3: found.startswith("+")}[kind]
+
+
+def good(c: Column) -> Column:
+    """The label of a candidate."""
+    return (c["sound"] == 1) & ((c["shape"] == 1) | (c["hint"] == c["kind"] + 1))
+
+
 def candidates(text: Column) -> Column:
     """array<struct<kind,start,end,features...>> of all generators."""
     found = [F.transform(matches(text, pattern, gate), described(text, g)) for g, (_, pattern, gate) in enumerate(GENERATORS)]
@@ -131,9 +158,11 @@ def described(text: Column, g: int):
             hint = F.when(context.rlike(rf"\b(?:{HINTS[kind]})\w*\W*$"), i + 1).otherwise(hint)
         kind = {0: F.lit(0), 1: F.when(found.startswith("+") | (n < 13) | (n > 19), 3).otherwise(2), 2: F.lit(1)}[g]
         before = F.when(m["start"] == 0, F.lit("")).otherwise(F.substring(text, m["start"], F.lit(1)))
+        number = lambda test: F.when(kind == 3, test(3, found)).otherwise(test(2, found)) if g == 1 else test({0: 0, 2: 1}[g], found)
         values = {
             "generator": F.lit(g), "count": count, "plus": found.startswith("+"), "separators": F.lit(4) if g == 0 else separators, "luhn": n.between(13, 19) & luhn(digits),
             "parts": F.lit(0) if g == 0 else parts, "spelled": found.rlike(r"[(\[](at|dot)| @|@ "), "before": side(before), "after": side(F.substring(text, m["end"] + 1, F.lit(1))), "hint": hint,
+            "sound": number(sound), "shape": number(plain),
         }
         return F.struct(kind.cast("int").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), *[values[f].cast("int").alias(f) for f in FEATURES])
 
@@ -143,7 +172,7 @@ def described(text: Column, g: int):
 class Tree:
     """One regression tree over tests "feature = value"."""
 
-    def __init__(self, cells: np.ndarray, total: np.ndarray, pull: np.ndarray, curve: np.ndarray, depth: int) -> None:
+    def __init__(self, cells: np.ndarray, total: np.ndarray, pull: np.ndarray, curve: np.ndarray, depth: int, least: float) -> None:
         self.test, self.value = None, float(pull.sum() / (curve.sum() + 1.0))
         if depth == 0 or len(cells) < 2:
             return
@@ -151,14 +180,14 @@ class Tree:
         for j, size in enumerate(FEATURES.values()):
             for v in range(size):
                 yes = cells[:, j] == v
-                if min(total[yes].sum(), total[~yes].sum()) < LEAF:
+                if min(total[yes].sum(), total[~yes].sum()) < least:
                     continue
                 gain = sum(pull[s].sum() ** 2 / (curve[s].sum() + 1.0) for s in (yes, ~yes)) - whole
                 if gain > best:
                     best, self.test = gain, (j, v)
         if self.test:
             yes = cells[:, self.test[0]] == self.test[1]
-            self.yes, self.no = (Tree(cells[s], total[s], pull[s], curve[s], depth - 1) for s in (yes, ~yes))
+            self.yes, self.no = (Tree(cells[s], total[s], pull[s], curve[s], depth - 1, least) for s in (yes, ~yes))
 
     def predict(self, cells: np.ndarray) -> np.ndarray:
         if not self.test:
@@ -175,26 +204,32 @@ class Tree:
 class Model:
     """Boosted trees on the table of feature combinations, and a threshold per kind."""
 
-    def __init__(self, cells: np.ndarray, kinds: np.ndarray, total: np.ndarray, base: np.ndarray) -> None:
+    def __init__(self, cells: np.ndarray, kinds: np.ndarray, share_good: np.ndarray) -> None:
         self.trees: list[Tree] = []
+        base, other = (np.zeros(len(cells)) for _ in range(2))
+        for k in range(len(KINDS)):
+            for weight, part in ((base, share_good), (other, 1 - share_good)):
+                own = np.where(kinds == k, part, 0)
+                weight += WEIGHT * own / max(own.sum(), 1e-9)
+        total = base + other
         share = (base.sum() + 1) / (total.sum() + 2)
         self.bias = float(np.log(share / (1 - share)))
         raw = np.full(len(cells), self.bias)
         for _ in range(ROUNDS if len(cells) else 0):
             p = 1 / (1 + np.exp(-raw))
-            tree = Tree(cells, total, base - p * total, np.maximum(p * (1 - p) * total, 1e-9), DEPTH)
+            tree = Tree(cells, total, base - p * total, np.maximum(p * (1 - p) * total, 1e-9), DEPTH, LEAF * total.sum())
             self.trees.append(tree)
             raw += RATE * tree.predict(cells)
         score = 1 / (1 + np.exp(-raw))
         self.thresholds = []
         for k in range(len(KINDS)):
-            # The least score from which on the selected combinations are base spans by PRECISION.
+            # The least score from which on the selected combinations are good by PRECISION.
             own = np.flatnonzero(kinds == k)
             own = own[np.argsort(-score[own], kind="stable")]
-            good = np.cumsum(base[own]) >= PRECISION * np.cumsum(total[own])
+            right = np.cumsum(share_good[own]) >= PRECISION * np.arange(1, len(own) + 1)
             # Equal scores are selected together.
-            good &= np.append(score[own][1:] != score[own][:-1], True)[: len(own)]
-            least = score[own][good].min() if (good & (base[own].cumsum() > 0)).any() else 2.0
+            right &= np.append(score[own][1:] != score[own][:-1], True)[: len(own)]
+            least = score[own][right].min() if (right & (share_good[own].cumsum() > 0)).any() else 2.0
             self.thresholds.append(max(LEAST, float(least)))
 
     def score(self, c: Column) -> Column:
@@ -223,17 +258,16 @@ def with_base(df: DataFrame, text: Column) -> DataFrame:
 
 
 def learn(df: DataFrame, text_col: str = "text") -> Model:
-    """Counts feature combinations over all candidates, and fits the model on the counts.
+    """Gathers the feature combinations of all candidates, and fits the model on them.
 
     The collected table has at most a row per combination of feature values and kind.
     """
-    rows = with_base(df.select(df[text_col].alias("text")), F.col("text")).where(F.col("_text").rlike(r"[0-9@]|[(\[]at[)\]]"))
-    each = rows.select("_base", F.explode(candidates(F.col("_text"))).alias("c"))
-    is_base = F.exists("_base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end")))
-    counts = each.select("c.kind", *[f"c.{f}" for f in FEATURES], is_base.cast("long").alias("base")).groupBy("kind", *FEATURES).agg(F.count("*").alias("total"), F.sum("base").alias("base")).collect()
-    counts = sorted(counts, key=lambda r: tuple(r))
-    cells = np.array([[r[f] for f in FEATURES] for r in counts], np.int64).reshape(-1, len(FEATURES))
-    return Model(cells, *(np.array([r[c] for r in counts], np.float64) for c in ("kind", "total", "base")))
+    rows = df.select(F.coalesce(df[text_col].cast("string"), F.lit("")).alias("_text")).where(F.col("_text").rlike(r"[0-9@]|[(\[]at[)\]]"))
+    each = rows.select(F.explode(candidates(F.col("_text"))).alias("c"))
+    shares = each.select("c.kind", *[f"c.{f}" for f in FEATURES], good(F.col("c")).cast("double").alias("good")).groupBy("kind", *FEATURES).agg(F.avg("good").alias("good")).collect()
+    shares = sorted(shares, key=lambda r: tuple(r))
+    cells = np.array([[r[f] for f in FEATURES] for r in shares], np.int64).reshape(-1, len(FEATURES))
+    return Model(cells, *(np.array([r[c] for r in shares], np.float64) for c in ("kind", "good")))
 
 
 def find(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

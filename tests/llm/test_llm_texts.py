@@ -215,6 +215,35 @@ def test_trees_add_like_formats_and_thresholds_hold(spark):
     assert all(got[i]["spans"] == "" for i in range(200, 400))
 
 
+def test_a_notation_counts_the_same_however_often_it_occurs(spark):
+    """Notations that the base patterns miss are added at 1, 30 and 3,000 copies, and others at none."""
+    r = random.Random(8)
+
+    def card(good=True):
+        digits = [r.randrange(10) for _ in range(15)]
+        total = sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits))
+        return "".join(map(str, digits)) + str((-total + (0 if good else 5)) % 10)
+
+    def dotted(number):
+        return ".".join(number[i : i + 4] for i in range(0, 16, 4))
+
+    plain = [f"pay with {card()} now" for _ in range(200)] + [f"order {card(False)} now" for _ in range(200)] + [f"write to joe{i}@site.org now" for i in range(200)]
+    plain += [f"on 12.05.2024 13.06.20{i} we met" for i in range(10, 60)]
+    odd = {
+        f"pay with {dotted(card())} now": "pay with [CARD] now",
+        "ask jane.roe (at) example (dot) com now": "ask [EMAIL] now",
+        "phone: (030) 123-4567-8 now": "phone: [PHONE] now",
+        f"order {dotted(card(False))} now": None,
+        "seen @ home.today now": None,
+    }
+    for copies in (1, 30, 3000):
+        df = docs_of(spark, plain + list(odd) * copies)
+        found = pii.find(df, pii.learn(df))
+        clean = {x["text"]: x["clean"] for x in found.select("text", pii.redacted(F.col("text"), F.col("spans")).alias("clean")).distinct().collect()}
+        assert {t: clean[t] for t in odd} == {t: want or t for t, want in odd.items()}, copies
+        assert all(clean[t] == t for t in plain if t.startswith(("order", "on ")))
+
+
 # ------------------------------------------------------------------- language
 def test_language_of_held_out_texts(spark):
     folder = "/root/testdata/sf0.01"
