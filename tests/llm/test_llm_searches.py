@@ -111,6 +111,31 @@ def test_searches_of_several_shards(spark, monkeypatch):
     assert len(got) == 6
 
 
+def test_tight_groups_in_several_shards(spark, monkeypatch):
+    """Groups larger than a list are pieces of a shard's graph, more of them than fixed entries."""
+    monkeypatch.setattr(nndescent, "SHARD", 5_000)
+    rng = np.random.default_rng(3)
+    rows = np.repeat(rng.normal(size=(150, 16)), 64, axis=0)
+    rows = (rows + 0.01 * rng.normal(size=rows.shape)).astype(np.float32)
+    ids = rng.permutation(len(rows))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, rows)], SCHEMA)
+    got = found(nndescent.nearest(df, df.where("vec_id % 50 = 0")))
+    unit = rows / np.linalg.norm(rows.astype(np.float64), axis=1, keepdims=True)
+    hits = 0
+    for q, pairs in got.items():
+        scores = unit @ unit[ids == q][0]
+        scores[ids == q] = -2
+        hits += len({i for i, _ in pairs} & set(ids[np.lexsort((ids, -scores))[:5]]))
+    assert len(got) == (ids % 50 == 0).sum()
+    assert hits / (5 * len(got)) >= 0.9
+
+
+def test_pieces_of_a_graph():
+    near = np.array([[3, -1], [-1, -1], [4, -1], [5, -1], [-1, -1], [-1, -1], [5, 3]])
+    assert nndescent.pieces(near).tolist() == [0, 1, 2, 0, 2, 0, 0]
+    assert (nndescent.pieces(np.append(np.arange(1, 2000), -1)[:, None]) == 0).all()
+
+
 # ----------------------------------------------------------------------- WARC
 def pages_of(spark):
     r = random.Random(1)
