@@ -2,8 +2,9 @@
 
 Sources share all words by weight; a source's target stops at ``most`` times its
 size and the rest is shared again. The total is cut into ``slots`` equal blocks of
-words. Slot t goes to the source in whose share of the unit interval the golden
-ratio point t * phi falls; with a power of two of slots the points are the integers
+words: 65,536, or so many more that the smallest target above 0 spans ``SPAN`` of them or a
+block is down to a word. Slot t goes to the source in whose share of the unit interval the
+golden ratio point t * phi falls; with a power of two of slots the points are the integers
 t * odd mod slots, each once, so every source gets its share to within one slot. A
 source's slots, by rank, take its blocks: its documents lie one after the other in a
 seeded shuffled order, again from the start when they run out, at most ``most`` times.
@@ -19,6 +20,8 @@ standing; rows with a null id are mixed like others. An empty table gives no row
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,9 +29,11 @@ from pyspark.sql import functions as F
 from taskweave.session import stored
 
 WEIGHTS = (5, 2, 1)
+# The least number of slots, and how many the smallest target spans at least.
 SLOTS = 1 << 16
-# An odd number next to SLOTS / golden ratio: t * GOLDEN mod SLOTS runs through all slots.
-GOLDEN = 40503
+SPAN = 64
+# Slots of a source that one row lists, and that are ranked together.
+CHUNK = 1 << 14
 MOST = 3
 BUCKET_ROWS = 1_000
 WORD = r"[^\x20\x09-\x0D]++"
@@ -71,23 +76,46 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return levels.select("source", "place", "source_size", target.alias("target"))
 
 
+def slots_for(total: int, smallest: float, least: int = SLOTS) -> int:
+    """The power of two of slots for ``total`` words and a smallest target above 0."""
+    wanted = max(least, min(total, math.ceil(SPAN * total / smallest)) if smallest else least)
+    return 1 << (wanted - 1).bit_length()
+
+
+def golden(slots: int) -> int:
+    """The odd number next to slots / golden ratio: t * golden mod slots runs through all slots."""
+    return int(slots * (math.sqrt(5) - 1) / 4) * 2 + 1
+
+
+def wide(expression: str) -> str:
+    """A whole number whose products may leave 64 bits."""
+    return f"cast({expression} as decimal(20,0))"
+
+
 def schedule(targeted: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(place, rank, slot): the slots of each source, in order; ``slots`` rows at most.
 
     A point u (0 to slots-1) belongs to the first source whose running target exceeds
-    u / slots of the total.
+    u / slots of the total. Ranks come from two levels, like positions.
     """
-    spark = targeted.sparkSession
     upto = W.orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
     every = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     edges = targeted.select(
         "place",
         F.ceil(F.sum("target").over(upto) * slots / F.sum("target").over(every) - F.lit(1e-6)).cast("long").alias("upper"),
     ).withColumn("lower", F.coalesce(F.lag("upper").over(W.orderBy("place")), F.lit(0)))
-    owned = edges.where("upper > lower").select("place", F.explode(F.sequence("lower", F.col("upper") - 1)).alias("point"))
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") * GOLDEN, F.lit(slots)).alias("point"))
-    rank = F.row_number().over(W.partitionBy("place").orderBy("slot")) - 1
-    return owned.join(points, "point").select("place", rank.cast("long").alias("rank"), "slot")
+    chunks = edges.where("upper > lower").select("place", "upper", F.explode(F.sequence("lower", F.col("upper") - 1, F.lit(CHUNK).cast("long"))).alias("first"))
+    if slots > SLOTS:
+        chunks = chunks.repartition("place", "first")
+    owned = chunks.select("place", F.explode(F.sequence("first", F.least(F.col("first") + CHUNK, F.col("upper")) - 1)).alias("point"))
+    # The slot of a point, by the step's inverse.
+    back = pow(golden(slots), -1, slots)
+    product = f"point * {back}L" if slots <= 1 << 31 else f"{wide('point')} * {wide(f'{back}L')}"
+    placed = owned.withColumn("slot", F.expr(f"cast(({product}) % {slots}L as bigint)")).withColumn("chunk", F.expr(f"slot div {CHUNK}"))
+    before = W.partitionBy("place").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    offsets = placed.groupBy("place", "chunk").agg(F.count("*").alias("n")).select("place", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(W.partitionBy("place", "chunk").orderBy("slot")) - 1
+    return placed.withColumn("inside", inside).join(offsets, ["place", "chunk"]).select("place", (F.col("offset") + F.col("inside")).cast("long").alias("rank"), "slot")
 
 
 def positions(sized: DataFrame, total_rows: int) -> DataFrame:
@@ -112,16 +140,16 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS,
-    slots: int = SLOTS,
+    slots: int | None = None,
     most: int = MOST,
     seed: str = "mix",
 ) -> DataFrame:
     """(id, source, size, source_size, target, taken, starts) of every document.
 
     ``taken`` counts the words that the schedule takes of it, repeats included; ``starts`` how
-    often its first word is taken. ``slots`` must be a power of two above the odd GOLDEN's reach.
+    often its first word is taken. ``slots``, a power of two, comes from the targets unless given.
     """
-    if slots & (slots - 1):
+    if slots and slots & (slots - 1):
         raise ValueError("slots must be a power of two")
     # The texts are read once; what follows reads ids and sizes.
     sized = stored(df.select(df[id_col].alias("id"), df[source_col].alias("source"), word_count(df[text_col]).alias("size")).withColumn("key", shuffled(seed, F.col("id"))), "mix-sizes")
@@ -132,16 +160,20 @@ def mix(
     placed = stored(positions(_with_target(sized, targeted), rows).drop("key"), "mix-places")
     if not total:
         return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("starts"))
-    rank_of = lambda word: F.expr(f"(({word} + 1) * {slots}L - 1) div {total}L")
+    slots = slots or slots_for(total, targeted.where("target > 0").agg(F.min("target")).first()[0])
+    # Products of lines and slots in decimals where they could leave 64 bits.
+    times = (lambda x, y: f"{x} * {y}") if (most + 1) * total * slots < 1 << 62 else (lambda x, y: f"{wide(x)} * {wide(y)}")
+    rank_of = lambda word: F.expr(f"cast(({times(f'({word} + 1)', f'{slots}L')} - 1) div {total}L as bigint)")
     rounds = placed.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("line", F.col("round") * F.col("source_size") + F.col("begin"))
     # Only rounds that the source's slots can reach.
     rounds = rounds.where(F.col("line") < F.col("target") + F.lit(total) * 2 / slots + 2)
     pieces = rounds.withColumn("rank", F.explode(F.sequence(rank_of("line"), rank_of("line + size - 1"))))
-    start = F.expr(f"greatest(line, (rank * {total}L) div {slots}L)")
-    end = F.expr(f"least(line + size, ((rank + 1) * {total}L) div {slots}L)")
-    # The schedule has ``slots`` rows whatever the input, so it can be sent to all tasks.
+    start = F.expr(f"greatest(line, cast(({times('rank', f'{total}L')}) div {slots}L as bigint))")
+    end = F.expr(f"least(line + size, cast(({times('(rank + 1)', f'{total}L')}) div {slots}L as bigint))")
+    # The schedule grows with the total over the smallest target, so it is shuffled where it is large.
+    owned = schedule(targeted, slots).select("place", "rank")
     taken = (
-        pieces.join(F.broadcast(schedule(targeted, slots).select("place", "rank")), ["place", "rank"])
+        pieces.join(owned.hint("merge") if slots > SLOTS else F.broadcast(owned), ["place", "rank"])
         .groupBy("place", "begin", "id", "size")
         .agg(F.sum(end - start).cast("long").alias("taken"), F.sum((start == F.col("line")).cast("long")).alias("starts"))
         .select(F.col("place").alias("p"), F.col("begin").alias("b"), F.col("id").alias("i"), F.col("size").alias("s"), "taken", "starts")

@@ -350,6 +350,31 @@ def test_mixing(spark):
     assert all(0 <= x["taken"] <= 3 * x["size"] for x in got)
 
 
+def test_a_small_source_beside_a_hot_one(spark):
+    """A source of 300 words beside one of 60 million is taken near its target."""
+    rows = spark.range(2000).select("id", F.when(F.col("id") < 30, F.lit("b")).otherwise(F.lit("a")).alias("source"))
+    df = rows.select(F.col("id").alias("doc_id"), F.when(F.col("source") == "b", F.repeat(F.lit("w "), F.lit(10))).otherwise(F.repeat(F.lit("w "), F.lit(30_000))).alias("text"), "source")
+    got = {x["source"]: x for x in mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert got["b"]["target"] == 900
+    for x in got.values():
+        assert abs(x["taken"] - x["target"]) <= 0.02 * x["target"] + 1
+
+
+def test_slots_follow_the_smallest_target(spark):
+    assert mixing.golden(1 << 16) == 40503
+    assert mixing.slots_for(1000, 10.0) == mixing.slots_for(10**6, 10**5) == 1 << 16
+    assert mixing.slots_for(5 * 10**9, 64.0) == 1 << 33
+    targeted = spark.createDataFrame([(0, 5.0), (1, 0.0), (2, 2.5), (3, 0.5)], "place long, target double")
+    for slots in (1 << 16, 1 << 17):
+        step, ranks = mixing.golden(slots), {}
+        upto = [0, slots * 5 // 8, slots * 5 // 8, slots * 15 // 16, slots]
+        for t in range(slots):
+            place = next(i for i in range(4) if t * step % slots < upto[i + 1])
+            ranks.setdefault(place, []).append(t)
+        got = {(x[0], x[1]): x[2] for x in mixing.schedule(targeted, slots).collect()}
+        assert got == {(p, r): t for p, ts in ranks.items() for r, t in enumerate(ts)}
+
+
 def test_mixing_without_words(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [(x["taken"], x["target"]) for x in mixing.mix(df).collect()] == [(0, 0.0), (0, 0.0)]
