@@ -1,6 +1,6 @@
-"""Removes long repeated spans, by a compacted de Bruijn graph of words.
+"""Removes long repeated spans, by minimiser buckets in place of a compacted de Bruijn graph of words.
 
-Edges are the windows of WINDOW words, from their first to their last WINDOW - 1 words.
+Nodes and their degrees are not built; the graph's terms say what the buckets stand for. Edges are the windows of WINDOW words, from their first to their last WINDOW - 1 words.
 They are not listed one by one: a run of neighbouring windows with the same smallest
 ANCHOR-word hash is one path, known by that hash and by a hash of all its words. Equal
 windows have equal smallest hashes, so a window can repeat only inside its bucket of paths.
