@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskweave.llm import bitslice, bpe, langid, minhash, mixing, nndescent, pii, quality, substring, warc
+from taskweave.llm import bitslice, bpe, hardneg, langid, lexical, minhash, mixing, nndescent, pii, quality, subspace, substring, warc
 from taskweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -139,3 +139,52 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(docs, pii.learn(docs))
     counts = [pii.count(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@query(
+    "op11_lexical",
+    """with words as (select doc_id, row_number() over () as row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from documents),
+counted as (select row, doc_id, term, count(*) as tf from words group by all),
+sized as (select row, sum(tf)::bigint as n from counted group by row),
+total as (select count(*)::bigint as docs, sum(n)::bigint as all_terms from sized),
+item_terms as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark where item_id is not null),
+weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as w from counted, total group by term, docs),
+parts as (select row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // all_terms))) as part from counted join sized using (row) join weights using (term), total),
+scored as (select item_id, row, doc_id, sum(part)::bigint as score from item_terms join parts using (term) group by all having sum(part) > 0),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last)::int as rank, doc_id, score from scored)
+select * from ranked where rank <= 10""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op12_hardneg",
+    """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from scored where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+negatives as (select anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score from positives join scored using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id)::int as rank, negative_id, positive_score, negative_score from negatives
+qualify row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id) <= 10""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hardneg.mine(rows, rows.where("vec_id % 100 = 0"))
+
+
+@query(
+    "op13_subspace",
+    """with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as u from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+edges as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.u, b.u) >= 0.93),
+r(node, other) as (select x, y from edges union select r.node, edges.y from r join edges on r.other = edges.x),
+reach as (select node, min(other) as low from r group by node),
+counted as (select x, count(*) as n from edges group by x)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(low, vec_id)) as component_id, vec_id = least(vec_id, coalesce(low, vec_id)) as kept
+from embeddings left join counted on vec_id = x left join reach on vec_id = node""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -2,13 +2,17 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
+import pytest
 
-from taskweave.llm import bitslice, nndescent, warc
+from taskweave.llm import bitslice, hardneg, nndescent, subspace, vectors, warc
 from taskweave.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -183,3 +187,134 @@ def test_false_magic_is_no_member(tmp_path):
             with pafs.LocalFileSystem().open_input_file(str(path)) as f:
                 offsets += [o for o, _ in warc.members(warc.Source(f, a, len(data)), a, min(a + step, len(data)))]
         assert offsets == [0, len(one) + len(body)]
+
+
+# ------------------------------------------------------------- hard negatives
+def negatives_by_force(rows, positives=5, negatives=10):
+    """rows: (id, vec, label)"""
+    good = {}
+    for i, v, label in rows:
+        if i is not None and label is not None and v is not None and finite(v):
+            q = [math.floor(256 * x) for x in v]
+            good[i] = min(good.get(i, (str(label), q)), (str(label), q))
+    out = []
+    for a, (label, q) in good.items():
+        if a % 100:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(q, p)), i, own) for i, (own, p) in good.items() if i != a)
+        for s, i in [(s, i) for s, i, own in scored if own == label][:positives]:
+            fits = [(t, j) for t, j, own in scored if own != label and 30 * -s <= 100 * -t <= 90 * -s][:negatives]
+            out += [(a, i, rank, j, -s, -t) for rank, (t, j) in enumerate(fits, 1)]
+    return sorted(out)
+
+
+def labelled_vectors(seed=5, n=900):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, 8))
+    rows = [(i, (centres[i % 6] + rng.normal(size=8)).astype(np.float32).tolist(), int(rng.integers(0, 4))) for i in range(n)]
+    rows += [(n + i, rows[100][1], i % 3) for i in range(120)]  # copies, ties, anchors among them
+    return rows + [(5000, None, 1), (5100, [1.0] * 8, None), (5200, [float("nan")] * 8, 1), (5300, [0.0] * 8, 1), (5400, [], 2), (5500, [3.0, 4.0], 2), (5600, [2.0] * 8, 77), (None, [1.0] * 8, 1), (200, rows[200][1], rows[200][2]), (5700, [40_000.0] * 8, 3), (5701, [2.0**23] * 8, 3), (5702, [-(2.0**28)] * 8, 1)]
+
+
+def test_hard_negatives_equal_brute_force(spark, monkeypatch):
+    rows = labelled_vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = lambda: sorted(map(tuple, hardneg.mine(df, df.where("vec_id % 100 = 0")).collect()))
+    want = negatives_by_force(rows)
+    assert got() == want
+    # Several blocks, groups, pieces and short walks give the same.
+    for name, value in (("BLOCK", 100), ("GROUP", 3), ("PIECE", 2), ("STEP", 7), ("CLUSTERS", 3)):
+        monkeypatch.setattr(hardneg, name, value)
+    assert got() == want
+
+
+def test_a_walk_ends_before_its_list(monkeypatch):
+    """Members near their centroid see few rows of a list whose far end can't score."""
+    rng = np.random.default_rng(2)
+    near, far = 1000 + rng.integers(-20, 20, (200, 8)), rng.integers(-20, 20, (5000, 8))
+    q = np.concatenate([far, near])
+    held = hardneg.Rows(pa.table({"id": np.arange(len(q)), "label": ["a"] * len(q), "q": q.tolist()}), 8)
+    seen = []
+    monkeypatch.setattr(hardneg, "products", lambda a, b: seen.append(len(b)) or a @ b.T)
+    unit, _ = hardneg.directions(near[:3])
+    limits = np.full(3, hardneg.LEAST), np.full(3, hardneg.MOST)
+    best = held.walk(unit.mean(axis=0), near[:3], np.array(["a"] * 3, object), np.arange(5000, 5003), True, *limits, np.arange(3), 5)
+    assert sum(seen) < 2000 and len(best.id) == 15
+
+
+def test_products_are_exact_or_an_error():
+    a = np.array([[1 << 30, -(1 << 30)], [3, 4]], np.int64)
+    assert vectors.products(a, a).tolist() == (a.astype(object) @ a.T.astype(object)).tolist()
+    with pytest.raises(OverflowError, match="4611686018427387904"):
+        vectors.products(np.array([[1 << 62, 0]]), np.array([[4, 0]]))
+
+
+# ------------------------------------------------------ near-duplicate vectors
+def linked_by_force(rows, cosine=0.93):
+    vec = {}
+    for i, v, label in rows:
+        if i is not None and label is not None and v and finite(v) and any(v):
+            own = (str(label), list(v))
+            vec[i] = min(vec.get(i, own), own)
+    ids = sorted(vec)
+    width = max(len(v) for _, v in vec.values())
+    m = np.array([v + [0.0] * (width - len(v)) for _, v in (vec[i] for i in ids)])
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    labels = np.array([vec[i][0] for i in ids])
+    near = (m @ m.T >= cosine) & (labels[:, None] == labels)
+    np.fill_diagonal(near, False)
+    low = np.arange(len(ids))
+    while True:
+        new = np.minimum(low, np.where(near, low, len(ids)).min(axis=1))
+        if (new == low).all():
+            break
+        low = new
+    result = {i: (int(near[k].sum()), ids[low[k]]) for k, i in enumerate(ids)}
+    return sorted((str(i), *(result.get(i, (0, i))), i is None or result.get(i, (0, i))[1] == i) for i, _, _ in rows)
+
+
+def grouped_vectors(seed, n=400, width=16, noise=0.12):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, width))
+    rows = [(i, (centres[rng.integers(0, 40)] + noise * rng.uniform(0.2, 2.5) * rng.normal(size=width)).astype(np.float32).tolist(), int(rng.integers(0, 3))) for i in range(n)]
+    rows += [(n + i, rows[5][1], rows[5][2]) for i in range(50)]
+    return rows + [(5000, None, 1), (5001, [1.0] * width, None), (5002, [float("inf")] * width, 1), (5003, [0.0] * width, 1), (5004, [], 1), (5005, [1.0], 1), (5006, [2.0, 0.0, 0.1], 1), (None, [1.0] * width, 1), (7, rows[7][1], rows[7][2]), (8, rows[9][1], rows[9][2]), (5007, [1e200] * width, 2), (5008, [1e-200] * width, 2)]
+
+
+@pytest.mark.parametrize("blocks,chunk", [(4, 2048), (1, 2048), (5, 2048), (4, 20), (16, 7)])
+def test_linked_vectors_equal_brute_force(spark, monkeypatch, blocks, chunk):
+    monkeypatch.setattr(subspace, "CHUNK", chunk)
+    rows = grouped_vectors(blocks)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in subspace.near_duplicates(df, blocks=blocks).collect())
+    assert got == linked_by_force(rows)
+    assert sum(r[1] for r in got) > 2000
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_linked_vectors_of_few_dimensions(spark, width):
+    rng = np.random.default_rng(width)
+    rows = [(i, rng.normal(size=width).tolist(), 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in subspace.near_duplicates(df).collect())
+    assert got == linked_by_force(rows)
+
+
+def test_a_pair_meets_in_its_first_block_only():
+    """Every pair within a block's radius shares exactly one cell, of which one of the two is no visitor."""
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(60, 8))
+    rows = np.concatenate([rows, rows + 0.1 * rng.normal(size=rows.shape)])
+    split = subspace.Split(rows, 8, 0.93)
+    turned = split.turned(rows)
+    met = Counter()
+    for some, b, x, y, home in split.cells(turned):
+        for i, *cell in zip(some.tolist(), x.tolist(), y.tolist()):
+            met[(b, *cell, i)] += 1 if home else 100
+    for b, start in enumerate(split.starts):
+        own = turned[:, start : start + split.sizes[b]].astype(np.float64)
+        for i, j in itertools.combinations(range(len(rows)), 2):
+            if ((own[i] - own[j]) ** 2).sum() <= split.budget[b]:
+                cells = [k for k in met if k[0] == b and k[3] == i and (*k[:3], j) in met]
+                assert sum(met[k] + met[(*k[:3], j)] < 200 for k in cells) == 1

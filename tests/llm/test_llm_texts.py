@@ -1,16 +1,19 @@
 """Operators on texts against plain versions, on small fixtures."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from taskweave.llm import bpe, langid, minhash, mixing, pii, quality, substring
+from taskweave.llm import bpe, langid, lexical, minhash, mixing, pii, quality, substring
 from taskweave.llm.queries import QUERIES
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -378,3 +381,73 @@ def test_slots_follow_the_smallest_target(spark):
 def test_mixing_without_words(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [(x["taken"], x["target"]) for x in mixing.mix(df).collect()] == [(0, 0.0), (0, 0.0)]
+
+
+# ------------------------------------------------------------- lexical search
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms_of(text):
+    return TERM.findall((text or "").translate({i: i + 32 for i in range(65, 91)}))
+
+
+def searched_by_force(docs, items, k=10):
+    counts = [(i, Counter(terms_of(t))) for i, t in docs if terms_of(t)]
+    number, length = len(counts), sum(sum(c.values()) for _, c in counts)
+    asked = {}
+    for i, t in items:
+        if i is not None:
+            asked.setdefault(i, set()).update(terms_of(t))
+    out = []
+    for item, terms in asked.items():
+        weight = {t: math.floor(1000 * math.log((2 * number + 2) / (2 * sum(t in c for _, c in counts) + 1))) for t in terms}
+        scored = []
+        for i, c in counts:
+            m = 100 - 90 + (90 * sum(c.values()) * number) // length
+            score = sum(weight[t] * ((10**9 * c[t]) // (1000 * c[t] + 8 * m)) for t in terms if t in c)
+            if score > 0:
+                scored.append((-score, 10**9 if i is None else i))
+        out += [(item, rank, None if i == 10**9 else i, -s) for rank, (s, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out, key=str)
+
+
+def lexical_tables(seed=3):
+    r = random.Random(seed)
+    words = ["the", "of", "Élan", "x1", "naïve", "東京", "B\u0085C", *(f"w{i}" for i in range(60))]
+    text = lambda n: r.choice([" ", "-", "\n"]).join(r.choice(words) if r.random() < 0.6 else r.choice(words[:8]) for _ in range(n))
+    docs = [(i, text(r.randint(0, 60))) for i in range(150)]
+    docs += [(900, None), (901, ""), (902, "--- !!"), (None, docs[3][1]), (None, docs[3][1]), (4, docs[4][1]), (903, "the of " * 30_000), (904, docs[5][1]), (905, docs[5][1])]
+    common = text(12)
+    items = [(i, f"{common} {text(r.randint(1, 20))}") for i in range(25)]
+    return docs, items + [(500, None), (501, "zzz unseen"), (502, ""), (None, "the of"), (3, "w7 w8"), (503, "THE")]
+
+
+def test_lexical_search_equals_brute_force(spark, monkeypatch):
+    docs, items = lexical_tables()
+    tables = [spark.createDataFrame(rows, schema) for rows, schema in ((docs, "doc_id long, text string"), (items, "item_id long, text string"))]
+    got = lambda: sorted(map(tuple, lexical.search(*tables).collect()), key=str)
+    want = searched_by_force(docs, items)
+    assert got() == want
+    # Several blocks of items, few documents at a time and nothing but the commonest atoms mined.
+    for name, value in (("BLOCK", 100), ("CELLS", 500), ("SHARED", 5), ("PAIRS", 2)):
+        monkeypatch.setattr(lexical, name, value)
+    assert got() == want
+
+
+def test_shared_sums_are_made_once():
+    """Items of common terms meet in shared nodes: fewer sums than terms, the same scores."""
+    r = np.random.default_rng(1)
+    groups = [r.choice(300, 12, replace=False) for _ in range(6)]
+    sets = [sorted(set(np.concatenate([groups[k] for k in r.choice(6, 3, replace=False)])) | {400 + i}) for i in range(40)]
+    of_term = {t: tuple(i for i, s in enumerate(sets) if t in s) for s in sets for t in s}
+    atoms = {}
+    for t, own in sorted(of_term.items()):
+        atoms.setdefault(own, []).append(int(t))
+    rows = [(i, terms[0], terms) for own, terms in atoms.items() for i in own]
+    plan = lexical.Plan(pa.table({"item": [x[0] for x in rows], "atom": [x[1] for x in rows], "terms": [x[2] for x in rows]}))
+    assert len(plan.left) + len(plan.node) < sum(map(len, sets)) / 4
+    part = r.integers(1, 1000, len(plan.terms))
+    codes = np.arange(len(plan.terms))
+    got = plan.scores(np.zeros(len(codes), np.int64), plan.atom_of[codes], part, 1)[:, 0]
+    value = dict(zip(plan.terms.tolist(), part.tolist()))
+    assert got.tolist() == [sum(value[int(t)] for t in s) for s in sets]
