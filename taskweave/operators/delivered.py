@@ -347,12 +347,29 @@ def folder_spellings() -> Column:
     return spellings(*[name_key(n) for n in names], *[norm_name(n) for n in names])
 
 
-def cohort_fold(folders: DataFrame, truth: DataFrame, manifest: DataFrame) -> DataFrame:
+# What told whether a folder is a connector task.
+VIA_PACKAGE = "the folder’s own package"
+VIA_MANIFEST = "the delivery manifest that packaged it"
+VIA_CONFIG = "its task.toml, read directly (%s)"
+
+
+def folder_keys(folders: DataFrame, scan: DataFrame) -> DataFrame:
+    """(fk, key): every spelling that any scan row of a folder declares, else those of its own name."""
+    declared = scan.where("folder is not null").select(name_key(F.col("folder")).alias("fk"), F.explode(folder_spellings()).alias("key")).distinct()
+    own = folders.select(name_key(F.col("folder")).alias("fk"), F.explode(spellings(name_key(F.col("folder")), norm_name(F.col("folder")))).alias("key"))
+    return declared.union(own.join(declared.select("fk").distinct(), "fk", "left_anti").distinct())
+
+
+def cohort_fold(folders: DataFrame, scan: DataFrame, truth: DataFrame, manifest: DataFrame, reads: DataFrame) -> DataFrame:
     """One row per accepted folder: its latest verdict, states seen, connector, delivery.
 
-    ``folders`` carries ``pos`` as its id. ``manifest`` is (folder, batch,
-    connector), one row per folder. A verdict reaches a folder by any spelling.
+    ``folders`` is (folder), each once. ``scan`` has any number of rows per folder: a verdict
+    reaches the folder by any spelling of any of them, and the last row (``pos``) answers for
+    the package. ``manifest`` is (pos, folder, batch, connector), the last row of a folder
+    counts; ``reads`` is (folder, connector, basis), one row per folder. The package answers
+    first for the connector, then the manifest, then the config text.
     """
+    keys = stored(folder_keys(folders, scan), "folder-keys")
     best = F.struct(F.coalesce("decided", F.lit("0001-01-01").cast("date")), "runs", "id")
     per_key = (
         truth.select("id", "state", "decided", "owner", "runs", F.explode(verdict_spellings()).alias("key"))
@@ -364,34 +381,34 @@ def cohort_fold(folders: DataFrame, truth: DataFrame, manifest: DataFrame) -> Da
         )
     )
     seen = (
-        folders.select("pos", F.explode(folder_spellings()).alias("key"))
-        .join(per_key, "key")
-        .groupBy("pos")
-        .agg(F.max("v").alias("v"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("states")))).alias("states"))
-    )
-    reached = count_reached(folders, "pos", folder_spellings(), truth, "id", verdict_spellings())
-    sent = manifest.select(name_key(F.col("folder")).alias("fk"), "batch", F.col("connector").alias("manifest_connector"), F.lit(True).alias("sent"))
-    return (
-        folders.withColumn("fk", name_key(F.col("folder")))
-        .join(seen, "pos", "left")
-        .join(reached, "pos", "left")
-        .join(sent, "fk", "left")
-        .select(
-            "pos",
-            "folder",
-            is_placeholder(F.col("folder"), "cohort").alias("placeholder_name"),
-            F.coalesce("is_connector", "manifest_connector").alias("connector"),
-            F.when(F.col("is_connector").isNotNull(), F.lit("the folder’s own package"))
-            .when(F.col("manifest_connector").isNotNull(), F.lit("the delivery manifest that packaged it"))
-            .alias("connector_via"),
-            F.coalesce("reached", F.lit(0)).alias("verdicts"),
-            F.col("v.state").alias("state"),
-            F.col("v.decided").alias("decided"),
-            F.col("v.owner").alias("owner"),
-            F.coalesce("states", F.array().cast("array<string>")).alias("states"),
-            F.coalesce("sent", F.lit(False)).alias("delivered"),
-            "batch",
-        )
+        keys.join(dealt(per_key, "key"), "key")
+        .groupBy("fk")
+        .agg(F.max("v").alias("v"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("states")))).alias("states"))
+    )
+    reached = count_reached(keys, "fk", truth, "id", verdict_spellings())
+    package = F.struct("is_connector", F.array_sort(F.coalesce("connector_services", F.array().cast("array<string>"))).alias("services"))
+    scanned = scan.where("folder is not null").groupBy(name_key(F.col("folder")).alias("fk")).agg(F.max_by(package, "pos").alias("p"))
+    sent = manifest.where("folder is not null").groupBy(name_key(F.col("folder")).alias("fk")).agg(F.max_by(F.struct("batch", "connector"), "pos").alias("m"))
+    own, packed, read = F.col("p.is_connector"), F.col("m.connector"), F.col("read.connector")
+    rows = folders.select("folder", name_key(F.col("folder")).alias("fk"))
+    for side in (seen, reached, scanned, sent):
+        rows = rows.join(side, "fk", "left")
+    return rows.join(reads.select("folder", F.struct("connector", "basis").alias("read")), "folder", "left").select(
+        "folder",
+        is_placeholder(F.col("folder"), "cohort").alias("placeholder_name"),
+        F.coalesce(own, packed, read).alias("connector"),
+        F.when(own.isNotNull(), F.lit(VIA_PACKAGE))
+        .when(packed.isNotNull(), F.lit(VIA_MANIFEST))
+        .when(read.isNotNull(), F.format_string(VIA_CONFIG, F.col("read.basis")))
+        .alias("connector_via"),
+        F.coalesce("p.services", F.array().cast("array<string>")).alias("services"),
+        F.coalesce("reached", F.lit(0)).alias("verdicts"),
+        F.col("v.state").alias("state"),
+        F.col("v.decided").alias("decided"),
+        F.col("v.owner").alias("owner"),
+        F.coalesce("states", F.array().cast("array<string>")).alias("states"),
+        F.col("m").isNotNull().alias("delivered"),
+        F.col("m.batch").alias("batch"),
     )
 
 
@@ -410,6 +427,12 @@ def cohort_counts(folded: DataFrame) -> DataFrame:
         F.count_if(F.size("states") > 1).alias("disagree_across_runs"),
         F.count_if("placeholder_name").alias("placeholder_names"),
         F.count_if("delivered").alias("delivered"),
+        F.count_if(~F.col("delivered")).alias("not_delivered"),
+        F.count_if("connector").alias("connector_tasks"),
+        F.count_if(~F.col("connector")).alias("non_connector_tasks"),
+        F.count_if(F.col("connector").isNull()).alias("connector_unknown"),
+        F.count_if(F.col("connector_via") == VIA_MANIFEST).alias("connector_from_manifest"),
+        F.count_if(F.col("connector_via").startswith(VIA_CONFIG.split("(")[0])).alias("connector_from_package"),
     )
 
 

@@ -96,43 +96,26 @@ def ranked_within(df: DataFrame, group: str, order: str, name: str) -> DataFrame
     return placed.join(starts, group).withColumn(name, F.col("_at") - F.col("_start") + 1).drop("_at", "_start")
 
 
-def _subset_keys(spelled: Column) -> Column:
-    """Each non-empty subset of a short array of spellings, as (key, size)."""
-
-    def subsets(ordered: Column) -> Column:
-        full = (F.pow(F.lit(2), F.size(ordered)) - 1).cast("int")
-        masks = F.when(full > 0, F.sequence(F.lit(1), full)).otherwise(F.array().cast("array<int>"))
-
-        def subset(mask: Column) -> Column:
-            kept = F.filter(ordered, lambda s, i: F.getbit(mask, i) == 1)
-            return F.struct(F.array_join(kept, "\u0001").alias("key"), F.bit_count(mask).alias("size"))
-
-        return F.transform(masks, subset)
-
-    # One element, so that the spellings are computed once and then bound.
-    return F.get(F.transform(F.array(F.array_sort(spelled)), subsets), F.lit(0))
-
-
-def count_reached(
-    left: DataFrame, left_id: str, left_keys: Column, right: DataFrame, right_id: str, right_keys: Column
-) -> DataFrame:
-    """How many distinct right rows share any spelling with each left row.
-
-    A right row reached by several spellings counts once. Instead of joining
-    rows to rows, both sides list the subsets of their few spellings (a row has
-    six at most), the right side is counted per subset, and the overlaps cancel
-    by inclusion-exclusion.
+def count_reached(keys: DataFrame, left_id: str, right: DataFrame, right_id: str, right_keys: Column) -> DataFrame:
+    """(left_id, reached): how many distinct right rows share any spelling with each left one.
+
+    ``keys`` is (left_id, key), each pair once, any number per left one; it is read several
+    times, so it should be stored. A right row has a few spellings, in an order, and is counted
+    at the first of them that the left one has. Right rows that are alike in the spellings
+    any left one has are one row with their number, and so are those that are alike up to a
+    spelling: left keys meet these, never right rows.
     """
-    wanted = left.select(F.explode(left_keys).alias("key")).distinct()
-    # Keep the right spellings that some left row has, then count equal sets.
-    shared = right.select(right_id, F.explode(right_keys).alias("key")).join(wanted, "key", "left_semi")
-    sets = (
-        shared.groupBy(right_id).agg(F.array_sort(F.collect_set("key")).alias("keys")).groupBy("keys").agg(F.count("*").alias("n"))
-    )
-    counts = sets.select("n", F.explode(_subset_keys(F.col("keys"))).alias("k")).groupBy(F.col("k.key").alias("key")).agg(F.sum("n").alias("n"))
-    probes = left.select(left_id, F.explode(_subset_keys(left_keys)).alias("k")).select(left_id, "k.*")
-    signed = F.when(F.col("size") % 2 == 1, F.col("n")).otherwise(-F.col("n"))
-    return probes.join(counts, "key").groupBy(left_id).agg(F.sum(signed).alias("reached"))
+    wanted = keys.select("key").distinct()
+    spelled = right.select(right_id, F.posexplode(right_keys).alias("at", "key")).join(wanted, "key", "left_semi")
+    alike = spelled.groupBy(right_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "key"))), lambda s: s["key"]).alias("own")).groupBy("own").agg(F.count("*").alias("n"))
+    steps = alike.select("own", "n", F.posexplode("own").alias("at", "key")).select("key", F.when(F.col("at") > 0, F.slice("own", F.lit(1), F.col("at"))).otherwise(F.array().cast("array<string>")).alias("before"), "n")
+    met = keys.join(dealt(steps.groupBy("key", "before").agg(F.sum("n").alias("n")), "key"), "key")
+    first = met.where(F.size("before") == 0).select(left_id, "n")
+    # Later spellings count where the left one has none of those before.
+    probes = met.where(F.size("before") > 0).select(left_id, F.col("key").alias("here"), "before", "n", F.explode("before").alias("key"))
+    had = keys.select(left_id, "key", F.lit(True).alias("had"))
+    later = probes.join(had, [left_id, "key"], "left").groupBy(left_id, "here", "before").agg(F.max("n").alias("n"), F.max("had").alias("had")).where("had is null").select(left_id, "n")
+    return first.union(later).groupBy(left_id).agg(F.sum("n").alias("reached"))
 
 
 # ------------------------------------------------------------ connector cascade

@@ -10,6 +10,7 @@ from taskweave.operators import delivered as D
 from taskweave.operators import lookups as J
 from taskweave.plans import fragments as X
 from taskweave.plans.registry import query
+from taskweave.sources.package_text import package_facts
 
 c = F.col
 READY = "at_current_bar and state in ('accepted', 'legacy accepted') and not delivered"
@@ -202,27 +203,35 @@ def _(t):
     return D.manifest_counts(checked(t).withColumn("batch", F.when(c("pos") % 7 > 0, c("batch"))))
 
 
-_FOLD = f"""with f as (select pos, unnest(list_distinct([k for k in [{X.key("folder")}, {X.key("declared_short")}, {X.key("declared_name")}, {X.norm("folder")}, {X.norm("declared_short")}, {X.norm("declared_name")}] if k <> ''])) as key from r11_folders),
+_FOLD = f"""with sp as (select distinct {X.key("folder")} as fk, unnest([k for k in [{X.key("folder")}, {X.key("declared_short")}, {X.key("declared_name")}, {X.norm("folder")}, {X.norm("declared_short")}, {X.norm("declared_name")}] if k <> '']) as key from r18_scans),
+f as (select * from sp union select fk, unnest([fk, {X.stem("fk")}]) from (select {X.key("folder")} as fk from r19_accepted) where fk not in (select fk from sp)),
 tl as (select *, regexp_replace({X.key("id")}, '^[^:]*:', '') as tail from r10_truth),
 v as (select id, state, decided, runs, owner, unnest(list_distinct([{X.key("name")}, {X.norm("name")}, tail, regexp_replace(tail, '-[0-9a-f]{{6,}}$', '')])) as key from tl),
-p as (select distinct f.pos, v.id, v.state, v.decided, v.runs, v.owner from f join v using (key)),
-b as (select *, row_number() over (partition by pos order by decided desc nulls last, runs desc, id desc) as rn from p),
-g as (select pos, count(*) as verdicts, array_to_string(list_sort(list(distinct state)), ',') as states from p group by 1),
-s as (select folder, min(batch) as batch, bool_or(connector) as connector from r16_manifest where prefix = 'iteration_2' group by 1),
-folded as (select x.pos, x.folder, regexp_matches(x.folder, '^(task\\d*|tasks?|harbor-single-task-\\S*|autorun-\\S*|content-[0-9a-f]{{16,}}|code-c\\d+|g\\d+_\\S*)$') as placeholder_name,
-  coalesce(x.is_connector, s.connector) as connector, case when x.is_connector is not null then 'the folder’s own package' when s.connector is not null then 'the delivery manifest that packaged it' end as connector_via,
-  coalesce(verdicts, 0) as verdicts, b.state, b.decided, b.owner, coalesce(states, '') as states, s.folder is not null as delivered, s.batch
-  from r11_folders x left join g on g.pos = x.pos left join b on b.pos = x.pos and b.rn = 1 left join s on s.folder = {X.key("x.folder")})"""
+p as (select distinct f.fk, v.id, v.state, v.decided, v.runs, v.owner from f join v using (key)),
+b as (select *, row_number() over (partition by fk order by decided desc nulls last, runs desc, id desc) as rn from p),
+g as (select fk, count(*) as verdicts, array_to_string(list_sort(list(distinct state)), ',') as states from p group by 1),
+s as (select folder as fk, batch, connector, row_number() over (partition by folder order by pos desc) as rn from r16_manifest where prefix = 'iteration_2'),
+w as (select {X.key("folder")} as fk, is_connector, array_to_string(list_sort(connector_services), ',') as services, row_number() over (partition by {X.key("folder")} order by pos desc) as rn from r18_scans),
+rd as (select package_id, case when toml like '%mcp_servers = []%' or toml not like '%mcp_servers%' then false when toml like '%# mcp_servers to come%' then null else true end as connector,
+  case when toml like '%[[environment.mcp_servers]]%' then 'a [[mcp_servers]] table with entries' when toml like '%mcp_servers = ["%' then 'a non-empty mcp_servers list' when toml like '%mcp_servers = []%' then 'mcp_servers declared and empty'
+    when toml not like '%mcp_servers%' then 'task.toml declares no mcp_servers at all' end as basis from r7_package_text),
+folded as (select x.folder, regexp_matches(x.folder, '^(task\\d*|tasks?|harbor-single-task-\\S*|autorun-\\S*|content-[0-9a-f]{{16,}}|code-c\\d+|g\\d+_\\S*)$') as placeholder_name,
+  coalesce(w.is_connector, s.connector, rd.connector) as connector, case when w.is_connector is not null then 'the folder’s own package' when s.connector is not null then 'the delivery manifest that packaged it'
+    when rd.connector is not null then 'its task.toml, read directly (' || basis || ')' end as connector_via, coalesce(services, '') as services,
+  coalesce(verdicts, 0) as verdicts, b.state, b.decided, b.owner, coalesce(states, '') as states, s.fk is not null as delivered, s.batch
+  from (select *, {X.key("folder")} as fk from r19_accepted) x left join g on g.fk = x.fk left join b on b.fk = x.fk and b.rn = 1 left join s on s.fk = x.fk and s.rn = 1 left join w on w.fk = x.fk and w.rn = 1 left join rd using (package_id))"""
 
 
 def folded(t):
-    sent = t.r16_manifest.where("prefix = 'iteration_2'").groupBy("folder").agg(F.min("batch").alias("batch"), F.bool_or("connector").alias("connector"))
-    return D.cohort_fold(t.r11_folders, t.r10_truth, sent)
+    facts = package_facts(t.r7_package_text.select("package_id", "toml", "dockerfile"), "package_id")
+    reads = t.r19_accepted.join(facts, "package_id").select("folder", "connector", "basis")
+    sent = t.r16_manifest.where("prefix = 'iteration_2'")
+    return D.cohort_fold(t.r19_accepted.select("folder"), t.r18_scans, t.r10_truth, sent, reads)
 
 
-@query("j13_cohort_fold", f"{_FOLD} select pos, placeholder_name, connector, connector_via, verdicts, state, decided, owner, states, delivered, batch from folded")
+@query("j13_cohort_fold", f"{_FOLD} select * from folded")
 def _(t):
-    return folded(t).withColumn("states", F.array_join("states", ",")).drop("folder")
+    return folded(t).withColumn("states", F.array_join("states", ",")).withColumn("services", F.array_join("services", ","))
 
 
 @query(
@@ -230,7 +239,9 @@ def _(t):
     f"""{_FOLD} select count(*) as packages, count(state) as decided, count(*) - count(state) as before_cut, count(*) filter (where state = 'accepted') as latest_accepted,
   count(*) filter (where state = 'legacy accepted') as latest_legacy_accepted, count(*) filter (where state = 'rejected') as latest_rejected,
   count(*) filter (where state not in ('accepted', 'legacy accepted', 'rejected')) as latest_other, count(*) filter (where states like '%,%') as disagree_across_runs,
-  count(*) filter (where placeholder_name) as placeholder_names, count(*) filter (where delivered) as delivered from folded""",
+  count(*) filter (where placeholder_name) as placeholder_names, count(*) filter (where delivered) as delivered, count(*) filter (where not delivered) as not_delivered, count(*) filter (where connector) as connector_tasks,
+  count(*) filter (where not connector) as non_connector_tasks, count(*) filter (where connector is null) as connector_unknown, count(*) filter (where connector_via like 'the delivery%') as connector_from_manifest,
+  count(*) filter (where connector_via like 'its task.toml%') as connector_from_package from folded""",
 )
 def _(t):
     return D.cohort_counts(folded(t))

@@ -235,6 +235,14 @@ select o_orderkey as pos, {_name("o_orderkey", "cast(floor(o_orderkey / 100) as
   || {_name("o_orderkey", "cast(floor(o_orderkey / 100) as bigint)")} || '/' || md5(cast(o_orderkey % 1000 as string)) || md5(cast(o_orderkey % 1000 + 1 as string)) || '.zip' as source_uri,
   case o_custkey % 3 when 0 then true when 1 then false end as connector
 from orders""",
+    # Scan rows, several per folder, one folder with many.
+    "r18_scans": f"""
+select p_partkey as pos, case when p_partkey % 13 = 0 then 'gen-review-8-8-audit' else {_name("cast(floor(p_partkey / 3) as bigint)", "cast(floor(p_partkey / 300) as bigint)")} end as folder,
+  case when p_size % 4 > 0 then {_name("p_partkey", "cast(floor(p_partkey / 150) as bigint)")} || case when p_size % 5 = 0 then '-v3' else '' end end as declared_short,
+  case when p_size % 9 > 0 then 'harbor/' || {_name("p_partkey", "cast(floor(p_partkey / 100) as bigint) + 1")} end as declared_name,
+  case p_size % 3 when 0 then true when 1 then false end as is_connector,
+  split(case p_size % 3 when 0 then 'slack-gym,jira-gym' end, ',') as connector_services
+from part""",
     # A live listing of the accepted folders.
     "r17_listing": f"""
 select 'gs://bucket/tasks/' || {_COHORT} || '/' || {_name("p_partkey", "cast(floor(p_partkey / 100) as bigint)")} || case when p_size % 5 = 0 then '-v' || cast(p_partkey as string) else '' end
@@ -242,6 +250,10 @@ select 'gs://bucket/tasks/' || {_COHORT} || '/' || {_name("p_partkey", "cast(flo
 from part""",
 }
 
+# The accepted folders, scanned or only listed, with the package that was opened.
+VIEWS["r19_accepted"] = f"""
+select folder, min(pos) as package_id from (select folder, pos from ({VIEWS["r18_scans"]}) s union all select folder, pos from ({VIEWS["r11_folders"]}) l where cohort = 'iteration_2') f group by folder"""
+
 
 def depends_on(text: str) -> list[str]:
     """Names of the views a SQL text needs, in definition order, nested ones first."""

@@ -118,12 +118,24 @@ def test_ranking_limits_each_group_before_the_shuffle(spark):
 
 
 def test_count_reached_counts_each_row_once(spark):
-    left = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"]), (3, ["z"])], "id int, k array<string>")
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "z")], "id int, key string")
     right = spark.createDataFrame([(10, ["a", "b"]), (11, ["b", "c"]), (12, ["a"]), (13, ["q"])], "rid int, k array<string>")
-    got = J.count_reached(left, "id", F.col("k"), right, "rid", F.col("k"))
+    got = J.count_reached(left, "id", right, "rid", F.col("k"))
     assert rows(got) == [(1, 3), (2, 1)]
 
 
+def test_count_reached_of_many_spellings(spark):
+    """Left ones of up to sixty spellings against brute force; a spelling that a third of the right rows have."""
+    r = random.Random(4)
+    name = lambda: "hot" if r.random() < 0.3 else f"n{r.randrange(120)}"
+    left = {i: {name() for _ in range(r.choice((1, 3, 60)))} for i in range(40)}
+    right = {i: list(dict.fromkeys(name() for _ in range(r.randint(0, 4)))) for i in range(600)}
+    keys = spark.createDataFrame([(i, k) for i, own in left.items() for k in own], "id int, key string")
+    got = J.count_reached(keys, "id", spark.createDataFrame(list(right.items()), "rid int, k array<string>"), "rid", F.col("k"))
+    want = {i: sum(not own.isdisjoint(k) for k in right.values()) for i, own in left.items()}
+    assert dict(map(tuple, got.collect())) == {i: n for i, n in want.items() if n}
+
+
 def test_numbered_is_a_dense_total_order(spark):
     df = spark.range(5000).withColumn("k", F.col("id") % 3).repartition(13)
     got = numbered(df, [F.col("k"), F.col("id")]).orderBy("position").select("k", "id", "position").collect()
