@@ -212,18 +212,33 @@ def harness_of(candidates: list[Column], gyms: Column) -> Column:
     return F.coalesce(*named, harness_of_gyms(gyms))
 
 
-def package_family(
-    recorded: Column, connector: Column, klass: Column, words: Column, own: Column, has_image: Column, zeta: Column, aster: Column
-) -> Column:
+# How a package's image was read, first choice first, and what is said where its readings disagree.
+FROM_DELIVERED = "the image in the package (delivered zip on Drive)"
+FROM_ARCHIVE = "the image in the package (the archive the manifest names)"
+FROM_NAME = "the image in the package"
+FROM_EARLIER = "the image in the package (earlier copy on Drive)"
+DISAGREE = "package versions disagree"
+# What decided a family.
+BY_RECORD = "the image the manifest records"
+BY_MANIFEST = "the manifest"
+BY_CONNECTORS = "the connectors the manifest lists"
+BY_PLAIN_IMAGE = "the image in the package (no connector harness)"
+BUT_SYNTHETIC = "the manifest says real, %s is synthetic"
+UNSETTLED = "the manifest; the bucket holds versions of the task on different images"
+UNKNOWN = "not classified: the bucket holds versions of the task on different images"
+
+
+def package_family(recorded: Column, connector: Column, klass: Column, words: Column, own: Column, zeta: Column, aster: Column) -> Column:
     """(family, familyFrom): recorded image, then declared words, then the package.
 
-    ``recorded`` and ``own`` are the families of the image the manifest records
-    and of the package's own; ``zeta`` and ``aster`` say which gyms it mounts.
+    ``recorded`` is the family of the image that the manifest records. ``own`` is the package's
+    own image as one value with its origin: (image, family, origin), where the origin says how
+    the image was read, or that its readings disagree. ``zeta`` and ``aster`` say which gyms
+    the package mounts.
     """
     image_real = F.coalesce(recorded == "real", F.lit(False))
     real = image_real | words.rlike(r"real|company\s*bench")
-    real_from = F.when(image_real, F.lit("the image the manifest records")).otherwise(F.lit("the manifest"))
-    from_package = "the image in the package"
+    origin = F.when(F.coalesce(own["origin"], F.lit(DISAGREE)) == DISAGREE, F.lit(FROM_NAME)).otherwise(own["origin"])
 
     def is_(family, how) -> Column:
         how = F.lit(how) if isinstance(how, str) else how
@@ -232,41 +247,51 @@ def package_family(
 
     non_connector = F.coalesce(connector == F.lit(False), F.lit(False)) | F.coalesce(klass == "Non-Connector", F.lit(False))
     none = F.lit(None).cast("string")
-    # Family names and how each was decided.
-    return (
-        F.when(recorded != "real", is_(recorded, "the image the manifest records"))
-        .when(non_connector, is_("non-connector", "the manifest"))
-        .when(words.contains("zeta"), is_("real-zeta", "the manifest"))
-        .when(words.contains("aster"), is_("real-aster", "the manifest"))
-        .when(words.contains("synth"), is_("synthetic", "the manifest"))
-        .when(own.isin("real-aster", "real-zeta"), is_(own, from_package))
-        .when((own == "synthetic") & ~real, is_("synthetic", from_package))
-        .when(own == "synthetic", is_("real", f"the manifest says real, {from_package} is synthetic"))
-        .when(real & zeta, is_("real-zeta", "the connectors the manifest lists"))
-        .when(real & aster, is_("real-aster", "the connectors the manifest lists"))
-        .when(real, is_("real", real_from))
-        .when(has_image & own.isNull(), is_("non-connector", "the image in the package (no connector harness)"))
+    # Family names.
+    decided = (
+        F.when(recorded != "real", is_(recorded, BY_RECORD))
+        .when(non_connector, is_("non-connector", BY_MANIFEST))
+        .when(words.contains("zeta"), is_("real-zeta", BY_MANIFEST))
+        .when(words.contains("aster"), is_("real-aster", BY_MANIFEST))
+        .when(words.contains("synth"), is_("synthetic", BY_MANIFEST))
+        .when(own["family"].isin("real-aster", "real-zeta"), is_(own["family"], origin))
+        .when((own["family"] == "synthetic") & ~real, is_("synthetic", origin))
+        .when(own["family"] == "synthetic", is_("real", F.format_string(BUT_SYNTHETIC, origin)))
+        .when(real & zeta, is_("real-zeta", BY_CONNECTORS))
+        .when(real & aster, is_("real-aster", BY_CONNECTORS))
+        .when(real, is_("real", F.when(image_real, F.lit(BY_RECORD)).otherwise(F.lit(BY_MANIFEST))))
+        .when((own["image"] != "") & own["family"].isNull(), is_("non-connector", BY_PLAIN_IMAGE))
         .otherwise(F.struct(none.alias("family"), none.alias("familyFrom")))
     )
 
+    def unsettled(d: Column) -> Column:
+        """Where readings disagree, what the manifest alone decided says so."""
+        open_ = (own["origin"] == DISAGREE) & F.coalesce(d["familyFrom"] == BY_MANIFEST, F.lit(True))
+        said = F.when(d["family"].isNotNull(), F.lit(UNSETTLED)).otherwise(F.lit(UNKNOWN))
+        return F.struct(d["family"].alias("family"), F.when(open_, said).otherwise(d["familyFrom"]).alias("familyFrom"))
+
+    # One element, so that the decision is computed once and then bound.
+    return F.get(F.transform(F.array(decided), unsettled), F.lit(0))
+
 
 def with_package_family(
-    rows: DataFrame, images: list[Column], connector: Column, klass: Column, declared: Column, package_image: Column, gyms: Column
+    rows: DataFrame, images: list[Column], connector: Column, klass: Column, declared: Column, package_image: Column, origin: Column, gyms: Column
 ) -> DataFrame:
     """Rows with ``family`` and ``family_from``.
 
     ``images`` are the images a manifest records, in order; the first that names
-    a family other than plain real decides. The inputs are bound to columns
-    first, so each is computed once.
+    a family other than plain real decides. ``origin`` says how ``package_image`` was read.
+    The inputs are bound to columns first, so each is computed once.
     """
     read = rows.select("*", F.array(*[family_of_image(i) for i in images]).alias("_images"))
+    own = F.struct(package_image.alias("image"), family_of_image(package_image).alias("family"), origin.alias("origin"))
     bound = read.select(
         "*",
         F.coalesce(F.get(F.filter("_images", lambda f: f != "real"), F.lit(0)), F.get(F.filter("_images", lambda f: f == "real"), F.lit(0))).alias("_recorded"),
-        connector.alias("_connector"), klass.alias("_klass"), F.lower(F.concat_ws(" ", declared, klass)).alias("_words"), family_of_image(package_image).alias("_own"),
-        F.coalesce(package_image != "", F.lit(False)).alias("_has_image"), _mounts(gyms, ZETA_GYM).alias("_zeta"), _mounts(gyms, ASTER_GYM).alias("_aster"),
+        connector.alias("_connector"), klass.alias("_klass"), F.lower(F.concat_ws(" ", declared, klass)).alias("_words"), own.alias("_own"),
+        _mounts(gyms, ZETA_GYM).alias("_zeta"), _mounts(gyms, ASTER_GYM).alias("_aster"),
     )
-    names = ("_recorded", "_connector", "_klass", "_words", "_own", "_has_image", "_zeta", "_aster")
+    names = ("_recorded", "_connector", "_klass", "_words", "_own", "_zeta", "_aster")
     decided = bound.withColumn("_f", package_family(*[F.col(n) for n in names]))
     return decided.select(*rows.columns, F.col("_f.family").alias("family"), F.col("_f.familyFrom").alias("family_from"))
 

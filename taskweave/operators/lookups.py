@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.functions.names import bench_key, name_key, norm_name
+from taskweave.functions.packages import DISAGREE, FROM_ARCHIVE, FROM_DELIVERED, FROM_EARLIER, FROM_NAME
 from taskweave.session import numbered
 
 
@@ -217,6 +218,13 @@ def package_aliases(runs: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------- trial reports
+# Why a task has trials or none.
+NO_REPORT = "no gate report for this batch"
+NO_TASK = "the batch holds several tasks and none matches this name"
+NO_TRIALS = "the gate report records no GLM trials"
+READ = "read from the trial files"
+
+
 def trials_join(truth: DataFrame, reports: DataFrame, rewards: DataFrame) -> DataFrame:
     """Rewards per truth row through its batch's report: exact name, or the only one.
 
@@ -228,10 +236,10 @@ def trials_join(truth: DataFrame, reports: DataFrame, rewards: DataFrame) -> Dat
     )
     chosen = F.when(F.col("exact"), F.col("name")).when(F.col("n") == 1, F.col("only"))
     why = (
-        F.when(F.col("n").isNull(), F.lit("no gate report for this batch"))
-        .when(F.col("chosen").isNull(), F.lit("the batch holds several tasks and none matches this name"))
-        .when(F.col("trials").isNull(), F.lit("the gate report records no GLM trials"))
-        .otherwise(F.lit("read from the trial files"))
+        F.when(F.col("n").isNull(), F.lit(NO_REPORT))
+        .when(F.col("chosen").isNull(), F.lit(NO_TASK))
+        .when(F.col("trials").isNull(), F.lit(NO_TRIALS))
+        .otherwise(F.lit(READ))
     )
     return (
         keyed.withColumn("chosen", chosen)
@@ -254,12 +262,7 @@ def package_images(readings: DataFrame) -> DataFrame:
     )
 
 
-# How a package's image was read, first choice first.
-FROM_DELIVERED = "the image in the package (delivered zip on Drive)"
-FROM_ARCHIVE = "the image in the package (the archive the manifest names)"
-FROM_NAME = "the image in the package"
-FROM_EARLIER = "the image in the package (earlier copy on Drive)"
-DISAGREE = "package versions disagree"
+# Fixed value: a copy that was read from the zip as delivered.
 DELIVERED_ZIP = "delivered zip"
 
 

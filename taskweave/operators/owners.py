@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskweave.functions.names import NOT_RECORDED, bench_key, is_person, name_variants, plain_key, tracker_key
+from taskweave.functions.names import NOT_RECORDED, SPELLING_STEPS, bare_name, bench_key, is_person, name_variants, plain_key, tracker_key, with_underscores
 from taskweave.operators.lookups import dealt, one_person, person_of, spellings
 
 # The label of each route and source.
@@ -110,16 +110,12 @@ def sheet_people(rows: DataFrame, entries: DataFrame) -> DataFrame:
 
 def variant_rows(names: DataFrame) -> DataFrame:
     """(id, key): every spelling of each (id, n), each step bound to a column."""
-    bare = F.regexp_replace(bench_key(F.col("n")), r"\.zip$", "")
-    based = names.select("id", bare.alias("v")).where("v <> 'none'")
-    both = based.select("id", F.explode(F.array_distinct(F.array("v", F.replace("v", F.lit("_"), F.lit("-"))))).alias("x"))
-    steps = (
-        both.withColumn("y", F.regexp_replace("x", r"^task-", ""))
-        .withColumn("z", F.regexp_replace("y", r"-[0-9a-f]{6}-v\d+$", ""))
-        .withColumn("w", F.regexp_replace("z", r"(-v\d+|-fixed|-final)+$", ""))
-        .withColumn("t", F.regexp_extract("z", r"^\d{6}-(.+)$", 1))
-    )
-    return steps.select("id", F.explode(F.array_distinct(F.array("x", "y", "z", "w", "t"))).alias("key")).where(F.length("key") > 6)
+    based = names.select("id", bare_name(F.col("n")).alias("v")).where("v <> 'none'")
+    steps = based.select("id", F.explode(with_underscores(F.col("v"))).alias("x"))
+    for name, base, step in SPELLING_STEPS:
+        steps = steps.withColumn(name, step(F.col(base)))
+    every = F.array_distinct(F.array("x", *[name for name, _, _ in SPELLING_STEPS]))
+    return steps.select("id", F.explode(every).alias("key")).where(F.length("key") > 6)
 
 
 def sheet_entries(sheet: DataFrame) -> DataFrame:

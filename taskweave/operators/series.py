@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from taskweave.functions.names import batch_order, manifest_task_key, readable_name
+from taskweave.functions.names import NAME_RECORDED, NAME_UNKNOWN, batch_order, manifest_task_key, readable_name
 from taskweave.operators.figures import preferred_order
 
 from taskweave.operators.lookups import side_by_side
@@ -97,7 +97,10 @@ def stands_for(rows: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def selection_arithmetic(rows: DataFrame, excluded: DataFrame | None, entries: DataFrame, size: int | None) -> DataFrame:
-    """One row: rows considered, distinct tasks, excluded, available, taken and short by."""
+    """One row: what was requested, considered, distinct, excluded, available, taken and short by; of
+    the entries their owners, the rows they stand for and supersede, those that may be delivered
+    already, and those whose name was derived or is not to be recovered.
+    """
     key = manifest_task_key(F.col("package_task"), F.col("cohort_folder"), F.col("name"))
     flag = F.lit(False)
     keyed = rows.select("id", key.alias("key"))
@@ -106,8 +109,16 @@ def selection_arithmetic(rows: DataFrame, excluded: DataFrame | None, entries: D
         flag = F.coalesce("_x", F.lit(False))
     tasks = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bool_or(flag).alias("out"))
     whole = tasks.agg(F.sum("n").alias("rows_considered"), F.count("*").alias("distinct_tasks"), F.count_if("out").alias("excluded"))
-    taken = entries.agg(F.count("*").alias("taken"), F.sum("stands_for").alias("rows_represented"))
+    taken = entries.agg(
+        F.count("*").alias("taken"),
+        F.count_distinct(F.nullif(F.col("owner"), F.lit(""))).alias("owners"),
+        F.coalesce(F.sum("stands_for"), F.lit(0)).alias("rows_represented"),
+        F.coalesce(F.sum(F.col("stands_for") - 1), F.lit(0)).alias("superseded_rows"),
+        F.count_if("maybe_delivered").alias("possibly_already_delivered"),
+        F.count_if(F.col("name_source") != NAME_RECORDED).alias("names_derived"),
+        F.count_if(F.col("name_source") == NAME_UNKNOWN).alias("names_unrecoverable"),
+    )
     both = side_by_side(whole, taken)
     available = F.col("distinct_tasks") - F.col("excluded")
     wanted = available if size is None else F.lit(size)
-    return both.select("*", available.alias("available"), F.greatest(wanted - F.col("taken"), F.lit(0)).cast("bigint").alias("short_by"))
+    return both.select("*", F.lit(size).cast("bigint").alias("requested"), available.alias("available"), F.greatest(wanted - F.col("taken"), F.lit(0)).cast("bigint").alias("short_by"))

@@ -401,31 +401,34 @@ def _(t):
     return J.package_images(readings.withColumn("family", K.family_of_image(c("image"))))
 
 
-_IMAGE = "'reg/' || case {0} when 0 then 'aster:' when 1 then 'real-data:' else 'python:' end || cast(pos % 5 as string)"
-
-
-@query(
-    "j33_image_of_packages",
-    f"""with d as (select pos, batch, lower(list_last(string_split(package_path, '/'))) as zip, substr(sha256, 1, 12) as archive, task, package_name from r3_deliveries),
-cp as (select batch, zip, min(case when pos % 11 = 0 then {_IMAGE.format("pos % 3")} end) as delivered, min(case when pos % 11 = 1 then {_IMAGE.format("pos % 3")} end) as earlier from d where pos % 11 < 2 group by 1, 2),
-ar as (select archive, min({_IMAGE.format("pos % 3")}) as archived from d where pos % 13 = 0 group by 1),
-rd as (select {X.bkey("task")} as key, min({_IMAGE.format("pos // 7 % 3")}) as image, min(pos // 7 % 3) as lo, max(pos // 7 % 3) as hi from d where pos % 7 = 0 group by 1),
+_IMAGE = "'reg/' || case {0} when 0 then 'aster:' when 1 then 'real-data:' when 2 then 'connectors-rl-gym/x:' else 'python:' end || cast(pos % 5 as string)"
+IMAGES_READ = f"""d as (select pos, batch, lower(list_last(string_split(package_path, '/'))) as zip, substr(sha256, 1, 12) as archive, task, package_name from r3_deliveries),
+cp as (select batch, zip, min(case when pos % 11 = 0 then {_IMAGE.format("pos % 4")} end) as delivered, min(case when pos % 11 = 1 then {_IMAGE.format("pos % 4")} end) as earlier from d where pos % 11 < 2 group by 1, 2),
+ar as (select archive, min({_IMAGE.format("pos % 4")}) as archived from d where pos % 13 = 0 group by 1),
+rd as (select {X.bkey("task")} as key, min({_IMAGE.format("pos // 11 % 4")}) as image, min(pos // 11 % 4) as lo, max(pos // 11 % 4) as hi from d where pos % 7 = 0 group by 1),
 ks as (select pos, {X.bkey("task")} as key from d union select pos, {X.bkey("package_name")} from d where package_name is not null),
-sc as (select pos, min(image) as scanned, min(lo) as lo, max(hi) as hi from ks join rd using (key) group by 1)
-select d.pos, case when delivered is not null then delivered when archived is not null then archived when lo = hi then scanned else earlier end as image,
+sc as (select pos, min(image) as scanned, min(lo) as lo, max(hi) as hi from ks join rd using (key) group by 1),
+im as (select d.pos, case when delivered is not null then delivered when archived is not null then archived when lo = hi then scanned else earlier end as image,
   case when delivered is not null then 'the image in the package (delivered zip on Drive)' when archived is not null then 'the image in the package (the archive the manifest names)' when lo = hi then 'the image in the package'
     when earlier is not null then 'the image in the package (earlier copy on Drive)' when scanned is not null then 'package versions disagree' end as read_from
-from d left join cp using (batch, zip) left join ar using (archive) left join sc on sc.pos = d.pos""",
-)
-def _(t):
+  from d left join cp using (batch, zip) left join ar using (archive) left join sc on sc.pos = d.pos)"""
+
+
+def images_read(t):
+    """(pos, image, read_from) of each delivered package."""
     image = lambda which: F.expr(_IMAGE.format(which))
     d = t.r3_deliveries.select("pos", "batch", F.substring_index("package_path", "/", -1).alias("zip"), F.substring("sha256", 1, 12).alias("archive"), "task", "package_name")
-    copies = d.where("pos % 11 < 2").select("batch", "zip", image("pos % 3").alias("image"), F.when(c("pos") % 11 == 0, J.DELIVERED_ZIP).otherwise("earlier copy").alias("read_from"))
-    archives = d.where("pos % 13 = 0").select("archive", image("pos % 3").alias("image"))
-    readings = d.where("pos % 7 = 0").select(N.bench_key(c("task")).alias("key"), image("floor(pos / 7) % 3").alias("image"))
+    copies = d.where("pos % 11 < 2").select("batch", "zip", image("pos % 4").alias("image"), F.when(c("pos") % 11 == 0, J.DELIVERED_ZIP).otherwise("earlier copy").alias("read_from"))
+    archives = d.where("pos % 13 = 0").select("archive", image("pos % 4").alias("image"))
+    readings = d.where("pos % 7 = 0").select(N.bench_key(c("task")).alias("key"), image("floor(pos / 11) % 4").alias("image"))
     return J.image_of_packages(d, ["task", "package_name"], copies, archives, readings.withColumn("family", K.family_of_image(c("image"))))
 
 
+@query("j33_image_of_packages", f"with {IMAGES_READ} select * from im")
+def _(t):
+    return images_read(t)
+
+
 @query(
     "j34_glm_trials_join",
     """with rp as (select distinct 'auto-' || cast(l_orderkey as string) as batch, 'task-' || cast(l_partkey % 20 as string) as task from lineitem),

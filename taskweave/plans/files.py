@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from taskweave.functions.register import register_rules
 from taskweave.operators import quality as Q
 from taskweave.plans import fragments as X
+from taskweave.plans.delivered import IMAGES_READ, images_read
 from taskweave.plans.packages import BENCH
-from taskweave.plans.readmodel import _SELECT, delivery_rows, excluded, manifest_rows
+from taskweave.plans.readmodel import _SELECT, _counts, delivery_rows, excluded, manifest_rows
 from taskweave.plans.registry import query
 from taskweave.session import output_path
 from taskweave.sinks import exports as E
@@ -134,20 +135,30 @@ def _(t):
 
 
 def drive_tasks(t):
-    """Flat manifest tasks; two batches carry layouts that must be refused."""
+    """Flat manifest tasks; two batches carry layouts that must be refused. The package's image comes with how it was read."""
     bad = F.expr("batch = 'Batch 4.1' and pos % 3 = 0")
     again = F.expr("batch = 'CompanyBench 6.1'")
-    return t.r3_deliveries.select(
+    read = images_read(t).withColumnsRenamed({"image": "package_image", "read_from": "image_read_from"})
+    return t.r3_deliveries.join(read, "pos").select(
         "batch", c("pos").alias("index"), F.when(again, F.concat(F.lit("pkg-"), (c("pos") % 50).cast("string"))).otherwise(c("package_name")).alias("task_id"),
         F.concat(F.lit("harbor/"), "task").alias("task_name"), "package_path", F.when(~bad, c("sha256")).alias("sha256"), "size_bytes", F.lower("difficulty").alias("difficulty"),
-        c("glm").alias("successes"), F.when(F.expr("pos % 4 = 0"), F.lit(False)).alias("connector"), F.when(F.expr("pos % 3 = 0"), "synthetic set").otherwise("").alias("declared"),
-        F.when(F.expr("pos % 6 = 1"), "reg/aster:1").alias("image"), F.lit("python:3").alias("package_image"), "connectors", "source_uri",
+        c("glm").alias("successes"), F.when(F.expr("pos % 4 = 0"), F.lit(False)).alias("connector"),
+        F.when(F.expr("pos % 3 = 0"), "synthetic set").when(F.expr("pos % 7 < 2"), "real set").otherwise("").alias("declared"),
+        F.when(F.expr("pos % 6 = 1"), "reg/aster:1").alias("image"), "package_image", "image_read_from", "connectors", "source_uri",
     )
 
 
 _CLASS = "case pos % 5 when 0 then 'Connector' when 1 then 'Non-Connector' when 2 then 'Non-Connector' when 3 then 'Synthetic' else 'Aster' end"
 _DRIVE = f"""m as (select *, case when batch = 'CompanyBench 6.1' then 'pkg-' || cast(pos % 50 as string) else package_name end as tid, case when batch = 'Batch 4.1' and pos % 3 = 0 then null else sha256 end as sha_, {_CLASS} as klass from r3_deliveries),
 p as (select batch, count(*) as n, count(*) filter (where sha_ is null) as lacking, min(pos) filter (where sha_ is null) as first_bad, count(coalesce(tid, 'pkg_' || cast(pos as string))) - count(distinct coalesce(tid, 'pkg_' || cast(pos as string))) as repeats from m group by 1)"""
+_FAMILY = f"""{IMAGES_READ}, {_DRIVE}, ok as (select m.*, im.image, im.read_from, case when image like '%aster%' then 'real-aster' when image like '%rl-gym%' then 'synthetic' when image like '%real-data%' then 'real' end as own, pos % 3 > 0 and pos % 7 < 2 as real,
+  case when read_from = 'package versions disagree' then 'the image in the package' else read_from end as how from m join p using (batch) join im using (pos) where lacking = 0 and repeats = 0),
+g as (select *, case when pos % 6 = 1 then 0 when pos % 4 = 0 or klass = 'Non-Connector' then 1 when klass = 'Aster' then 2 when pos % 3 = 0 or klass = 'Synthetic' then 3 when own = 'real-aster' then 4 when own = 'synthetic' and not real then 5 when own = 'synthetic' then 6
+  when real and list_contains(connectors, 'zeta3-sql-gym') then 7 when real and (list_contains(connectors, 'github-gym') or list_contains(connectors, 'linear') or list_contains(connectors, 'notion')) then 8 when real then 9 when image is not null and own is null then 10 else 11 end as rule from ok),
+w as (select *, ['real-aster', 'non-connector', 'real-aster', 'synthetic', 'real-aster', 'synthetic', 'real', 'real-zeta', 'real-aster', 'real', 'non-connector', null][rule + 1] as fam,
+  case when rule = 0 then 'the image the manifest records' when rule in (1, 2, 3, 9) then 'the manifest' when rule in (4, 5) then how when rule = 6 then 'the manifest says real, ' || how || ' is synthetic' when rule in (7, 8) then 'the connectors the manifest lists'
+    when rule = 10 then 'the image in the package (no connector harness)' end as said from g),
+f as (select *, case when read_from = 'package versions disagree' and coalesce(said, 'the manifest') = 'the manifest' then case when fam is null then 'not classified: the bucket holds versions of the task on different images' else 'the manifest; the bucket holds versions of the task on different images' end else said end as fam_from from w)"""
 
 
 @query(
@@ -161,17 +172,17 @@ def _(t):
 
 @query(
     "s07_normalise_drive_manifest",
-    f"""with {_DRIVE}, ok as (select m.* from m join p using (batch) where lacking = 0 and repeats = 0),
-f as (select *, case when pos % 6 = 1 then 'real-aster' when pos % 4 = 0 or klass = 'Non-Connector' then 'non-connector' when klass = 'Aster' then 'real-aster' when pos % 3 = 0 or klass = 'Synthetic' then 'synthetic' else 'non-connector' end as fam from ok),
-d as (select *, case when fam = 'non-connector' then case when klass = 'Non-Connector' then case pos % 5 when 1 then 'Legal' else 'Engineering' end else case split_part(task, '-', 1) when 'code' then 'Engineering' when 'fin' then 'Finance' when 'law' then 'Legal' else 'Other' end end end as dom from f)
+    f"""with {_FAMILY},
+placed as (select *, case when fam = 'non-connector' then case when klass = 'Non-Connector' then case pos % 5 when 1 then 'Legal' else 'Engineering' end else case split_part(task, '-', 1) when 'code' then 'Engineering' when 'fin' then 'Finance' when 'law' then 'Legal' else 'Other' end end end as dom from f)
 select case when batch like 'CompanyBench%' then 'CB' else 'B' end || regexp_replace(batch, '\\D', '', 'g') || '-' || case when pos < 100 then lpad(cast(pos as string), 3, '0') else cast(pos as string) end as id, task,
-  case when coalesce(tid, 'pkg_' || cast(pos as string)) <> task then coalesce(tid, 'pkg_' || cast(pos as string)) end as package_name, batch, klass as class, fam as family, dom as domain, case when fam = 'non-connector' then 'Non-connector' else 'Connector' end as type,
-  case when fam = 'real-aster' then 'company' else 'computer' end as bench, case when fam = 'real-aster' then 'aster' end as harness, case when fam = 'non-connector' then 'Non-Connector · ' || dom when fam = 'real-aster' then 'CompanyBench' else 'Synthetic' end as category,
-  case when difficulty is not null then difficulty when pos % 5 = 0 then 'Harder' when pos % 5 in (1, 3) then 'Easier' when pos % 5 = 2 then 'Harder' end as difficulty, coalesce(cast(glm as string) || '/4', '(not recorded)') as score, substr(sha_, 1, 16) as sha, round(size_bytes / 1e6, 2) as size_mb from d""",
+  case when coalesce(tid, 'pkg_' || cast(pos as string)) <> task then coalesce(tid, 'pkg_' || cast(pos as string)) end as package_name, batch, klass as class, fam as family, fam_from as family_from, dom as domain, case when fam = 'non-connector' then 'Non-connector' else 'Connector' end as type,
+  case when fam like 'real%' then 'company' else 'computer' end as bench, case fam when 'real-aster' then 'aster' when 'real-zeta' then 'zeta' end as harness,
+  case when fam = 'non-connector' then 'Non-Connector · ' || dom when fam like 'real%' then 'CompanyBench' when fam = 'synthetic' then 'Synthetic' else 'Connector · not classified' end as category,
+  case when difficulty is not null then difficulty when pos % 5 = 0 then 'Harder' when pos % 5 in (1, 3) then 'Easier' when pos % 5 = 2 then 'Harder' end as difficulty, coalesce(cast(glm as string) || '/4', '(not recorded)') as score, substr(sha_, 1, 16) as sha, round(size_bytes / 1e6, 2) as size_mb from placed""",
 )
 def _(t):
     rows = M.normalise_manifest(drive_tasks(t), "bucket")
-    return rows.select("id", "task", "package_name", "batch", "class", "family", "domain", "type", "bench", "harness", "category", "difficulty", "score", "sha", "size_mb")
+    return rows.select("id", "task", "package_name", "batch", "class", "family", "family_from", "domain", "type", "bench", "harness", "category", "difficulty", "score", "sha", "size_mb")
 
 
 def zip_files(t):
@@ -390,8 +401,8 @@ def _(t):
 
 @query(
     "k03_arithmetic",
-    f"""with {_SELECT} select (select count(*) from k) as rows_considered, (select count(*) from x) as distinct_tasks, (select count(*) from x where gone) as excluded, (select count(*) from ent) as taken,
-  (select cast(sum(stands_for) as bigint) from ent) as rows_represented, (select count(*) from x where not gone) as available, cast(0 as bigint) as short_by""",
+    f"""with {_SELECT} select (select count(*) from k) as rows_considered, (select count(*) from x) as distinct_tasks, (select count(*) from x where gone) as excluded, (select count(*) from x where not gone) as available,
+  cast(null as bigint) as requested, cast(0 as bigint) as short_by, {_counts("ent")}""",
 )
 def _(t):
     return handed_over(t, "arithmetic")

@@ -107,6 +107,7 @@ def _(t):
         F.when(c("kind") == "PROMO", F.lit("Non-Connector")).otherwise(F.lit("Connector")),
         F.expr("case size % 5 when 1 then 'zeta set' when 2 then 'synth' when 3 then 'real' else '' end"),
         c("image"),
+        F.lit(K.FROM_NAME),
         F.when(F.expr("size % 2 = 0"), F.array(F.lit("github-gym"))).otherwise(F.array(F.lit("jira-gym"))),
     )
     return rows.select("package_id", "family", "family_from")

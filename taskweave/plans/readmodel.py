@@ -506,8 +506,15 @@ def _(t):
     return D.half_change(D.last_n_days(t.orders.select(F.to_date("o_orderdate").alias("decided")), 30))
 
 
-_SELECT = f"""k as (select *, {MKEY} as key from r10_truth where {COLLECT} and not delivered), out as (select distinct id from k where maybe_delivered), x as (select key, bool_or(id in (select id from out)) as gone, count(*) as stands_for from k group by 1),
-rep as (select * from k qualify row_number() over (partition by key order by {PREFER}) = 1), ent as (select rep.key, rep.id, rep.name, rep.owner, rep.state, rep.decided, stands_for from rep join x using (key) where not gone)"""
+_SELECT = f"""k as (select *, {MKEY} as key from r10_truth where {COLLECT} and not delivered), out as (select distinct id from k where maybe_delivered and runs > 4), x as (select key, bool_or(id in (select id from out)) as gone, count(*) as stands_for from k group by 1),
+rep as (select * from k qualify row_number() over (partition by key order by {PREFER}) = 1), ent as (select rep.key, rep.id, rep.name, rep.owner, rep.state, rep.decided, rep.maybe_delivered, stands_for from rep join x using (key) where not gone)"""
+
+
+def _counts(entries: str) -> str:
+    """The figures of the rows of ``entries``."""
+    derived = "name like 'harbor-single-task-%'"
+    return f"""count(*) as taken, count(distinct owner) as owners, cast(coalesce(sum(stands_for), 0) as bigint) as rows_represented, cast(coalesce(sum(stands_for - 1), 0) as bigint) as superseded_rows, count(*) filter (where maybe_delivered) as possibly_already_delivered,
+  count(*) filter (where {derived}) as names_derived, count(*) filter (where {derived} and not regexp_matches(id, '^family:(.+?)-[0-9a-f]{{6,}}$')) as names_unrecoverable from {entries}"""
 
 
 def manifest_rows(t):
@@ -515,7 +522,7 @@ def manifest_rows(t):
 
 
 def excluded(t):
-    return manifest_rows(t).where("maybe_delivered").select("id")
+    return manifest_rows(t).where("maybe_delivered and runs > 4").select("id")
 
 
 @query("w05_select_for_manifest", f"with {_SELECT} select key, id, name, owner, state, decided, stands_for, row_number() over (order by decided nulls first, key) as position from ent order by decided nulls first, key limit 100")
@@ -526,7 +533,7 @@ def _(t):
 @query(
     "w05_selection_arithmetic",
     f"""with {_SELECT}, e as (select * from ent order by decided nulls first, key limit 100) select (select count(*) from k) as rows_considered, (select count(*) from x) as distinct_tasks, (select count(*) from x where gone) as excluded, (select count(*) from x where not gone) as available,
-  (select count(*) from e) as taken, (select cast(sum(stands_for) as bigint) from e) as rows_represented, cast(100 - (select count(*) from e) as bigint) as short_by""",
+  cast(100 as bigint) as requested, cast(100 - (select count(*) from e) as bigint) as short_by, {_counts("e")}""",
 )
 def _(t):
     entries = D.select_for_manifest(manifest_rows(t), excluded(t), 100)

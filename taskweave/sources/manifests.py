@@ -50,7 +50,7 @@ def normalise_manifest(tasks: DataFrame, bucket: str) -> DataFrame:
 
     ``tasks`` has one row per manifest task: batch, index, task_id, task_name,
     package_path, sha256, size_bytes, difficulty, successes, connector,
-    declared, image, package_image, connectors (array), source_uri.
+    declared, image, package_image, image_read_from, connectors (array), source_uri.
     """
     usable = tasks.join(manifest_problems(tasks).select("batch"), "batch", "left_anti")
     name = blank_to_null(F.regexp_replace(F.trim("task_name"), ANY_NAMESPACE, ""))
@@ -58,7 +58,7 @@ def normalise_manifest(tasks: DataFrame, bucket: str) -> DataFrame:
         "klass", K.package_class(F.get("parts", F.lit(0)), F.col("declared"), F.col("connector"))
     )
     placed = K.with_package_family(
-        placed, [F.col("image")], F.col("connector"), F.col("klass"), F.col("declared"), F.col("package_image"), F.col("connectors")
+        placed, [F.col("image")], F.col("connector"), F.col("klass"), F.col("declared"), F.col("package_image"), F.col("image_read_from"), F.col("connectors")
     )
     stem = F.regexp_replace(F.element_at("parts", -1), r"\.[^.]*$", "")
     base = (
