@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -62,6 +63,47 @@ def shared_folder(spark: SparkSession) -> str:
 _WORK: ContextVar[str] = ContextVar("work", default="")
 
 
+def filesystem(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    place, files = filesystem(spark, path)
+    files.delete(place, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, bytes below it) of every entry of a folder; none if there is no folder."""
+    place, files = filesystem(spark, path)
+    if not files.exists(place):
+        return []
+    return [(s.getPath().getName(), files.getContentSummary(s.getPath()).getLength() if s.isDirectory() else s.getLen()) for s in files.listStatus(place)]
+
+
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file, or say that it is there already: of several callers one gets it.
+
+    Stores decide that by themselves in ``create`` without overwrite; a local folder does not,
+    so there the file is made by the operating system's exclusive create.
+    """
+    place, files = filesystem(spark, path)
+    files.mkdirs(place.getParent())
+    parent = files.resolvePath(place.getParent())
+    jvm = spark._jvm
+    try:
+        if parent.toUri().getScheme() == "file":
+            folder = jvm.java.io.File(parent.toUri().getPath())
+            return jvm.java.io.File(folder, place.getName()).createNewFile()
+        files.create(place, False).close()
+        return True
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() in ("FileAlreadyExistsException", "AlreadyBeingCreatedException"):
+            return False
+        raise
+
+
 @contextmanager
 def work_folder(spark: SparkSession) -> Iterator[str]:
     """Whatever is stored inside goes to a folder of its own, which is dropped at the end.
@@ -74,8 +116,7 @@ def work_folder(spark: SparkSession) -> Iterator[str]:
         yield path
     finally:
         _WORK.reset(token)
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        drop(spark, path)
 
 
 def output_path(spark: SparkSession, name: str) -> str:

@@ -4,31 +4,38 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from taskweave.operators.quality import holds
-
-POINTER = "version string, number long"
+from taskweave.session import create_new, listed
 
 
 def latest(spark: SparkSession, root: str) -> tuple[int, str] | None:
     """Number and name of the latest published version."""
-    try:
-        row = spark.read.schema(POINTER).parquet(f"{root}/pointers").agg(F.max(F.struct("number", "version")).alias("p")).first()["p"]
-    except AnalysisException:
-        return None
-    return (row["number"], row["version"]) if row else None
+    pointers = [name.split("-") for name, _ in listed(spark, f"{root}/pointers") if "-" in name]
+    return max(((int(number), version) for number, version in pointers), default=None)
+
+
+def highest_claim(spark: SparkSession, root: str) -> int:
+    return max((int(name) for name, _ in listed(spark, f"{root}/claims") if name.isdigit()), default=0)
+
+
+def claim(spark: SparkSession, root: str) -> int:
+    """A version number of one's own: the first that could be created, whatever was read before."""
+    number = highest_claim(spark, root) + 1
+    while not create_new(spark, f"{root}/claims/{number}"):
+        number += 1
+    return number
 
 
 def publish_if_reconciled(tables: DataFrame | dict[str, DataFrame], checks: DataFrame, root: str) -> bool:
     """Write a new version beside the old, then point to it, if every check holds.
 
-    Several tables of one version become readable together. A version is readable only
-    after its pointer is committed, so a reader never sees half a table, and a failed or lost
-    job leaves the previous one. Versions are numbered, each one above the latest it found;
-    a publisher that finds its number taken takes the next.
+    Several tables of one version become readable together. The rows are written first, under
+    a name of their own; then a number is claimed, by creating a file that must not be there
+    yet, so two publishers never share one; then the pointer appears, an empty file whose name
+    holds both. A reader therefore never sees half a table, and a failed or lost job leaves
+    the previous version, at most with a number that nobody uses.
     """
     if not holds(checks):
         return False
@@ -37,16 +44,8 @@ def publish_if_reconciled(tables: DataFrame | dict[str, DataFrame], checks: Data
     name = uuid.uuid4().hex
     for part, df in parts.items():
         df.write.parquet(f"{root}/versions/{name}/{part}")
-    pointer = spark.range(1).select(F.lit(name).alias("version")).coalesce(1)
-    while True:
-        found = latest(spark, root)
-        number = found[0] + 1 if found else 1
-        try:
-            pointer.write.mode("error").parquet(f"{root}/pointers/number={number}")
-            return True
-        except AnalysisException as taken:
-            if taken.getCondition() != "PATH_ALREADY_EXISTS":
-                raise
+    number = claim(spark, root)
+    return create_new(spark, f"{root}/pointers/{number}-{name}")
 
 
 def read_published(spark: SparkSession, root: str, part: str = "rows") -> DataFrame:

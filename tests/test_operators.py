@@ -1,6 +1,7 @@
 """Operators on small fixtures: brute force, order independence, skew, sinks."""
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -280,6 +281,21 @@ def test_filters_reach_the_scan(spark):
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in plan
 
 
+def test_publishers_never_share_a_number(spark, monkeypatch):
+    """Two that read the same latest number, and eight at once."""
+    one = spark.createDataFrame([("accepted",)], "state string")
+    root = output_path(spark, "race")
+    with monkeypatch.context() as stale:
+        stale.setattr(P, "highest_claim", lambda spark, root: 0)
+        for _ in range(2):
+            assert P.publish_if_reconciled(one, Q.check_partition(one), root)
+    assert P.latest(spark, root)[0] == 2
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda _: P.claim(spark, root), range(24)))
+    assert sorted(numbers) == list(range(3, 27))
+    assert rows(P.read_published(spark, root)) == [("accepted",)]
+
+
 def test_refresh_publishes_the_derived_rows(spark):
     from taskweave.plans import fragments as X
     from taskweave.plans.core import CURRENT, GATE_ONLY, tasks_of
