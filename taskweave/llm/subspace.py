@@ -47,21 +47,33 @@ BLOCKS = 4
 WIDTH = 2
 # Vectors that the rotation is fitted on, at most.
 SAMPLE = 4096
-# Rows of a chunk of a cell, about.
-CHUNK = 2048
+# Rows of a chunk of a cell, about; a pair of chunks, or a cell of no more rows, is a task's unit.
+CHUNK = 1400
 # Pairs that are verified at once.
 PAIRS = 20_000
 # Turned coordinates are kept in single precision; squared distances err far less than this.
 SLACK = 1e-5
 
 
+def packed(vectors: np.ndarray) -> list[bytes]:
+    """Rows as bytes, in single precision where that holds all of them."""
+    with np.errstate(over="ignore"):
+        single = vectors.astype(np.float32)
+    rows = single if (single == vectors).all() else vectors
+    return [(b"s" if rows is single else b"d") + r.tobytes() for r in rows]
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if raw[:1] == b"s" else np.float64, offset=1).astype(np.float64)
+
+
 class Side:
     """Rows of one chunk: their unit vectors in double precision and the turned ones."""
 
     def __init__(self, rows: dict[str, list], width: int) -> None:
         self.node, self.n = np.array(rows["node"], np.int64), np.array(rows["n"], np.int64)
         self.turned = np.frombuffer(b"".join(rows["turned"]), np.float32).reshape(len(self.node), width)
-        vectors = np.frombuffer(b"".join(rows["vec"]), np.float64).reshape(len(self.node), width)
+        vectors = np.array([unpacked(v) for v in rows["vec"]]).reshape(len(self.node), width)
         self.unit = units(vectors) if len(vectors) else vectors
 
     def __len__(self) -> int:
@@ -194,7 +206,7 @@ def placed(classes: DataFrame, split: Split) -> DataFrame:
                 for i, cx, cy in zip(rows.tolist(), x.tolist(), y.tolist()):
                     own[i].append({"block": block, "x": cx, "y": cy, "home": home})
             cells = pa.array(own, pa.list_(pa.struct([("block", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("home", pa.bool_())])))
-            raw = [pa.array([r.tobytes() for r in m], pa.binary()) for m in (turned, vectors)]
+            raw = [pa.array(r, pa.binary()) for r in ([r.tobytes() for r in turned], packed(vectors))]
             yield pa.RecordBatch.from_arrays([batch["label"], batch["node"], batch["n"], *raw, cells], names=["label", "node", "n", "turned", "vec", "cells"])
 
     return classes.select("label", "node", "n", "vec").mapInArrow(run, "label string, node long, n long, turned binary, vec binary, cells array<struct<block:int,x:long,y:long,home:boolean>>")
@@ -206,9 +218,10 @@ def dealt_to_chunks(rows: DataFrame) -> DataFrame:
     chunks = lambda own: F.ceil(F.count_if(own) / CHUNK).cast("int")
     entries = rows.select("label", "node", F.inline("cells"))
     sizes = entries.groupBy(*cell).agg(F.count_if("home").alias("homes"), chunks(F.col("home")).alias("h"), chunks(~F.col("home")).alias("v"), F.count("*").alias("all"))
-    open_ = stored(sizes.where("homes > 0 and all > 1").select(*cell, "h", "v"), "subspace-cells")
+    small = (F.col("homes") <= CHUNK) & (F.col("all") <= 2 * CHUNK)
+    open_ = stored(sizes.where("homes > 0 and all > 1").select(*cell, "h", "v", small.alias("small")), "subspace-cells")
     met = entries.join(dealt(open_, *cell), cell)
-    home, small = F.col("home"), (F.col("h") == 1) & (F.col("v") <= 1)
+    home = F.col("home")
     own = F.pmod(F.xxhash64("node"), F.when(home, F.col("h")).otherwise(F.col("v"))).cast("int")
     tag = lambda kind, p, q, side: F.struct(F.lit(kind).alias("kind"), p.cast("int").alias("p"), q.cast("int").alias("q"), side.cast("int").alias("side"))
     zero, others, visits = F.lit(0), F.sequence(F.lit(0), F.col("h") - 1), F.when(F.col("v") > 0, F.sequence(F.lit(0), F.col("v") - 1)).otherwise(F.array().cast("array<int>"))
@@ -218,7 +231,7 @@ def dealt_to_chunks(rows: DataFrame) -> DataFrame:
     )
     of_visit = F.transform(others, lambda j: tag(2, j, F.col("own"), F.lit(1)))
     whole = F.array(tag(0, zero, zero, F.when(home, 0).otherwise(1)))
-    out = met.withColumn("own", own).select("label", "node", "block", "x", "y", F.inline(F.when(small, whole).when(home, of_home).otherwise(of_visit)))
+    out = met.withColumn("own", own).select("label", "node", "block", "x", "y", F.inline(F.when(F.col("small"), whole).when(home, of_home).otherwise(of_visit)))
     return out.join(rows.select("node", "n", "turned", "vec"), "node")
 
 
