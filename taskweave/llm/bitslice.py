@@ -8,14 +8,17 @@ digit, with full adders on whole bitmaps. The sum's slices, most significant fir
 the rows into those surely among the best k, those out, and those that are equal so far;
 what is equal at the end is taken by smaller id, and scores are computed from the rows.
 
-Queries meet blocks in groups: one task holds one block and ``GROUP`` queries. Each gives k
-rows per query, and the best k of these are the answer, so nothing is approximate.
+Queries meet blocks in groups: one task holds one block and up to about ``GROUP`` queries, which
+go through it one after the other. Each gives k rows per query, and the best k of these are
+the answer, so nothing is approximate. Slices and sums are as wide as the components ask
+for; the scores of the rows found are exact, by whole numbers of any size where 64 bits
+could overflow on the way.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no
-part, nor do components so large that a score could leave 64 bits (2**23 in size); a
-shorter vector counts as ending in zeros, an empty one scores 0; of rows sharing an id
-the least vector counts; rows without an id take no part; a query's own row is none of
-its candidates; ties go to the smaller id; fewer candidates than k are all returned.
+part; a shorter vector counts as ending in zeros, an empty one scores 0; of rows sharing an
+id the least vector counts; rows without an id take no part; a query's own row is none of
+its candidates; ties go to the smaller id; fewer candidates than k are all returned. A
+component or a returned score that 64 bits can't hold is an error that shows the row.
 """
 
 from __future__ import annotations
@@ -26,19 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from taskweave.llm.vectors import matrix, padded, valid
+from taskweave.llm.vectors import matrix, padded, products, query_groups, valid, whole
 
 SCALE = 256
-LARGEST = float(1 << 23)
 BLOCK = 65_536
-GROUP = 256
+GROUP = 65_536
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def quantised(rows: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    return np.floor(rows * scale).astype(np.int64)
-
-
 def bitmap(bits: np.ndarray) -> np.ndarray:
     """Row i as bit i % 64 of word i // 64."""
     packed = np.packbits(bits, bitorder="little")
@@ -65,12 +63,13 @@ class Block:
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
         low = self.rows.min(axis=0) if len(ids) else np.zeros(rows.shape[1], np.int64)
-        above = self.rows - low
+        # Differences of 64-bit numbers fit 64 bits without a sign.
+        above = self.rows.view(np.uint64) - low.view(np.uint64)
         self.plus, self.minus = [], []
         for j in range(rows.shape[1]):
             column = np.ascontiguousarray(above[:, j])
             width = int(column.max()).bit_length() if len(column) else 0
-            slices = [bitmap((column >> b) & 1) for b in range(width)]
+            slices = [bitmap((column >> np.uint64(b)) & np.uint64(1)) for b in range(width)]
             self.plus.append(slices)
             self.minus.append([s ^ ONES for s in slices])
         self.all = bitmap(np.ones(len(ids), np.uint8))
@@ -125,7 +124,7 @@ class Block:
                 equal &= ~s
         rows = set_bits(sure)
         rows = np.concatenate([rows, set_bits(equal)[: k - len(rows)]])
-        return self.ids[rows], self.rows[rows] @ query
+        return self.ids[rows], products(query[None], self.rows[rows])[0]
 
 
 def set_bits(words: np.ndarray) -> np.ndarray:
@@ -134,9 +133,9 @@ def set_bits(words: np.ndarray) -> np.ndarray:
 
 def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = SCALE, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``df`` with the largest inner product for each query."""
-    rows, asked = valid(df, id_col, vec_col, LARGEST / scale), valid(queries, id_col, vec_col, LARGEST / scale)
+    rows, asked = (valid(x, id_col, vec_col).select("id", whole(F.col("vec"), scale).alias("q")) for x in (df, queries))
     blocks = max(1, -(-rows.count() // block))
-    groups = max(1, -(-asked.count() // group))
+    groups = query_groups(asked.count(), blocks, group)
     place = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     # A block is sent to each group of queries, a query to each block.
     left = rows.withColumn("b", place(blocks, 1)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
@@ -145,8 +144,8 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: st
     def search(held: pa.Table, wanted: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if held.num_rows and wanted.num_rows:
-            index = Block(held["id"].to_numpy(), quantised(matrix(held["vec"]), scale))
-            vectors = padded(quantised(matrix(wanted["vec"]), scale), index.rows.shape[1])
+            index = Block(held["id"].to_numpy(), matrix(held["q"], np.int64))
+            vectors = padded(matrix(wanted["q"], np.int64), index.rows.shape[1])
             for query_id, query in zip(wanted["id"].to_pylist(), vectors):
                 ids, scores = index.top(query_id, query, k)
                 out[0] += [query_id] * len(ids)

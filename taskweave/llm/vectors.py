@@ -53,6 +53,14 @@ def whole(vec: Column, scale: int) -> Column:
     return F.when(fits, F.transform(vec, lambda x: F.floor(x * scale).cast("long"))).otherwise(F.raise_error(F.concat(F.lit("a component times the scale leaves 64 bits: "), vec.cast("string"))))
 
 
+def query_groups(queries: int, blocks: int, most: int, few: int = 256, tasks: int = 32) -> int:
+    """Groups that queries are dealt into, each of which every block of rows is copied to.
+
+    As many as ``most`` queries a group allows; more only while all tasks are few.
+    """
+    return max(1, -(-queries // most), min(-(-queries // few), tasks // blocks))
+
+
 def largest(rows: np.ndarray) -> int:
     return max(abs(int(rows.max())), abs(int(rows.min()))) if rows.size else 0
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
+from pyspark.errors import PythonException
 
 from taskweave.llm import bitslice, hardneg, nndescent, subspace, vectors, warc
 from taskweave.llm.queries import QUERIES
@@ -58,6 +59,28 @@ def test_bit_slices_equal_brute_force(spark):
     assert found(bitslice.top_k(df, asked, block=40, group=3)) == want
 
 
+def test_bit_slices_of_large_components(spark):
+    """Whatever the components' size, no row is left out, and scores are exact."""
+    sizes = [40_000.0, 2.0**23, 2.0**26, -(2.0**26), 2.0**20 + 0.25, 0.5, -3.0]
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=4) * sizes[i % 7]).tolist()) for i in range(200)]
+    rows += [(250, [40_000.0, 0.0, 0.0, 0.0]), (251, [2.0**30] * 4), (300, [1.0, -1.0, 0.0, 0.0]), (301, [2.0**53, 2.0**53, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = lambda v: [math.floor(256 * x) for x in v]
+    want = exact(rows, lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b))), finite)
+    asked = df.where("vec_id = 300")
+    for k, pairs in found(bitslice.top_k(df, asked)).items():
+        assert pairs == want[k]
+    small = df.where("vec_id < 251")
+    want = exact(rows[:-3], lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b))), finite)
+    assert found(bitslice.top_k(small, small.where("vec_id % 50 = 0"), block=30)) == want
+    with pytest.raises(PythonException, match="a score leaves 64 bits"):
+        bitslice.top_k(df, df.where("vec_id = 251")).collect()
+    huge = spark.createDataFrame([(0, [1e300]), (50, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        bitslice.top_k(huge, huge.where("vec_id % 50 = 0")).collect()
+
+
 def test_signed_digits():
     for n in range(-700, 700):
         parts = bitslice.digits(n)
