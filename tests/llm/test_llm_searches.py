@@ -61,7 +61,7 @@ def test_bit_slices_equal_brute_force(spark):
 
 def test_bit_slices_of_large_components(spark):
     """Whatever the components' size, no row is left out, and scores are exact."""
-    sizes = [40_000.0, 2.0**23, 2.0**26, -(2.0**26), 2.0**20 + 0.25, 0.5, -3.0]
+    sizes = [40_000.0, 2.0**18, 2.0**19, -(2.0**19), 2.0**16 + 0.25, 0.5, -3.0]
     rng = np.random.default_rng(8)
     rows = [(i, (rng.normal(size=4) * sizes[i % 7]).tolist()) for i in range(200)]
     rows += [(250, [40_000.0, 0.0, 0.0, 0.0]), (251, [2.0**30] * 4), (300, [1.0, -1.0, 0.0, 0.0]), (301, [2.0**53, 2.0**53, 0.0, 0.0])]
