@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -67,6 +68,8 @@ class Codec:
             spec = json.load(f)
         to_byte = byte_alphabet()
         model, self.special = spec["model"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # The longest of the special tokens that start at a place.
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         as_bytes = {piece: bytes(to_byte[c] for c in piece) for piece in model["vocab"]}
         vocab = {as_bytes[piece]: i for piece, i in model["vocab"].items()}
         size = 1 + max([*vocab.values(), *self.special.values()])
@@ -241,15 +244,14 @@ class Codec:
 
     def _parts(self, text: str) -> Iterator[tuple[str, int]]:
         """The text cut at special tokens: (string, id or -1), no empty strings."""
-        while text:
-            at, name = min(((p, name) for name in self.special if (p := text.find(name)) >= 0), default=(-1, ""))
-            if at < 0:
-                yield text, -1
-                return
-            if at:
-                yield text[:at], -1
-            yield name, self.special[name]
-            text = text[at + len(name) :]
+        at = 0
+        for found in self.cut.finditer(text) if self.special else ():
+            if found.start() > at:
+                yield text[at : found.start()], -1
+            yield found.group(), self.special[found.group()]
+            at = found.end()
+        if at < len(text):
+            yield text[at:], -1
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the ids, copied out of the joined vocabulary by offset and length."""

@@ -6,8 +6,8 @@ the logistic losses of its bits, weighted by how well the bit was learned for th
 language, and takes the least. A text whose two nearest codewords are almost equally near
 is flagged as ambiguous.
 
-Fitting reads at most ``MAX_TRAIN`` labelled texts, dealt evenly over the languages and
-chosen by a hash of their ids; their n-gram vectors are counted in Spark and the weights
+Fitting reads at most ``MAX_TRAIN`` labelled texts, dealt evenly over the languages (the
+commonest of them, should there be more than texts) and chosen by a hash of their ids; their n-gram vectors are counted in Spark and the weights
 fitted on the driver. The model is a table of n-gram buckets by bits, sent to the tasks.
 Predictions read whole texts and nothing else.
 
@@ -154,15 +154,12 @@ def learn(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     """Fits a model on rows where ``train`` holds, with id, text and language, ``max_train`` at most."""
     usable = df.where(train & df[id_col].isNotNull() & df[lang_col].isNotNull() & df[text_col].rlike(r"\p{L}"))
     rows = usable.select(df[lang_col].alias("lang"), F.pmod(F.xxhash64(F.lit("langid"), df[id_col]), F.lit(1 << 40)).alias("draw"), df[text_col].alias("text"))
-    per = rows.groupBy("lang").count().collect()  # a row per language
+    # The commonest languages, as many as the sample has rows; rarer ones are not learned.
+    per = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_train).collect()
     each = max_train // max(1, len(per))
-    if not each:
-        raise ValueError(f"{len(per)} languages do not fit a sample of {max_train}")
     # So many rows of a language have a draw below its limit, but for chance; the smallest draws stay.
-    limits = F.lit(0)
-    for r in per:
-        limits = F.when(F.col("lang") == r["lang"], F.lit(int((1 << 40) * min(1, (each + 4 * each**0.5) / r["count"])))).otherwise(limits)
-    drawn = rows.where(F.col("draw") < limits)
+    limits = [(r["lang"], int((1 << 40) * min(1, (each + 4 * each**0.5) / r["count"]))) for r in per]
+    drawn = rows.join(F.broadcast(df.sparkSession.createDataFrame(limits, "lang string, most long")), "lang").where("draw < most").select("lang", "draw", "text")
 
     def run(batches):
         for batch in batches:

@@ -10,6 +10,7 @@ committed are in the manifest, so lost executors and repeated tasks leave no dou
 its range on, takes a candidate for a member if it decodes to a WARC header (and to a
 whole member with its checksum), and owns the members that start inside its range; the
 last one may be read beyond the range's end. A range without a member start gives none.
+Files that ``write`` made hold nothing between members, so a damaged one is an error.
 
 Defined cases: a null page is an empty payload, and empty payloads are equal payloads; a
 null url leaves its header out; a null id is written as "none", read as null and is never
@@ -176,27 +177,39 @@ def parsed(record: bytes) -> tuple:
     return page_of(warc["warc-record-id"]), warc.get("warc-target-uri"), payload.decode("utf-8", "replace"), len(payload), digest, "response", None
 
 
-def members(source: Source, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, record) of the members that start in [start, end)."""
-    at = start
+def members(source: Source, start: int, end: int, gapless: bool = False) -> Iterator[tuple[int, bytes]]:
+    """(offset, record) of the members that start in [start, end).
+
+    A false magic owns nothing. ``gapless`` files hold members and nothing else, as ``write``
+    makes them: where one ends the next must start, up to the end of the file, whichever
+    range that falls into; a damaged member is an error that names its offset.
+    """
+    at, known = start, gapless and start == 0
     while at < end:
-        window = source.need(at, min(READ_BYTES, end - at) + len(MAGIC) - 1)
-        found = window.find(MAGIC)
-        if found < 0:
-            at += max(1, len(window) - len(MAGIC) + 1)
-            continue
-        at += found
-        if at >= end:
-            return
-        if (got := decoded(source, at)) is None:
+        if not known:
+            window = source.need(at, min(READ_BYTES, end - at) + len(MAGIC) - 1)
+            found = window.find(MAGIC)
+            if found < 0:
+                at += max(1, len(window) - len(MAGIC) + 1)
+                continue
+            at += found
+            if at >= end:
+                return
+        got = decoded(source, at)
+        if got is not None:
+            yield at, got[0]
+            at, known = got[1], gapless
+        elif known:
+            raise ValueError(f"no whole record at offset {at}")
+        else:
             at += 1
-            continue
-        yield at, got[0]
-        at = got[1]
+    # The next range can't tell a damaged first member from a false magic; this one can.
+    if known and at < source.size and decoded(source, at) is None:
+        raise ValueError(f"no whole record at offset {at}")
 
 
 def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
-    """Every record of the manifest's files; ``payloads=False`` leaves the payload column null."""
+    """Every record of the manifest's files; ``payloads=False`` leaves the payload column null. A damaged file is an error."""
     ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.expr(f"sequence(0L, bytes - 1, {split_bytes}L)")).alias("start"))
 
     def run(batches):
@@ -205,7 +218,7 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = T
                 fs, name = place_of(path)
                 out = []
                 with fs.open_input_file(name) as file:
-                    for offset, record in members(Source(file, start, size), start, min(start + split_bytes, size)):
+                    for offset, record in members(Source(file, start, size), start, min(start + split_bytes, size), gapless=True):
                         row = parsed(record)
                         out.append((*row[:2], row[2] if payloads else None, *row[3:], path, offset))
                 columns = zip(*out) if out else [()] * len(schema)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import itertools
 import math
 import random
@@ -341,3 +342,19 @@ def test_a_pair_meets_in_its_first_block_only():
             if ((own[i] - own[j]) ** 2).sum() <= split.budget[b]:
                 cells = [k for k in met if k[0] == b and k[3] == i and (*k[:3], j) in met]
                 assert sum(met[k] + met[(*k[:3], j)] < 200 for k in cells) == 1
+
+
+def test_a_damaged_member_is_an_error(spark):
+    """Whichever member it is and wherever ranges begin, no record goes without a word."""
+    rows, df = pages_of(spark)
+    manifest = warc.write(df.where("page_id < 60 or page_id = 700").coalesce(1))
+    path = manifest.first()["path"].removeprefix("file:")
+    data = open(path, "rb").read()
+    offsets = [o for o, _ in warc.members(warc.Source(io.BytesIO(data), 0, len(data)), 0, len(data))]
+    for at in (offsets[0], offsets[7], offsets[-1]):
+        for place in (at + 1, at + 40):
+            with open(path, "wb") as f:
+                f.write(data[:place] + bytes([data[place] ^ 0xFF]) + data[place + 1 :])
+            for split in (1 << 22, 1000):
+                with pytest.raises(PythonException, match=f"no whole record at offset {at}"):
+                    warc.read(manifest, split_bytes=split).collect()

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -47,6 +48,17 @@ def test_bpe_equals_library(spark):
         assert digests[i]["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def test_bpe_of_many_special_tokens():
+    """Linear in the special tokens of a text."""
+    library, codec = Tokenizer.from_file(BPE), bpe.codec(BPE)
+    text = "<|endoftext|>a " * 200_000
+    start = time.perf_counter()
+    cuts = list(codec._parts(text))
+    assert len(cuts) == 400_000 and time.perf_counter() - start < 5
+    ids = np.concatenate(list(bpe.encoded(BPE, [text[:30_000]])))
+    assert ids.tolist() == library.encode(text[:30_000], add_special_tokens=False).ids
+
+
 def test_bpe_decodes_broken_bytes():
     library, codec = Tokenizer.from_file(BPE), bpe.codec(BPE)
     r = random.Random(2)
@@ -451,3 +463,12 @@ def test_shared_sums_are_made_once():
     got = plan.scores(np.zeros(len(codes), np.int64), plan.atom_of[codes], part, 1)[:, 0]
     value = dict(zip(plan.terms.tolist(), part.tolist()))
     assert got.tolist() == [sum(value[int(t)] for t in s) for s in sets]
+
+
+def test_more_languages_than_the_sample_holds(spark):
+    """The commonest are learned; nothing fails."""
+    rows = [(i, f"word{i % 50} text number {i}", f"l{i % 50}" if i % 3 else "l7") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df, F.lit(True), max_train=20)
+    assert len(model.languages) == 20 and "l7" in model.languages
+    assert df.select(langid.language_of(F.col("text"), model)["lang_pred"].alias("l")).where("l is null").count() == 0
