@@ -48,7 +48,7 @@ WIDTH = 2
 # Vectors that the rotation is fitted on, at most.
 SAMPLE = 4096
 # Rows of a chunk of a cell, about; a pair of chunks, or a cell of no more rows, is a task's unit.
-CHUNK = 1400
+CHUNK = 2048
 # Pairs that are verified at once.
 PAIRS = 20_000
 # Turned coordinates are kept in single precision; squared distances err far less than this.
