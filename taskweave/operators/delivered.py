@@ -370,22 +370,17 @@ def cohort_fold(folders: DataFrame, scan: DataFrame, truth: DataFrame, manifest:
     first for the connector, then the manifest, then the config text.
     """
     keys = stored(folder_keys(folders, scan), "folder-keys")
+    named = truth.select("id", "state", "decided", "owner", "runs", F.posexplode(verdict_spellings()).alias("at", "key"))
+    spelled = stored(named.join(keys.select("key").distinct(), "key", "left_semi"), "verdict-keys")
     best = F.struct(F.coalesce("decided", F.lit("0001-01-01").cast("date")), "runs", "id")
-    per_key = (
-        truth.select("id", "state", "decided", "owner", "runs", F.explode(verdict_spellings()).alias("key"))
-        .groupBy("key")
-        .agg(
-            F.max(F.struct(best.alias("rank"), "state", "decided", "owner")).alias("v"),
-            # States are a short fixed list.
-            F.collect_set("state").alias("states"),
-        )
-    )
+    # States are a short fixed list.
+    per_key = spelled.groupBy("key").agg(F.max(F.struct(best.alias("rank"), "state", "decided", "owner")).alias("v"), F.collect_set("state").alias("states"))
     seen = (
         keys.join(dealt(per_key, "key"), "key")
         .groupBy("fk")
         .agg(F.max("v").alias("v"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("states")))).alias("states"))
     )
-    reached = count_reached(keys, "fk", truth, "id", verdict_spellings())
+    reached = count_reached(keys, "fk", spelled, "id")
     package = F.struct("is_connector", F.array_sort(F.coalesce("connector_services", F.array().cast("array<string>"))).alias("services"))
     scanned = scan.where("folder is not null").groupBy(name_key(F.col("folder")).alias("fk")).agg(F.max_by(package, "pos").alias("p"))
     sent = manifest.where("folder is not null").groupBy(name_key(F.col("folder")).alias("fk")).agg(F.max_by(F.struct("batch", "connector"), "pos").alias("m"))

@@ -97,17 +97,16 @@ def ranked_within(df: DataFrame, group: str, order: str, name: str) -> DataFrame
     return placed.join(starts, group).withColumn(name, F.col("_at") - F.col("_start") + 1).drop("_at", "_start")
 
 
-def count_reached(keys: DataFrame, left_id: str, right: DataFrame, right_id: str, right_keys: Column) -> DataFrame:
+def count_reached(keys: DataFrame, left_id: str, spelled: DataFrame, right_id: str) -> DataFrame:
     """(left_id, reached): how many distinct right rows share any spelling with each left one.
 
     ``keys`` is (left_id, key), each pair once, any number per left one; it is read several
-    times, so it should be stored. A right row has a few spellings, in an order, and is counted
-    at the first of them that the left one has. Right rows that are alike in the spellings
+    times, so it should be stored. ``spelled`` is (right_id, at, key): a right row's few
+    spellings, in an order, those alone that any left one has. A right row is counted at the
+    first of them that the left one has. Right rows that are alike in the spellings
     any left one has are one row with their number, and so are those that are alike up to a
     spelling: left keys meet these, never right rows.
     """
-    wanted = keys.select("key").distinct()
-    spelled = right.select(right_id, F.posexplode(right_keys).alias("at", "key")).join(wanted, "key", "left_semi")
     alike = spelled.groupBy(right_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "key"))), lambda s: s["key"]).alias("own")).groupBy("own").agg(F.count("*").alias("n"))
     steps = alike.select("own", "n", F.posexplode("own").alias("at", "key")).select("key", F.when(F.col("at") > 0, F.slice("own", F.lit(1), F.col("at"))).otherwise(F.array().cast("array<string>")).alias("before"), "n")
     met = keys.join(dealt(steps.groupBy("key", "before").agg(F.sum("n").alias("n")), "key"), "key")

@@ -136,6 +136,23 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Below this size a scan in few tasks is left as it is.
+SPREAD_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that fewer tasks read than there are cores, dealt to all of them.
+
+    For work per row that is heavy beside reading it: a small table in one file would do all of
+    it in one task. Tables of as many parts as cores are left alone, so nothing large is shuffled.
+    """
+    plan = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan.optimizedPlan().stats().sizeInBytes() < SPREAD_BYTES or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def numbered(df: DataFrame, order: list, name: str = "position") -> DataFrame:
     """1-based position of every row in a total order, without one big task.
 
