@@ -7,9 +7,13 @@ the table of documents, whatever these are beside doc_id, text, lang, source and
    language can't be learned, and texts without a letter go.
 2. near_duplicates: one document of each group of near copies stays.
 3. pii: personal data is replaced by its kind in brackets, and n_chars is counted again.
-4. mixing: a document stays as often as the schedule takes its first word, 0 to 3 times.
-   Rows sharing id, source and size are taken equally often.
+4. mixing: a document stays as often as the schedule takes its first word, 0 to 3 times, and the
+   rows are written in the order of the slots. Rows sharing id, source and size are taken alike.
 5. tokens: ids and decoded text of each document, as digests.
+
+Rows without an id go through all stages: they are no near copies of anything and are mixed
+like others. Repeated rows count as near copies, so one stays. Empty tables pass as empty
+tables. Whole texts are worked on, however long; one text must fit a task's memory.
 """
 
 from __future__ import annotations
@@ -44,11 +48,12 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    times = mixing.mix(docs).groupBy("doc_id", "source", "size").agg(F.max("starts").alias("times")).where("times > 0")
-    times = times.select(F.col("doc_id").alias("id"), F.col("source").alias("from"), F.col("size").alias("words"), "times")
+    taken = mixing.copies(docs).select(F.col("id").alias("_id"), F.col("source").alias("_from"), F.col("size").alias("_words"), F.col("slot").alias("_slot"), F.col("share").alias("_share"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), mixing.word_count(docs["text"]).alias("size"))
-    taken = rows.join(times, F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").eqNullSafe(F.col("from")) & (F.col("size") == F.col("words")))
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    mixed = rows.join(taken, F.col("row.doc_id").eqNullSafe(F.col("_id")) & F.col("row.source").eqNullSafe(F.col("_from")) & (F.col("size") == F.col("_words")))
+    # Parts of equal stretches of the schedule, in its order.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartitionById(parts, (F.col("_share") * parts).cast("int")).sortWithinPartitions("_slot", "row.doc_id").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

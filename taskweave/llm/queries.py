@@ -19,7 +19,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "op9_mixing",
-    """with d as (select doc_id, source, md5('mix:' || coalesce(doc_id::varchar, '')) as key, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
+    # Levels of the schedule: two, the second for sources whose target spans less than 64 slots of the first.
+    """with d as (select doc_id, source, md5('mix:' || coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, '')))) as key, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
 by_source as (select source, sum(size)::bigint as source_size from d group by source),
 placed as (select *, row_number() over (order by source asc nulls last) - 1 as place from by_source),
 weighted as (select *, [5, 2, 1][(place % 3 + 1)::int]::bigint as weight, source_size * 3 as ceiling from placed),
@@ -27,21 +28,29 @@ open as (select *, sum(source_size) over () - coalesce(sum(ceiling) over (order
   sum(weight) over () - coalesce(sum(weight) over (order by ceiling / weight, place rows between unbounded preceding and 1 preceding), 0) as still from weighted),
 first_open as (select rest as level_rest, still as level_still from open where ceiling * still > rest * weight order by ceiling / weight, place limit 1),
 targeted as (select source, place, source_size, case when ceiling * still <= rest * weight then ceiling::double else level_rest::double * weight / level_still end as target from open left join first_open on true),
-total as (select sum(source_size)::bigint as words from by_source),
-edges as (select place, ceil(sum(target) over (order by place rows unbounded preceding) * 65536 / sum(target) over () - 1e-6)::bigint as upper from targeted),
-ranges as (select place, upper, coalesce(lag(upper) over (order by place), 0) as lower from edges),
-slots as (select place, row_number() over (partition by place order by slot) - 1 as rank from (select range as slot, (range * 40503) % 65536 as point from range(65536)) join ranges on point >= lower and point < upper),
-lines as (select d.*, place, source_size, target, coalesce(sum(size) over (partition by place order by key, d.doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
-  from d join targeted t on d.source is not distinct from t.source),
-rounds as (select *, start + source_size * round as line from lines, (select unnest([0, 1, 2]) as round) where size > 0),
-pieces as (select *, unnest(range(((line + 1) * 65536 - 1) // words, ((line + size) * 65536 - 1) // words + 1)) as rank from rounds, total),
-taken as (select place, start, doc_id, size, sum(least(line + size, ((rank + 1) * words) // 65536) - greatest(line, (rank * words) // 65536))::bigint as taken
-  from pieces join slots using (place, rank) group by 1, 2, 3, 4)
-select lines.doc_id, lines.size, source_size, target, coalesce(taken, 0)::bigint as taken from lines left join taken t
-  on lines.place = t.place and lines.start = t.start and lines.doc_id is not distinct from t.doc_id and lines.size = t.size""",
+l0 as (select count(*) as n, sum(target) as whole, (select sum(source_size) from by_source)::bigint as words, greatest(65536, pow(2, ceil(log2(128 * count(*)))))::bigint as slots from targeted where target > 0),
+t0 as (select t.*, slots, words, whole, target * slots < 64 * whole as small from targeted t, l0 where target > 0),
+e0 as (select place, slots, words, least(ceil(sum(target) over (order by place) * slots / whole - 1e-6)::bigint, slots - (select count(*) > 0 from t0 where small)::int) as upper from t0 where not small),
+r0 as (select place, slots, words, coalesce(lag(upper) over (order by place), 0) as lower, upper from e0 union all select -1, any_value(slots), any_value(words), (select max(upper) from e0), any_value(slots) from t0 where small having count(*) > 0),
+l1 as (select sum(target) as whole, greatest(1, round(sum(target)))::bigint as words, greatest(65536, pow(2, ceil(log2(128 * count(*)))))::bigint as slots from t0 where small),
+e1 as (select place, l1.slots, l1.words, ceil(sum(target) over (order by place) * l1.slots / l1.whole - 1e-6)::bigint as upper from t0, l1 where small),
+r1 as (select place, slots, words, coalesce(lag(upper) over (order by place), 0) as lower, upper from e1),
+reach as (select place, slots, words, (upper - lower) * words // slots as reach from (from r0 where place >= 0 union all from r1)),
+steps as (select slots, (floor(slots * (sqrt(5) - 1) / 4) * 2 + 1)::bigint as step from (select slots from l0 union select slots from l1 where slots is not null)),
+points as (select slots, unnest(range(slots)) as slot, step from steps),
+s0 as (select r0.place, row_number() over (partition by r0.place order by slot) - 1 as rank, slot from points join r0 on points.slots = r0.slots and (slot * step) % points.slots >= lower and (slot * step) % points.slots < upper),
+s1 as (select r1.place, r1.slots, row_number() over (partition by r1.place order by slot) - 1 as rank, slot from points join r1 on points.slots = r1.slots and (slot * step) % points.slots >= lower and (slot * step) % points.slots < upper),
+schedule as (select place, rank, slot::varchar as path from s0 where place >= 0
+  union all select s1.place, s1.rank, s0.slot || '.' || s1.slot from s1 join s0 on s0.place = -1 and s0.rank = s1.slot * (select count(*) from s0 where place = -1) // s1.slots),
+lines as (select d.*, t.place, source_size, target, slots, words, coalesce(reach, 0) as reach, coalesce(sum(size) over (partition by t.place order by key, d.doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from d join targeted t on d.source is not distinct from t.source left join reach using (place))
+select lines.doc_id, lines.size, source_size, target, (greatest(least(start + size, reach) - start, 0) + greatest(least(start + source_size + size, reach) - start - source_size, 0) + greatest(least(start + 2 * source_size + size, reach) - start - 2 * source_size, 0))::bigint as taken, path as first_slot
+from lines left join schedule on schedule.place = lines.place and size > 0 and start < reach and schedule.rank = ((start + 1) * slots - 1) // words""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    path = F.array_join(F.transform("first_slot", lambda s: s.cast("string")), ".")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", path.alias("first_slot"))
 
 
 @query(

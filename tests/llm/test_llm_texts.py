@@ -375,19 +375,59 @@ def test_a_small_source_beside_a_hot_one(spark):
         assert abs(x["taken"] - x["target"]) <= 0.02 * x["target"] + 1
 
 
-def test_slots_follow_the_smallest_target(spark):
+def test_slots_of_sources_and_their_ranks(spark):
+    """Every place's slots by rank, against walking through all points."""
     assert mixing.golden(1 << 16) == 40503
-    assert mixing.slots_for(1000, 10.0) == mixing.slots_for(10**6, 10**5) == 1 << 16
-    assert mixing.slots_for(5 * 10**9, 64.0) == 1 << 33
-    targeted = spark.createDataFrame([(0, 5.0), (1, 0.0), (2, 2.5), (3, 0.5)], "place long, target double")
-    for slots in (1 << 16, 1 << 17):
-        step, ranks = mixing.golden(slots), {}
-        upto = [0, slots * 5 // 8, slots * 5 // 8, slots * 15 // 16, slots]
-        for t in range(slots):
-            place = next(i for i in range(4) if t * step % slots < upto[i + 1])
-            ranks.setdefault(place, []).append(t)
-        got = {(x[0], x[1]): x[2] for x in mixing.schedule(targeted, slots).collect()}
-        assert got == {(p, r): t for p, ts in ranks.items() for r, t in enumerate(ts)}
+    assert [mixing.slots_for(n) for n in (1, 512, 513)] == [1 << 16, 1 << 16, 1 << 17]
+    targeted = spark.createDataFrame([(0, 5.0), (1, 0.0), (2, 2.5), (3, 0.5), (4, 0.001), (5, 0.003)], "place long, target double")
+    (edges, slots, words), (inner, inner_slots, inner_words) = mixing.levels(targeted, 8)
+    assert (slots, words, inner_slots, inner_words) == (1 << 16, 8, 1 << 16, 1)
+    ranges = {r["place"]: range(r["lower"], r["upper"]) for r in edges.collect()}
+    assert sorted(ranges) == [-1, 0, 2, 3] and sum(map(len, ranges.values())) == slots and len(ranges[-1]) >= 1
+    small = {r["place"]: range(r["lower"], r["upper"]) for r in inner.collect()}
+    walked = lambda ranges: {p: [t for t in range(1 << 16) if t * 40503 % (1 << 16) in own] for p, own in ranges.items()}
+    outer, within = walked(ranges), walked(small)
+    want = {(p, r): [t] for p, ts in outer.items() if p >= 0 for r, t in enumerate(ts)}
+    want |= {(p, r): [outer[-1][t * len(outer[-1]) // (1 << 16)], t] for p, ts in within.items() for r, t in enumerate(ts)}
+    assert {(x["place"], x["rank"]): x["path"] for x in mixing.schedule([(edges, slots, words), (inner, inner_slots, inner_words)]).collect()} == want
+
+
+def test_levels_do_not_grow_with_the_total(spark):
+    """A source of three words beside one of a trillion: a second level, not more slots."""
+    targeted = spark.createDataFrame([(0, 1e12), (1, 9.0), (2, 3e11)], "place long, target double")
+    found = mixing.levels(targeted, 1_300_000_000_009)
+    assert [(slots, words) for _, slots, words in found] == [(1 << 16, 1_300_000_000_009), (1 << 16, 9)]
+    assert {r["place"]: r["upper"] - r["lower"] for r in found[1][0].collect()} == {1: 1 << 16}
+
+
+def off_target(spark, df):
+    """How far any stretch from the start of the mix is from the targets' proportion, as a share of all words."""
+    parts = mixing.copies(df).orderBy("slot").collect()
+    target = {r["source"]: r["target"] for r in mixing.mix(df).select("source", "target").distinct().collect()}
+    whole, so_far, seen, worst = sum(target.values()), dict.fromkeys(target, 0), 0, 0.0
+    for r in parts:
+        so_far[r["source"]] += r["size"]
+        seen += r["size"]
+        worst = max(worst, max(abs(so_far[s] / whole - seen / whole * target[s] / whole) for s in target))
+    return worst
+
+
+def test_the_schedule_decides_the_order(spark, monkeypatch):
+    """Any stretch of the mix is close to the targets; with blocks in a row it is far from them."""
+    rows = [(i, "w " * (5 + i % 7), "abcde"[i * i % 11 % 5]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert off_target(spark, df) < 0.01
+    monkeypatch.setattr(mixing, "golden", lambda slots: 1)
+    assert off_target(spark, df) > 0.2
+
+
+def test_rows_without_ids_are_not_in_one_bucket(spark):
+    """A million rows without an id: alike ones are one row, the others lie in many buckets."""
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), (F.col("id") % 5000).cast("string")).alias("text"), F.lit("a").alias("source"))
+    plan = mixing.Plan(df, "doc_id", "text", "source", mixing.WEIGHTS, mixing.MOST, "mix")
+    assert plan.rows.count() == 5000 and plan.rows.agg(F.sum("n")).first()[0] == 20_000
+    got = mixing.mix(df)
+    assert got.count() == 20_000 and got.agg(F.sum("taken")).first()[0] == 40_000
 
 
 def test_mixing_without_words(spark):
