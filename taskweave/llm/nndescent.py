@@ -33,7 +33,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taskweave.llm.vectors import matrix, padded, valid
+from taskweave.llm.candidates import dealt
+from taskweave.llm.vectors import matrix, padded, query_groups, valid
 from taskweave.session import stored
 
 NEIGHBOURS = 20
@@ -42,7 +43,8 @@ OFFERS = 5
 ROUNDS = 6
 START_GROUP = 512
 SHARD = 50_000
-GROUP = 256
+# Queries that one copy of a shard is searched for, about; they go through it one block after the other.
+GROUP = 65_536
 ENTRIES = 64
 EVERY = 16
 WIDTH = 96
@@ -141,7 +143,8 @@ def offers(graph: DataFrame, nodes: DataFrame, reverse: int) -> DataFrame:
     """Neighbours of one node, offered to each other where that improves a list."""
     last = graph.groupBy("u").agg(F.max("last").alias("last"))
     known = nodes.select("node", "q").join(last, nodes["node"] == last["u"], "left").select(F.col("node").alias("y"), "q", F.coalesce("last", F.lit(-2.0).cast("float")).alias("last"))
-    met = lists(graph, reverse).join(known, "y").groupBy("x").agg(F.collect_list(F.struct("y", "q", "last")).alias("met")).select("met")
+    # A node that very many list is dealt anew, so that its part of the join can be split.
+    met = lists(graph, reverse).join(dealt(known, "y"), "y").groupBy("x").agg(F.collect_list(F.struct("y", "q", "last")).alias("met")).select("met")
 
     def run(batches):
         for batch in batches:
@@ -283,7 +286,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col:
     graph = descend(nodes.select("node", "q", "shard"), -(-count // shards), neighbours, reverse, rounds)
     near = lists(graph, reverse).groupBy("x").agg(F.collect_list("y").alias("near"))
     asked = valid(queries, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
-    groups = max(1, -(-asked.count() // GROUP))
+    groups = query_groups(asked.count(), shards, GROUP)
     left = nodes.join(near, nodes["node"] == near["x"], "left").select("node", "members", "vec", "near", "shard").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = asked.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 

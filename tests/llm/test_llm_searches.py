@@ -158,6 +158,23 @@ def test_tight_groups_in_several_shards(spark, monkeypatch):
     assert hits / (5 * len(got)) >= 0.9
 
 
+def test_a_hub_among_the_nodes(spark):
+    """A vector that lies near everything is in nearly all lists, and its join is dealt anew."""
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + 0.6 * rng.normal(size=16)).tolist()) for i in range(1500)] + [(1500, centre.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(nndescent.nearest(df, df.where("vec_id % 50 = 0")))
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hits = 0
+    for q, pairs in got.items():
+        scores = unit @ unit[q]
+        scores[q] = -2
+        hits += len({i for i, _ in pairs} & set(np.argsort(-scores)[:5].tolist()))
+    assert hits >= 0.9 * 5 * len(got)
+
+
 def test_pieces_of_a_graph():
     near = np.array([[3, -1], [-1, -1], [4, -1], [5, -1], [-1, -1], [-1, -1], [5, 3]])
     assert nndescent.pieces(near).tolist() == [0, 1, 2, 0, 2, 0, 0]
