@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from taskweave.functions.names import manifest_task_key, plain_key, recorded, stem
 from taskweave.functions.packages import connector_type
 from taskweave.operators.lookups import spellings
+from taskweave.operators.postings import Postings
 
 
 
@@ -249,11 +250,9 @@ def filter_people(rows: DataFrame, payment: str | None = None, search: str | Non
     return rows.where(all_of(tests)).orderBy(F.col("pending_amount").desc(), F.col("accepted_tasks").desc(), "email")
 
 
-def find_folders(folders: DataFrame, term: str, limit: int | None = None) -> DataFrame:
+def find_folders(folders: Postings, term: str, limit: int | None = None) -> DataFrame:
     """Folder paths that contain a term of three characters or more; the first ``limit`` if a page asks for so many."""
-    needle = term.strip().lower()
-    hit = F.lower("path").contains(needle) if len(needle) >= 3 else F.lit(False)
-    found = folders.where(hit).orderBy("path")
+    found = folders.search(term).orderBy("path")
     return found if limit is None else found.limit(limit)
 
 

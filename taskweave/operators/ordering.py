@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.functions.names import batch_order, plain_key
+from taskweave.session import output_path, stored
 
 
 def sort_rows(rows: DataFrame, key: str, descending: bool = False, ties: tuple[str, ...] = ("task",)) -> DataFrame:
@@ -38,12 +39,43 @@ def not_found_listing(traced: DataFrame) -> DataFrame:
     """Deliveries no folder holds: gone, then unnamed, then elsewhere; by batch and task."""
     rank = F.when(F.col("reason") == "gone", 0).when(F.col("reason") == "unnamed", 1).otherwise(2)
     series, number, text = batch_order(F.col("batch"))
-    return traced.where("not found").orderBy(rank, series, number, text, "task", "pos")
+    # Stored first: the range sampler would run the joins behind the rows a second time.
+    return stored(traced.where("not found"), "not-found").orderBy(rank, series, number, text, "task", "pos")
+
+
+class StoredOrder:
+    """Rows written once in a total order, in parts whose sizes are known, for pages anywhere in it."""
+
+    def __init__(self, rows: DataFrame, order: list) -> None:
+        self.spark, self.columns = rows.sparkSession, rows.columns
+        self.path = output_path(self.spark, "order")
+        # What the sampler and the sort read is there already, so the rows are made once.
+        laid = stored(rows, "unordered").repartitionByRange(*order).sortWithinPartitions(*order)
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        laid.withColumns({"_part": F.spark_partition_id(), "_row": row}).write.partitionBy("_part").parquet(self.path)
+        counted = self._rows().groupBy("_part").agg(F.count("*").alias("n")).collect()  # a row per part
+        self.sizes = sorted((r["_part"], r["n"]) for r in counted)
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Rows number * size and on, ``size`` at most: only the parts that hold them are read."""
+        first, last, begin, wanted = number * size, (number + 1) * size, 0, []
+        for part, n in self.sizes:
+            lo, hi = max(first - begin, 0), min(last - begin, n)
+            if lo < hi:
+                wanted.append((part, lo, hi))
+            begin += n
+        hit = F.lit(False)
+        for part, lo, hi in wanted:
+            hit = hit | ((F.col("_part") == part) & (F.col("_row") >= lo) & (F.col("_row") < hi))
+        return self._rows().where(F.col("_part").isin([p for p, _, _ in wanted]) if wanted else hit).where(hit).orderBy("_part", "_row").select(self.columns)
 
 
 def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
-    """One page of a total order."""
-    return rows.orderBy(*order).offset(number * size).limit(size)
+    """One page of a total order; for several pages keep the :class:`StoredOrder`."""
+    return StoredOrder(rows, order).page(number, size)
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from taskweave.operators import owners as W
 from taskweave.operators import segments as B
 from taskweave.operators import series as D
 from taskweave.operators import state as ST
+from taskweave.operators.postings import Postings
 from taskweave.plans import fragments as X
 from taskweave.plans.delivered import _TRACE, traced
 from taskweave.plans.packages import CTYPE
@@ -174,7 +175,7 @@ def _(t):
 @query("f12_find_folders", "select distinct regexp_replace(name, '/[^/]*$', '') as path from r2_objects where regexp_replace(name, '/[^/]*$', '') ilike '%task-1%' order by 1")
 def _(t):
     paths = t.r2_objects.select(F.regexp_replace("name", "/[^/]*$", "").alias("path")).distinct()
-    return S.find_folders(paths, "TASK-1")
+    return S.find_folders(Postings(paths, c("path")), "TASK-1")
 
 
 # --------------------------------------------------------------------- figures

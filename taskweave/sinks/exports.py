@@ -6,11 +6,15 @@ write. Each part file is a complete CSV with its own header.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskweave.functions.names import NOT_RECORDED, recorded
 from taskweave.operators.series import manifest_position
+from taskweave.session import create_new, stored
+from taskweave.sinks.publish import claim, latest
 
 
 def guarded(c: Column) -> Column:
@@ -120,6 +124,53 @@ def folder_sizes(index: DataFrame) -> DataFrame:
     )
 
 
-def write_shards(index: DataFrame, path: str) -> None:
-    """One directory per shard. Rebalancing keeps files few and splits a heavy shard."""
-    index.hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
+SHARD = "shard bigint, digest bigint, other bigint, n bigint, folder string"
+
+
+def shard_digests(index: DataFrame) -> DataFrame:
+    """(shard, digest, other, n): two digests of a shard's rows, whatever their order."""
+    columns = sorted(index.columns)
+    hashes = [F.bit_xor(F.xxhash64(F.lit(k), *columns)).alias(name) for k, name in ((1, "digest"), (2, "other"))]
+    return index.groupBy("shard").agg(*hashes, F.count("*").alias("n"))
+
+
+def sync_shards(index: DataFrame, root: str) -> list[int]:
+    """Publish a folder index, writing only the shards that changed; their numbers.
+
+    A version is a list of shards, each with its digest and the folder that holds it. A shard
+    whose digest is that of the version before is carried on by its folder; the others are
+    written below a new one. The list becomes readable when its pointer is there. A list is a
+    row per shard.
+    """
+    spark = index.sparkSession
+    held = stored(index, "folder-index")
+    before = {r["shard"]: r for r in _shards(spark, root)}
+    now = shard_digests(held).collect()
+    same = {r["shard"] for r in now if r["shard"] in before and tuple(before[r["shard"]])[:4] == tuple(r)}
+    changed = sorted(r["shard"] for r in now if r["shard"] not in same)
+    name = uuid.uuid4().hex
+    if changed:
+        wanted = spark.createDataFrame([(s,) for s in changed], "shard bigint")
+        # Rebalancing keeps files few and splits a heavy shard.
+        held.join(F.broadcast(wanted), "shard").hint("rebalance", "shard").write.partitionBy("shard").parquet(f"{root}/shards/{name}")
+    rows = [(*r, before[r["shard"]]["folder"] if r["shard"] in same else f"{name}/shard={r['shard']}") for r in now]
+    spark.createDataFrame(rows, SHARD).coalesce(1).write.parquet(f"{root}/lists/{name}")
+    create_new(spark, f"{root}/pointers/{claim(spark, root)}-{name}")
+    return changed
+
+
+def _shards(spark: SparkSession, root: str) -> list:
+    found = latest(spark, root)
+    return spark.read.schema(SHARD).parquet(f"{root}/lists/{found[1]}").collect() if found else []
+
+
+def read_shards(spark: SparkSession, root: str, shard: int | None = None) -> DataFrame:
+    """The latest folder index, or one shard of it."""
+    parts = [r for r in _shards(spark, root) if shard in (None, r["shard"])]
+    columns = "folder string, kind string, name string, bytes bigint"
+    if not parts:
+        return spark.createDataFrame([], f"shard bigint, {columns}")
+    rows = spark.read.schema(columns).parquet(*[f"{root}/shards/{r['folder']}" for r in parts])
+    # The folder's name says which shard it is.
+    shard_in_path = F.regexp_extract(F.col("_metadata.file_path"), r"/shard=(\d+)/[^/]*$", 1).cast("bigint")
+    return rows.select(shard_in_path.alias("shard"), "folder", "kind", "name", "bytes")

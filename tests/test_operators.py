@@ -12,9 +12,11 @@ from taskweave.operators import figures as G
 from taskweave.operators import filters as S
 from taskweave.operators import lookups as J
 from taskweave.operators import ordering as O
+from taskweave.operators import postings
 from taskweave.operators import quality as Q
 from taskweave.plans.views import Tables
 from taskweave.session import numbered, output_path
+from taskweave.sinks import exports as E
 from taskweave.sinks import publish as P
 
 SMALL = "/root/testdata/sf0.001"
@@ -341,3 +343,80 @@ def test_one_person_with_a_hot_key(spark):
     people = spark.range(30000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("key"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("p"), F.col("id") % 2)).otherwise("only").alias("person"))
     got = J.one_person(keyed, "id", people).groupBy("named", "person").agg(F.count("*"))
     assert rows(got) == [("one", "only", 10000), ("several", None, 20000)]
+
+
+def rows_read(df):
+    """Rows that the scans of a query gave."""
+    df.collect()
+
+    def scans(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return scans(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return scans(plan.plan())
+        if kind == "FileSourceScanExec":
+            return plan.metrics().get("numOutputRows").get().value()
+        return sum(scans(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return scans(df._jdf.queryExecution().executedPlan())
+
+
+def test_pages_far_in_read_one_part_or_two(spark):
+    rows_in = spark.range(40_000).select(F.xxhash64("id").alias("key"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        order = O.StoredOrder(rows_in.repartition(8), ["key", "id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [tuple(r) for r in rows_in.orderBy("key", "id").collect()]
+    for number in (0, 1, 77, 1999, 2000):
+        assert [tuple(r) for r in order.page(number, 20).collect()] == want[20 * number : 20 * number + 20]
+    parts = [n for _, n in order.sizes]
+    assert len(parts) > 1
+    cut = parts[0] // 20
+    assert rows_read(order.page(cut, 20).select("id")) <= 2 * max(parts)
+    assert O.page(rows_in, ["key", "id"], 3, 7).count() == 7
+
+
+def test_a_listing_runs_its_joins_once(spark):
+    """Sorting what is not found does not make it a second time for the sampled bounds."""
+    times = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: times.add(1) or x, "long")
+    traced = spark.range(500).select(seen("id").alias("pos"), F.lit(False).alias("found"), F.lit("gone").alias("reason"), F.lit("Batch 2.1").alias("batch"), F.lit("t").alias("task"))
+    assert len(O.not_found_listing(traced).collect()) == 500
+    assert times.value == 500
+
+
+def test_trigram_search_equals_contains(spark, monkeypatch):
+    """Terms in the middle, at the ends of texts and pages, of other case; and none at all."""
+    monkeypatch.setattr(postings, "PAGE", 256)
+    rows_in = spark.range(30_000).select("id", F.concat(F.lit("Folder/"), F.hex(F.xxhash64("id")), F.when(F.col("id") % 256 == 255, "/Last-ÉÉ").otherwise("/x")).alias("path")).coalesce(2)
+    found = postings.Postings(rows_in, F.col("path"))
+    for term in ("LAST-é", "folder/00", "abcd", "/x", "x", "no such", "0f3/x", "folder"):
+        needle = term.lower()
+        want = rows_in.where(F.lower("path").contains(needle)) if len(needle) >= 3 else rows_in.limit(0)
+        assert rows(found.search(term)) == rows(want), term
+    one = rows_in.where("id = 12345").first()["path"].split("/")[1].lower()
+    assert 256 <= rows_read(found.candidates(one)) < 3000
+    monkeypatch.setattr(postings, "NAMED", 3)
+    assert rows(found.search("abc")) == rows(rows_in.where(F.lower("path").contains("abc")))
+
+
+def test_only_changed_shards_are_written(spark):
+    objects = spark.range(3000).select(F.concat(F.lit("a/"), F.col("id") % 40, F.lit("/"), F.col("id") % 7, F.lit("/f"), "id").alias("name"), (F.col("id") * 10).alias("size_bytes"))
+    root = output_path(spark, "shards")
+    assert E.sync_shards(E.folder_index(objects, 64), root) == sorted(r["shard"] for r in E.folder_index(objects, 64).select("shard").distinct().collect())
+    assert E.sync_shards(E.folder_index(objects, 64), root) == []
+    moved = objects.withColumn("size_bytes", F.when(F.col("name") == "a/3/6/f1203", 1).otherwise(F.col("size_bytes")))
+    assert moved.exceptAll(objects).count() == 1
+    changed = E.sync_shards(E.folder_index(moved, 64), root)
+    # Bytes are those of files, so the file's own folder changes and no other.
+    assert len(changed) == 1
+    want = E.folder_index(moved, 64)
+    got = E.read_shards(spark, root)
+    assert rows(got.select(*want.columns)) == rows(want)
+    assert rows(E.read_shards(spark, root, changed[0]).select(*want.columns)) == rows(want.where(F.col("shard") == changed[0]))
+    gone = objects.where("name not like 'a/9/%'")
+    E.sync_shards(E.folder_index(gone, 64), root)
+    assert rows(E.read_shards(spark, root).select(*want.columns)) == rows(E.folder_index(gone, 64))
