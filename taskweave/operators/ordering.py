@@ -70,7 +70,7 @@ class StoredOrder:
         hit = F.lit(False)
         for part, lo, hi in wanted:
             hit = hit | ((F.col("_part") == part) & (F.col("_row") >= lo) & (F.col("_row") < hi))
-        return self._rows().where(F.col("_part").isin([p for p, _, _ in wanted]) if wanted else hit).where(hit).orderBy("_part", "_row").select(self.columns)
+        return self._rows().where(F.col("_part").isin([p for p, _, _ in wanted]) if wanted else hit).where(hit).orderBy("_part", "_row").limit(size).select(self.columns)
 
 
 def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
