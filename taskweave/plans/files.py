@@ -23,6 +23,7 @@ from taskweave.sources import listings as L
 from taskweave.sources import manifests as M
 from taskweave.sources import records as R
 from taskweave.sources import tables as T
+from taskweave.sources.refresh import refresh_verdicts
 from taskweave.streaming import jobs as J
 
 c = F.col
@@ -63,15 +64,30 @@ def verdict_files(t):
 _DOCS = "d as (select *, event_id % 3 as n from events where event_id % 101 <> 0)"
 
 
-@query(
-    "s01_read_verdicts",
-    f"""with {_DOCS}, x as (select *, unnest(case when n = 0 then [0] else range(1, n + 1) end) as i from d)
+_VERDICTS = f"""with {_DOCS}, x as (select *, unnest(case when n = 0 then [0] else range(1, n + 1) end) as i from d)
 select '_v/' || cast(event_id as string) || '.json' as source, cast(event_id as string) as submission, cast(greatest(i - 1, 0) as int) as task_pos, event_type as state, event_id % 5 = 0 as decided_inferred, 'u' || cast(user_id as string) || '@x.com' as owner,
   case when n > 0 then 'task-' || cast(event_id as string) || '-' || cast(i as string) end as task_name, case when n = 0 then '' when i = 1 then 'accepted' else 'rejected' end as decision, n > 0 as per_task_decision,
-  case when n = 0 then '' else 'HARBOR-CHECK-3' end as codes, case when i = 1 then cast(7 as bigint) end as blocking_findings, event_id % 9 = 0 as glm52, cast(ts as date) as updated_on from x""",
-)
+  case when n = 0 then '' else 'HARBOR-CHECK-3' end as codes, case when i = 1 then cast(7 as bigint) end as blocking_findings, event_id % 9 = 0 as glm52, cast(ts as date) as updated_on from x"""
+
+
+@query("s01_read_verdicts", _VERDICTS)
 def _(t):
-    rows = R.verdict_rows(R.read_envelopes(t.spark, verdict_files(t)))
+    return verdict_columns(R.verdict_rows(R.read_envelopes(t.spark, verdict_files(t))))
+
+
+@query("s01_refresh_verdicts", _VERDICTS)
+def _(t):
+    """Three runs: the first purchases and views, then everything with some of the documents changed, then nothing new."""
+    docs = R.read_envelopes(t.spark, verdict_files(t))
+    root = output_path(t.spark, "verdict-rows")
+    early = F.col("body").contains('"purchase"') | F.col("body").contains('"view"')
+    before = docs.where(early).withColumn("updated", F.when(F.length("name") % 2 == 0, F.lit("2024-01-01")).otherwise(c("updated")))
+    for listed in (before, docs, docs):
+        refresh_verdicts(listed, lambda changed, d=listed: d.join(changed.select("name"), "name", "left_semi"), root)
+    return verdict_columns(P.read_published(t.spark, root))
+
+
+def verdict_columns(rows):
     return rows.select(
         "source", "submission", "task_pos", "state", "decided_inferred", "owner", "task_name", "decision", "per_task_decision",
         F.array_join("finding_codes", "|").alias("codes"), "blocking_findings", c("gate.glm52").alias("glm52"), F.to_date("updated_at").alias("updated_on"),

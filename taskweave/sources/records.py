@@ -28,8 +28,8 @@ OWNER_DOC = """owner_email string, task_name string, family_id string, records a
 ENVELOPE = "name string, updated string, body string"
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(name, updated, body) of documents stored one per file."""
+def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(name, updated, body) of documents stored one per file, below a folder or listed."""
     files = spark.read.text(path, wholetext=True)
     return files.select(
         F.col("_metadata.file_path").alias("name"), F.col("_metadata.file_modification_time").cast("string").alias("updated"), F.col("value").alias("body")

@@ -1,5 +1,7 @@
 """Operators on small fixtures: brute force, order independence, skew, sinks."""
 
+import json
+import os
 import random
 from concurrent.futures import ThreadPoolExecutor
 
@@ -18,6 +20,7 @@ from taskweave.plans.views import Tables
 from taskweave.session import numbered, output_path
 from taskweave.sinks import exports as E
 from taskweave.sinks import publish as P
+from taskweave.sources import refresh
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -420,3 +423,29 @@ def test_only_changed_shards_are_written(spark):
     gone = objects.where("name not like 'a/9/%'")
     E.sync_shards(E.folder_index(gone, 64), root)
     assert rows(E.read_shards(spark, root).select(*want.columns)) == rows(E.folder_index(gone, 64))
+
+
+def test_unchanged_documents_are_not_opened(spark, tmp_path):
+    """A second run opens none, a third the changed and new ones; gone ones go, broken ones wait for a change."""
+    folder, root = tmp_path / "docs", output_path(spark, "verdicts-refreshed")
+    folder.mkdir()
+    body = lambda state: json.dumps({"schema": "verdict/v2", "state": state, "tasks": [{"task": "t"}]})
+    for i in range(30):
+        (folder / f"{i}.json").write_text("{broken" if i == 7 else body("accepted"))
+    run = lambda: refresh.refresh_verdicts(refresh.list_documents(spark, str(folder)), refresh.open_files(spark, str(folder)), root)
+    states = lambda: dict(map(tuple, P.read_published(spark, root).select("submission", "state").collect()))
+    assert run() == 30 and states() == {str(i): "accepted" for i in range(30) if i != 7}
+    version = P.latest(spark, root)
+    # Other text under the same time would show if it were opened.
+    stamp = os.stat(folder / "3.json")
+    (folder / "3.json").write_text(body("rejected"))
+    os.utime(folder / "3.json", ns=(stamp.st_atime_ns, stamp.st_mtime_ns))
+    assert run() == 0 and P.latest(spark, root) == version
+    for name, text in (("7", body("queued")), ("30", body("error"))):
+        (folder / f"{name}.json").write_text(text)
+    os.utime(folder / "7.json", (2e9, 2e9))
+    (folder / "5.json").unlink()
+    assert run() == 2
+    assert states() == {str(i): "accepted" for i in range(30) if i != 5} | {"7": "queued", "30": "error"}
+    (folder / "6.json").unlink()
+    assert run() == 0 and "6" not in states()
