@@ -110,11 +110,26 @@ def flag_duplicates(tasks: DataFrame) -> DataFrame:
     )
 
 
+def partition_counts() -> list[Column]:
+    """What the scope's partition is checked on, as aggregates over all tasks; they can be observed on a write."""
+    of = lambda name, cond: F.count_if(F.col("inScope") & cond).alias(name)
+    state = F.col("finalState")
+    return [
+        of("headline", state.isin(*R.HEADLINE_STATES)),
+        of("undecided", state.isin("error", "no QC decision", "queued")),
+        of("in_scope", F.lit(True)),
+        of("undeclared_state", ~state.isin(*R.HEADLINE_STATES, *R.UNDECIDED_STATES)),
+        of("no_state", state.isNull() | (state == "")),
+    ]
+
+
+def partition_failures(counts: dict[str, int]) -> dict[str, int]:
+    """The checks on :func:`partition_counts`, 0 where one holds."""
+    off = counts["headline"] + counts["undecided"] != counts["in_scope"]
+    return {"partition": int(off), "undeclared_state": counts["undeclared_state"], "no_state": counts["no_state"]}
+
+
 def reconciled_partition(tasks: DataFrame) -> DataFrame:
     """Headline plus undecided states against the scope, and whether they agree."""
-    scope = tasks.where("inScope")
-    head = F.count_if(F.col("finalState").isin(*R.HEADLINE_STATES))
-    rest = F.count_if(F.col("finalState").isin("error", "no QC decision", "queued"))
-    return scope.agg(head.alias("headline"), rest.alias("undecided"), F.count("*").alias("in_scope")).withColumn(
-        "reconciles", F.col("headline") + F.col("undecided") == F.col("in_scope")
-    )
+    headline, undecided, in_scope, *_ = partition_counts()
+    return tasks.agg(headline, undecided, in_scope).withColumn("reconciles", F.col("headline") + F.col("undecided") == F.col("in_scope"))

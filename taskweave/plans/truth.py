@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from taskweave.functions import runs as R
@@ -68,12 +68,14 @@ def publish(tasks: DataFrame) -> DataFrame:
 def refresh_truth(runs: DataFrame, objects: DataFrame, root: str, now: str, cut: str, current: str, gate_only: str, eras=R.GATE_ERAS) -> bool:
     """Derive, check and publish; the previous version stays when a check fails.
 
-    The derived tasks are stored once: the duplicate flags, the checks and the
-    published rows all read them.
+    The derived tasks are stored once, and what the checks count is observed while they are
+    written; the duplicate flags and the published rows read them.
     """
     member = S.membership(read_object_listing(objects))
-    tasks = stored(derive_tasks(runs, member, now, cut, current, gate_only, eras), "tasks")
+    seen = Observation("tasks")
+    derived = derive_tasks(runs, member, now, cut, current, gate_only, eras)
+    tasks = stored(derived.observe(seen, *P.partition_counts()), "tasks")
     rows = publish(tasks)
-    partition = P.reconciled_partition(tasks).select(F.lit("partition").alias("check"), F.when(F.col("reconciles"), 0).otherwise(1).cast("bigint").alias("failures"))
     repeated = Q.check_unique(rows, ["id"]).agg(F.lit("one row per identity").alias("check"), F.count("*").alias("failures"))
-    return publish_if_reconciled(rows, Q.check_partition(rows).unionByName(partition).unionByName(repeated), root)
+    failures = runs.sparkSession.createDataFrame(list(P.partition_failures(seen.get).items()), "check string, failures bigint")
+    return publish_if_reconciled(rows, failures.unionByName(repeated), root)

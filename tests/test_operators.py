@@ -313,6 +313,23 @@ def test_refresh_publishes_the_derived_rows(spark):
     assert rows(P.read_published(spark, root).select("id", "state")) == rows(publish(tasks_of(t)).select("id", "state"))
 
 
+def test_counts_observed_on_the_write_stop_a_broken_build(spark, monkeypatch):
+    """The checks come from the write of the tasks: a state that no rule declares is refused."""
+    from taskweave.operators import provenance as V
+    from taskweave.plans import fragments as X
+    from taskweave.plans import truth
+    from taskweave.plans.core import CURRENT, GATE_ONLY
+
+    t = Tables(spark, SMALL)
+    root = output_path(spark, "truth-broken")
+    whole = truth.derive_tasks
+    broken = lambda *args: whole(*args).withColumn("finalState", F.when(F.col("inScope"), F.lit("odd")).otherwise(F.col("finalState")))
+    monkeypatch.setattr(truth, "derive_tasks", broken)
+    assert not truth.refresh_truth(t.r1_runs, t.r2_objects, root, X.NOW, X.CUT, CURRENT, GATE_ONLY, X.ERAS)
+    assert P.latest(spark, root) is None
+    assert V.partition_failures({"headline": 1, "undecided": 1, "in_scope": 3, "undeclared_state": 0, "no_state": 1}) == {"partition": 1, "undeclared_state": 0, "no_state": 1}
+
+
 def test_without_a_listing_earlier_answers_stand(spark):
     manifest = spark.createDataFrame([("a", "u", "f", "h"), ("b", "u", "f", "h")], "name string, source_uri string, folder string, object_hash string")
     previous = spark.createDataFrame([("a", "moved", "2026-09-01")], "name string, state string, checked_on string")
