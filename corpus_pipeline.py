@@ -50,7 +50,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.copies(docs).select(F.col("id").alias("_id"), F.col("source").alias("_from"), F.col("size").alias("_words"), F.col("slot").alias("_slot"), F.col("share").alias("_share"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), mixing.word_count(docs["text"]).alias("size"))
-    mixed = rows.join(taken, F.col("row.doc_id").eqNullSafe(F.col("_id")) & F.col("row.source").eqNullSafe(F.col("_from")) & (F.col("size") == F.col("_words")))
+    # Texts are not sorted for the join: the ids that the mix takes are hashed, a part at a time.
+    mixed = rows.join(taken.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("_id")) & F.col("row.source").eqNullSafe(F.col("_from")) & (F.col("size") == F.col("_words")))
     # Parts of equal stretches of the schedule, in its order.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return mixed.repartitionById(parts, (F.col("_share") * parts).cast("int")).sortWithinPartitions("_slot", "row.doc_id").select("row.*")

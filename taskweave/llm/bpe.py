@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from taskweave.llm.arrays import BASE, U, chunks, mix, parts, prefix_sums, ragged, span_hashes, texts_of
 
 # Pre-tokens in each of two generations, and pairs, kept per task.
-CACHE = 150_000
-PAIRS = 400_000
+CACHE = 80_000
+PAIRS = 200_000
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 
 
