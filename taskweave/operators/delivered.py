@@ -367,20 +367,24 @@ def cohort_fold(folders: DataFrame, scan: DataFrame, truth: DataFrame, manifest:
     reaches the folder by any spelling of any of them, and the last row (``pos``) answers for
     the package. ``manifest`` is (pos, folder, batch, connector), the last row of a folder
     counts; ``reads`` is (folder, connector, basis), one row per folder. The package answers
-    first for the connector, then the manifest, then the config text.
+    first for the connector, then the manifest, then the config text. Identifiers may repeat:
+    rows that differ in what is said of them are verdicts of their own, equal ones are one.
     """
     keys = stored(folder_keys(folders, scan), "folder-keys")
-    named = truth.select("id", "state", "decided", "owner", "runs", F.posexplode(verdict_spellings()).alias("at", "key"))
+    verdict = F.struct("id", "state", "decided", "owner", "runs")
+    named = truth.select(verdict.alias("verdict"), F.posexplode(verdict_spellings()).alias("at", "key"))
     spelled = stored(named.join(keys.select("key").distinct(), "key", "left_semi"), "verdict-keys")
-    best = F.struct(F.coalesce("decided", F.lit("0001-01-01").cast("date")), "runs", "id")
+    best = F.struct(F.coalesce("verdict.decided", F.lit("0001-01-01").cast("date")), "verdict.runs", "verdict.id")
     # States are a short fixed list.
-    per_key = spelled.groupBy("key").agg(F.max(F.struct(best.alias("rank"), "state", "decided", "owner")).alias("v"), F.collect_set("state").alias("states"))
+    per_key = spelled.groupBy("key").agg(
+        F.max(F.struct(best.alias("rank"), "verdict.state", "verdict.decided", "verdict.owner")).alias("v"), F.collect_set("verdict.state").alias("states")
+    )
     seen = (
         keys.join(dealt(per_key, "key"), "key")
         .groupBy("fk")
         .agg(F.max("v").alias("v"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("states")))).alias("states"))
     )
-    reached = count_reached(keys, "fk", spelled, "id")
+    reached = count_reached(keys, "fk", spelled, "verdict")
     package = F.struct("is_connector", F.array_sort(F.coalesce("connector_services", F.array().cast("array<string>"))).alias("services"))
     scanned = scan.where("folder is not null").groupBy(name_key(F.col("folder")).alias("fk")).agg(F.max_by(package, "pos").alias("p"))
     sent = manifest.where("folder is not null").groupBy(name_key(F.col("folder")).alias("fk")).agg(F.max_by(F.struct("batch", "connector"), "pos").alias("m"))

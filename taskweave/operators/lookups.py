@@ -107,7 +107,8 @@ def count_reached(keys: DataFrame, left_id: str, spelled: DataFrame, right_id: s
     any left one has are one row with their number, and so are those that are alike up to a
     spelling: left keys meet these, never right rows.
     """
-    alike = spelled.groupBy(right_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "key"))), lambda s: s["key"]).alias("own")).groupBy("own").agg(F.count("*").alias("n"))
+    own = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "key"))), lambda s: s["key"]))
+    alike = spelled.groupBy(right_id).agg(own.alias("own")).groupBy("own").agg(F.count("*").alias("n"))
     steps = alike.select("own", "n", F.posexplode("own").alias("at", "key")).select("key", F.when(F.col("at") > 0, F.slice("own", F.lit(1), F.col("at"))).otherwise(F.array().cast("array<string>")).alias("before"), "n")
     met = keys.join(dealt(steps.groupBy("key", "before").agg(F.sum("n").alias("n")), "key"), "key")
     first = met.where(F.size("before") == 0).select(left_id, "n")

@@ -143,6 +143,21 @@ def test_count_reached_of_many_spellings(spark):
     assert dict(map(tuple, got.collect())) == {i: n for i, n in want.items() if n}
 
 
+def test_cohort_fold_counts_verdicts_that_share_an_id(spark):
+    """Rows of one id are a verdict each where state, day, owner or runs differ, and one where all are equal."""
+    folders = spark.createDataFrame([("gen-a",), ("gen-b",)], "folder string")
+    scan = spark.createDataFrame([], "pos long, folder string, declared_short string, declared_name string, is_connector boolean, connector_services array<string>")
+    same = ("family:x-0a1b2c3d", "gen-a", "accepted", "2024-01-03", "u1", 2)
+    truth = spark.createDataFrame(
+        [same, same, ("family:x-0a1b2c3d", "gen-a", "queued", "2024-01-02", "u1", 2), ("family:x-0a1b2c3d", "gen-a", "queued", "2024-01-02", None, 2), (same[0], "gen-b", *same[2:]), ("family:y", "gen-b-v2", "error", None, None, 1)],
+        "id string, name string, state string, decided string, owner string, runs int",
+    ).withColumn("decided", F.col("decided").cast("date"))
+    manifest = spark.createDataFrame([], "pos long, folder string, batch string, connector boolean")
+    reads = spark.createDataFrame([], "folder string, connector boolean, basis string")
+    got = D.cohort_fold(folders, scan, truth, manifest, reads).select("folder", "verdicts", "state", F.array_join("states", ",").alias("states"))
+    assert rows(got) == [("gen-a", 3, "accepted", "accepted,queued"), ("gen-b", 2, "accepted", "accepted,error")]
+
+
 def test_numbered_is_a_dense_total_order(spark):
     df = spark.range(5000).withColumn("k", F.col("id") % 3).repartition(13)
     got = numbered(df, [F.col("k"), F.col("id")]).orderBy("position").select("k", "id", "position").collect()
