@@ -27,21 +27,27 @@ def _hours(first: Column, last: Column) -> Column:
 def contested_families(rows: DataFrame, is_trainer: Column, legacy_before: str) -> DataFrame:
     """Families whose submissions name two or more people, with first and last.
 
-    One aggregate per family; the people are counted, not collected. Who they
-    are, with their counts, is :func:`family_people`.
+    Each submitter of a family is reduced to the first and last submission before the family
+    is; names are counted apart. Several distinct counts beside them would copy every row of
+    a task, and sort the copies. Who the people are, with their counts, is :func:`family_people`.
     """
-    who = F.struct("trainer", _instant().alias("at"), "state")
-    named = F.when(is_trainer, _order())
-    per = rows.withColumn("family", family_key()).groupBy("family").agg(
-        F.count("*").alias("submissions"),
-        F.count_distinct("name").alias("distinct_names"),
-        F.count_distinct(F.when(is_trainer, F.col("trainer"))).alias("trainer_count"),
-        F.count_distinct(F.when(~is_trainer & (F.col("trainer") != ""), F.col("trainer"))).alias("machine_submitters"),
-        F.min_by(who, named).alias("f"),
-        F.max_by(who, named).alias("l"),
-        F.max_by("state", _order()).alias("final_state"),
-        F.max(_instant()).alias("last_any"),
+    keyed = rows.select(family_key().alias("family"), "name", "trainer", is_trainer.alias("person"), F.struct(_instant().alias("at"), "pos", "state").alias("sent"))
+    each = keyed.groupBy("family", "trainer", "person").agg(F.count("*").alias("n"), F.min("sent").alias("lo"), F.max("sent").alias("hi"))
+    who = lambda end: F.struct("trainer", F.col(end)["at"].alias("at"), F.col(end)["state"].alias("state"))
+    people = each.groupBy("family").agg(
+        F.sum("n").alias("submissions"),
+        F.count(F.when(F.col("person"), F.col("trainer"))).alias("trainer_count"),
+        F.count(F.when(~F.col("person") & (F.col("trainer") != ""), F.col("trainer"))).alias("machine_submitters"),
+        F.min_by(who("lo"), F.when(F.col("person"), F.col("lo"))).alias("f"),
+        F.max_by(who("hi"), F.when(F.col("person"), F.col("hi"))).alias("l"),
+        F.max("hi").alias("last"),
     )
+    names = keyed.groupBy("family").agg(F.count_distinct("name").alias("distinct_names"))
+    # Families may be NULL as any key of a group may.
+    per = (
+        people.withColumnRenamed("family", "_of").join(names, F.col("_of").eqNullSafe(F.col("family")))
+        .withColumns({"final_state": F.col("last.state"), "last_any": F.col("last.at")})
+    )
     return per.where("submissions >= 2 and trainer_count >= 2").select(
         "family", "submissions", "distinct_names", "trainer_count", "machine_submitters",
         F.when(F.to_date("last_any") >= F.lit(legacy_before).cast("date"), "live").otherwise("legacy").alias("scope"),

@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
+from taskweave.operators import audits as A
 from taskweave.operators import canonical as C
 from taskweave.operators import delivered as D
 from taskweave.operators import figures as G
@@ -158,6 +159,31 @@ def test_cohort_fold_counts_verdicts_that_share_an_id(spark):
     assert rows(got) == [("gen-a", 3, "accepted", "accepted,queued"), ("gen-b", 2, "accepted", "accepted,error")]
 
 
+def test_contested_families_copy_no_rows(spark):
+    """Against brute force, with rows without family, submitter or day; rows of a task are not multiplied."""
+    r = random.Random(5)
+    day = lambda: r.choice([None, "2024-01-01", "2024-01-20", "2024-01-30"])
+    sent = [(i, r.choice([None, "", "f1", "f2", "f3"]), r.choice(["n1", "n2", None]), r.choice([None, "", "bot", "a@x.com", "b@x.com"]), r.choice("su"), day()) for i in range(60)]
+    df = spark.createDataFrame(sent, "pos int, family_id string, name string, trainer string, state string, submitted_at string")
+    got = A.contested_families(df, F.col("trainer").endswith("@x.com"), "2024-01-25")
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    want = []
+    groups = {}
+    for row in sent:
+        groups.setdefault(row[1] or (f"name:{row[2]}" if row[2] else None), []).append(row)
+    for family, own in groups.items():
+        own.sort(key=lambda x: (x[5] or "0001-01-01", x[0]))
+        people = [x for x in own if (x[3] or "").endswith("@x.com")]
+        if len({x[3] for x in people}) < 2:
+            continue
+        machines = {x[3] for x in own if x[3] and not x[3].endswith("@x.com")}
+        scope = "live" if (own[-1][5] or "0001") >= "2024-01-25" else "legacy"
+        want.append((family, len(own), len({x[2] for x in own} - {None}), 2, len(machines), scope, people[0][3], people[-1][3], people[0][4], people[-1][4], own[-1][4], people[0][3] != people[-1][3]))
+    assert len(want) >= 3
+    shown = got.select("family", "submissions", "distinct_names", "trainer_count", "machine_submitters", "scope", "first_trainer", "last_trainer", "first_state", "last_state", "final_state", "handover")
+    assert rows(shown) == sorted(want, key=str)
+
+
 def test_numbered_is_a_dense_total_order(spark):
     df = spark.range(5000).withColumn("k", F.col("id") % 3).repartition(13)
     got = numbered(df, [F.col("k"), F.col("id")]).orderBy("position").select("k", "id", "position").collect()
