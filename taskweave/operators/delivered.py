@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from taskweave.functions.names import NOT_RECORDED, is_placeholder, name_key, norm_name, plain_key, stem
 from taskweave.operators.figures import preferred_order
 from taskweave.operators.filters import collectable
-from taskweave.operators.lookups import count_reached, dealt, ranked_within, spellings
+from taskweave.operators.lookups import answered, asked, count_reached, dealt, ranked_within, spellings
 from taskweave.session import stored
 
 # Match methods, strongest first, and the shortest embedded name.
@@ -592,13 +592,15 @@ def mark_rows_delivered(truth: DataFrame, deliveries: DataFrame, prefix: str) ->
         .groupBy("key")
         .agg(F.min(F.struct("pos", "task", "batch")).alias("d"))
     )
-    first = by_name.select(F.col("key").alias("k1"), F.col("d").alias("d1"))
-    second = by_name.select(F.col("key").alias("k2"), F.col("d").alias("d2"))
+    first = by_name.select(answered(F.col("key")).alias("k1"), F.col("d").alias("d1"))
+    second = by_name.select(answered(F.col("key")).alias("k2"), F.col("d").alias("d2"))
     open_row = ~(F.col("delivered") | F.coalesce("maybe_delivered", F.lit(False)))
-    hit = F.when(open_row, F.coalesce("d1", "d2"))
+    hit = F.coalesce("d1", "d2")
+    # Few rows name a package, and rows that are not open ask for nothing.
     return (
-        truth.withColumn("k1", name_key(F.col("name")))
-        .withColumn("k2", name_key(F.col("package_task")))
+        truth.withColumn("k1", asked(F.when(open_row, name_key(F.col("name"))), F.col("id")))
+        .withColumn("k2", asked(F.when(open_row, name_key(F.col("package_task"))), F.col("id")))
+        .select("id", "delivered", "delivered_task", "k1", "k2")
         .join(first, "k1", "left")
         .join(second, "k2", "left")
         .select(

@@ -30,6 +30,19 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.concat(F.col(key), F.lit("")))
 
 
+def asked(key: Column, row: Column) -> Column:
+    """The key of a row that looks for an answer dealt by :func:`answered`.
+
+    Rows without a key find nothing; they are dealt out by ``row``, as they would all meet in one task.
+    """
+    return F.coalesce(F.concat(F.lit("="), key), F.concat(F.lit("!"), F.pmod(F.xxhash64(row), F.lit(1 << 14)).cast("string")))
+
+
+def answered(key: Column) -> Column:
+    """The key of an answer; made anew, like that of :func:`dealt`, so AQE may split the rows that ask for it."""
+    return F.concat(F.lit("="), key)
+
+
 def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
     """One row holding the columns of several one-row frames."""
     stacked = one_row_frames[0]

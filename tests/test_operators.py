@@ -184,6 +184,29 @@ def test_contested_families_copy_no_rows(spark):
     assert rows(shown) == sorted(want, key=str)
 
 
+def test_rows_that_name_no_package_do_not_meet(spark):
+    truth = spark.range(4000).select(
+        F.concat(F.lit("t"), "id").alias("id"), F.concat(F.lit("gen-"), "id").alias("name"), F.when(F.col("id") < 2, F.lit("gen-pack")).alias("package_task"),
+        (F.col("id") == 1).alias("delivered"), F.lit(None).cast("string").alias("delivered_task"), F.lit(None).cast("boolean").alias("maybe_delivered"),
+    )
+    sent = spark.createDataFrame(
+        [(2, "gen-pack", "B2"), (1, "Gen-Pack", "B1"), (3, "gen-7", "B3")], "pos long, task string, batch string"
+    ).selectExpr("*", "cast(null as string) as package_name", "cast(null as string) as source_prefix", "cast(null as string) as source_folder", "false as audited")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = D.mark_rows_delivered(truth, sent, "iteration_2").withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    marked = {r["id"]: tuple(r)[1:4] for r in got if r["delivered"]}
+    assert len(got) == 4000 and marked == {"t0": (True, "Gen-Pack", "B1: the task name it carries"), "t1": (True, None, None), "t7": (True, "gen-7", "B3: the task name it carries")}
+    sizes = [sum(r["part"] == p for r in got) for p in {r["part"] for r in got}]
+    assert max(sizes) < 2000
+
+
 def test_numbered_is_a_dense_total_order(spark):
     df = spark.range(5000).withColumn("k", F.col("id") % 3).repartition(13)
     got = numbered(df, [F.col("k"), F.col("id")]).orderBy("position").select("k", "id", "position").collect()
