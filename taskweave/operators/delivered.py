@@ -40,19 +40,23 @@ def embedded_in(rows: DataFrame, row_id: str, text: Column, names: DataFrame) ->
     """(row_id, value): names (one ``value`` per row) spelled inside a text as whole segments.
 
     A name longer than the shortest length is found by its opening characters: from every
-    clean start of a text there is one candidate per length that names of that opening have.
-    A candidate must end where no word is cut, and is then compared in full.
+    clean start of a text, as much of it as the longest name goes on, there is one candidate
+    per length that names of that opening have. A candidate must end where no word is cut, and
+    is then compared in full. The names are stored, so Spark knows their size when it decides
+    whether the starts, many per text, have to be shuffled to meet them.
     """
     width = SHORTEST_EMBEDDED + 1
-    wanted = names.select("value").where(F.length("value") >= width).distinct()
-    lengths = wanted.select(F.substring("value", 1, width).alias("opening"), F.length("value").alias("size")).distinct()
-    texts = rows.select(row_id, text.alias("_text"))
-    starts = texts.select(row_id, "_text", F.explode(_clean_starts(F.col("_text"))).alias("start"))
-    opened = starts.select(row_id, "start", F.col("_text").substr(F.col("start"), F.lit(width)).alias("opening")).where(F.length("opening") == width)
-    # Only starts whose opening some name has meet their text again.
-    alive = opened.join(lengths, "opening").select(row_id, "start", "size").join(texts, row_id)
-    after = F.col("_text").substr(F.col("start") + F.col("size"), F.lit(1))
-    candidates = alive.where((after == "") | after.rlike(r"^[^\p{L}\p{N}]")).select(row_id, F.col("_text").substr(F.col("start"), F.col("size")).alias("value"))
+    wanted = stored(names.select("value").where(F.length("value") >= width).distinct(), "wanted-names")
+    # No more lengths per opening than the longest name has characters.
+    lengths = stored(wanted.groupBy(F.substring("value", 1, width).alias("opening")).agg(F.collect_set(F.length("value")).alias("sizes")), "name-lengths")
+    longest = lengths.agg(F.max(F.array_max("sizes"))).first()[0] or 0
+    text = text.cast("string")
+    pieces = F.transform(_clean_starts(text), lambda at: F.substring(text, at, F.lit(longest + 1)))
+    starts = rows.select(row_id, F.explode(pieces).alias("piece")).where(F.length("piece") >= width)
+    alive = starts.withColumn("opening", F.substring("piece", 1, width)).join(lengths, "opening").select(row_id, "piece", F.explode("sizes").alias("size"))
+    after = F.substring("piece", F.col("size") + 1, F.lit(1))
+    whole = (F.length("piece") >= F.col("size")) & ((after == "") | after.rlike(r"^[^\p{L}\p{N}]"))
+    candidates = alive.where(whole).select(row_id, F.substring("piece", F.lit(1), F.col("size")).alias("value"))
     return candidates.join(wanted, "value", "left_semi").select(row_id, "value").distinct()
 
 

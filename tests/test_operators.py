@@ -56,6 +56,22 @@ def test_embedded_names_equal_a_scan(spark):
     assert {(i, "code-c24-cloud-tag-audit") for i in (800, 801, 900)} <= set(expected) and not any(i in (901, 902) for i, _n in expected)
 
 
+def test_embedded_names_stay_with_their_text(spark):
+    """A start in one text says nothing about another of the same id."""
+    hays = spark.createDataFrame([(1, "x/code-c24-cloud-tag-auditor"), (1, "abcode-c24-cloud-tag-audit"), (2, "x/code-c24-cloud-tag-audit"), (2, None)], "id int, hay string")
+    names = spark.createDataFrame([("code-c24-cloud-tag-audit",), ("short",), (None,)], "value string")
+    assert rows(D.embedded_in(hays, "id", F.col("hay"), names)) == [(2, "code-c24-cloud-tag-audit")]
+    assert rows(D.embedded_in(hays, "id", F.col("hay"), names.where("false"))) == []
+
+
+def test_starts_of_identifiers_are_not_shuffled(spark):
+    t = Tables(spark, SMALL)
+    audits = t.r3_deliveries.select("pos", "task")
+    names = D.audit_keys(audits, t.r10_truth).where(F.col("kind") == D.BY_ID)
+    plan = D.embedded_in(t.r10_truth, "id", F.col("id"), names)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(opening" not in plan and "hashpartitioning(id" in plan
+
+
 def walk_the_audit(audits, reach):
     """Audited tasks in order: the first to reach a row claims it."""
     owner, method, matched = {}, {}, set()
